@@ -12,6 +12,7 @@ from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.quality import quality_report
 from docweave.llm.secrets import scan_secrets
+from docweave.llm.substring_dedup import remove_repeats
 from docweave.llm.token_counts import count_tokens
 from docweave.llm.toxicity import toxicity
 
@@ -48,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -61,6 +66,28 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+k AS (
+  SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS block FROM b),
+f AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY block) AS first FROM k),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM f WHERE first < doc_id),
+h AS (
+  SELECT doc_id, list(q) AS gone FROM g GROUP BY doc_id),
+j AS (
+  SELECT d.doc_id, w, coalesce(len(gone), 0) AS n,
+         list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) AS kept
+  FROM d LEFT JOIN h ON h.doc_id = d.doc_id)
+SELECT doc_id, len(w) AS n_words, n AS n_removed,
+       sha256(array_to_string(list_transform(kept, lambda i: w[i]), ' ')) AS kept_sha256
+FROM j
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -68,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }

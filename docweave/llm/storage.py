@@ -46,19 +46,17 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def skew_join(rows: DataFrame, groups: DataFrame, key: str, size: Column, total: int) -> DataFrame:
-    """Inner join of rows with groups on key, where groups has one line per key.
+def skew_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: Column, total: int) -> DataFrame:
+    """Inner join of rows with groups on key, where groups has one line per key and no nulls.
 
     Groups with size over total / HEAVY are at most HEAVY (times the keys a row has), so they
     are broadcast; all others go by a shuffle in which no key holds more than that share.
     """
+    keys = [key] if isinstance(key, str) else key
     heavy = size > F.lit(max(1000, total // HEAVY))
-    hot = F.broadcast(groups.where(heavy))
-    names = [c for c in groups.columns if c != key]
-    joined = rows.join(hot.withColumn("__hot", F.lit(True)), key, "left").withColumns({f"__{c}": F.col(c) for c in names}).drop(*names)
-    hits = joined.where(F.col("__hot"))
-    hits = hits.select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in names])
+    names = [c for c in groups.columns if c not in keys]
+    hot = F.broadcast(groups.where(heavy).select(*keys, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hot")))
+    joined = rows.join(hot, keys, "left")
+    hits = joined.where(F.col("__hot")).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in names])
     rest = joined.where(F.col("__hot").isNull()).select(*rows.columns)
-    return hits.unionByName(rest.join(groups.where(~heavy), key).select(*rows.columns, *names))
-
-
+    return hits.unionByName(rest.join(groups.where(~heavy), keys).select(*rows.columns, *names))
