@@ -1 +1,3 @@
 """Registered queries over the driver tables."""
+
+from docweave.plans import keyed, lookups  # noqa: F401
