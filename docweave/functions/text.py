@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Hiragana and the katakana that replace them, from the code points' fixed distance.
 HIRAGANA = "".join(chr(c) for c in range(0x3041, 0x3097))
@@ -17,12 +18,12 @@ KATAKANA = "".join(chr(ord(c) + 0x60) for c in HIRAGANA)
 HYPHENS = "-‐‑‒–—―−－"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     """All named and numbered entities."""
     return s.map(lambda t: None if t is None else html.unescape(t))

@@ -61,14 +61,14 @@ def first_match_join(spark, sf_dir):
 
 
 @query("doc_body_outer", """
-SELECT d.doc_id, CASE WHEN length(d.text) < 300 THEN '' ELSE substr(sha1(d.text), 1, 12) END AS h, b.n AS n
+SELECT d.doc_id, CASE WHEN length(d.text) < 300 THEN '' ELSE substr(sha1(d.text), 1, 12) END AS h, coalesce(b.n, 0) AS n
 FROM documents d LEFT JOIN (SELECT substr(sha1(text), 1, 12) AS h, count(*) AS n FROM documents WHERE length(text) >= 300 GROUP BY 1) b
   ON b.h = CASE WHEN length(d.text) < 300 THEN '' ELSE substr(sha1(d.text), 1, 12) END""")
 def doc_body_outer(spark, sf_dir):
     """A document without the section has the empty hash and no body, and stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") < 300, "").otherwise(F.substring(F.sha1("text"), 1, 12)).alias("h"))
     bodies = docs.where("h <> ''").groupBy("h").agg(F.count("*").alias("n"))
-    return docs.join(bodies, "h", "left").select("doc_id", "h", "n")
+    return docs.join(bodies, "h", "left").select("doc_id", "h", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("category_lookup", """

@@ -1,0 +1,62 @@
+"""Structured Streaming forms of the incremental operators (section 2.13)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docweave.operators.diffs import line_changes
+from docweave.operators.incremental import merge_feed
+
+CHANGES = "key string, version string, previous string, kind string, path string, before string, after string"
+_STATE = "version string, paths array<string>, texts array<string>"
+
+
+def snapshot_changes(snapshots: DataFrame) -> DataFrame:
+    """Changes of (key, version, seq, paths, texts) against the last different version of each key.
+
+    Only a key's last lines are state. A version that comes again changes nothing and is not
+    compared with itself, so replays after a failure are harmless.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get if state.exists else None
+        out = []
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            lines = list(zip(row.paths, row.texts, strict=True))
+            if last is not None and row.version != last[0]:
+                out += [(key[0], row.version, last[0], *c) for c in line_changes(list(zip(last[1], last[2], strict=True)), lines)]
+            if last is None or row.version != last[0]:
+                last = (row.version, [p for p, _ in lines], [t for _, t in lines])
+        state.update(last)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in CHANGES.split(", ")])
+
+    return snapshots.groupBy("key").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def deduplicated(rows: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
+    """Each key once, as long as its rows come within the overlap of the batches."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def windowed_counts(rows: DataFrame, time: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
+    """A01 on a stream."""
+    return rows.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))
+
+
+def merge_sink(spark: SparkSession, path: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that merges each batch into the store at path.
+
+    Each batch writes a new version next to the one it read, named by the batch, so a batch that
+    is run again reads what it read before and writes the same.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = None if number == 0 else spark.read.schema(schema).parquet(f"{path}/v{number - 1}")
+        merge_feed(before, batch, keys).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return merge
