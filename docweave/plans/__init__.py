@@ -1,3 +1,3 @@
 """Registered queries over the driver tables."""
 
-from docweave.plans import keyed, lookups, texts  # noqa: F401
+from docweave.plans import documents, keyed, lookups, texts  # noqa: F401
