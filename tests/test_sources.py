@@ -113,3 +113,14 @@ def test_bytes(spark):
     got = df.limit(1).select(F.explode(stores.extract_images("b", F.array(F.lit("P.gif"), F.lit("q.gif"), F.lit("../x.gif")))).alias("i")).select("i.*")
     assert [r.name for r in got.collect()] == ["P.gif"]
     assert stores.changed_images(got, got).count() == 0 and stores.changed_images(got, got.withColumn("crc", F.lit(0).cast("long"))).count() == 1
+
+
+def test_price_files(spark):
+    link = lambda k, n: f'<a href="/d/tp20260{n}01-{n}_0{k}.xlsx">x</a>'
+    full = "".join(link(k, 4) for k in (1, 2, 3, 4)) + link(1, 9)
+    pages = spark.createDataFrame([(2026, full.replace("_04", "_09")), (2025, full), (2024, full)], "year int, html string")
+    got = {r.kind: r.href for r in feeds.price_files(pages, 2026).collect()}
+    assert set(got) == {"01", "02", "03", "04"} and got["01"] == "/d/tp20260401-4_01.xlsx"
+    assert feeds.price_files(pages.where("year = 2026"), 2026).count() == 0
+    dates = spark.createDataFrame([("x/tp20260401-1_01.xlsx",), ("x",)], "h string").select(feeds.file_date(F.col("h")))
+    assert [r[0] for r in dates.collect()] == ["2026-04-01", ""]
