@@ -1,8 +1,8 @@
 """Connected components of a graph of ids, by alternating large and small stars.
 
-Edges never leave the cluster, a node's neighbours never meet in one task: minima are combined
-before the shuffle, and nodes of very many edges are joined by a broadcast of at most
-storage.HEAVY rows. Each round is written, so a lost executor repeats no earlier round.
+Edges never leave the cluster. A node's least neighbour is combined before the shuffle; the join
+that brings it back to the node's edges is on narrow rows, whose hot keys Spark splits at run
+time. Each round is written, so a lost executor repeats no earlier round.
 """
 
 from __future__ import annotations
@@ -10,31 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import materialise, skew_join
+from docweave.llm.storage import materialise_counted
 
 
-def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+def star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (a, b), a > b. Every node's neighbours (large: the greater ones, of all; else the smaller ones) go to the least of all."""
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
-    met = skew_join(near, least, "u", F.col("n"), total)
+    met = near.join(near.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")), "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.explode(F.array("v", "u")).alias("a"), F.col("m").alias("b"))
-    return out.where("a > b").distinct()
+    return out.where("a > b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of all nodes of links (a, b) but the roots themselves, where root is the least id that a node reaches."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     before = None
     while True:
-        edges = materialise(edges, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
+        edges, now = materialise_counted(edges.distinct(), "edges", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        if now.n == 0 or now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
-        edges = star(star(edges, now[0], large=True), now[0], large=False)
+        edges = star(star(edges, large=True), large=False)

@@ -8,8 +8,10 @@ distance meet in a bucket. (At a similarity of 0.75 a pair meets but for 6 in a
 Texts of equal shingle sets are one class, of which only the smallest id goes on. Within a bucket
 no pairs are listed: members are linked to a few pivots, each to the ones it shares most buckets
 with, links are confirmed on full sets and components formed. Buckets whose members are all of
-one component are done. What stays open after some rounds is closed exactly: all members outside
-their bucket's largest component meet all members of other components there, in blocks.
+one component are done. What stays open after some rounds is closed: all members outside their
+bucket's largest component meet all members of other components there, in blocks. Of these pairs
+those go on to the full sets whose fine signatures, of 1024 bits, are within FAR; a pair of
+similarity 0.75 is farther apart but for 9 in a million.
 
 Defined results: null text has no words; texts without words, and null ids, are linked with
 nothing; texts of fewer than five words are one shingle; rows that repeat an id are one node.
@@ -19,21 +21,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.columnar import blocks
 from docweave.llm.components import components
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.shingles import bucket_keys, shingle_sets, signatures
-from docweave.llm.storage import materialise, skew_join
+from docweave.llm.shingles import FINE, bucket_keys, fine_signatures, shingle_sets, signatures
+from docweave.llm.storage import materialise, materialise_counted, skew_join
 
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-PIVOTS, ROUNDS = 8, 3
+PIVOTS, BEST, ROUNDS = 8, 2, 2
+#: Bits in which fine signatures may differ: 4.3 deviations over the mean of a pair that is just similar enough.
+_MEAN = FINE * (1 - SIMILARITY / 100) / 2
+FAR = int(_MEAN + 4.3 * (_MEAN * (1 - _MEAN / FINE)) ** 0.5)
 #: Pairs of a block, and pairs of one pivot that are confirmed in one task.
 BLOCK_PAIRS, TASK_PAIRS = 4_000_000, 500
 
@@ -53,22 +59,32 @@ def profiles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, n_shingles long, set_key binary, keys array<long>")
 
 
+LIMBS = [f"s{i}" for i in range(FINE // 64)]
+
+
 def sets_of(texts: DataFrame) -> DataFrame:
-    """(id, shingles) as the bytes of sorted 64-bit hashes."""
+    """(id, shingles, s0, s1, ...): the bytes of sorted 64-bit hashes, and the fine signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], names=["id", "shingles"])
+                sets = shingle_sets(data, offsets)
+                fine = fine_signatures(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(fine.T))], names=["id", "shingles", *LIMBS])
 
-    return texts.mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(run, "id long, shingles binary, " + ", ".join(f"{s} long" for s in LIMBS))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Pairs of one a are dealt over as many tasks as they need."""
+def distance(a: str, b: str) -> Column:
+    """Bits in which two fine signatures differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in LIMBS])
+
+
+def confirmed(pairs: DataFrame, total: int, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b), total in all, whose full sets are similar enough. Pairs of one a are dealt over as many tasks as they need."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("parts"), F.count("*").alias("n"))
     copies = sets.join(spread, sets.id == spread.a).select("a", F.col("shingles").alias("of_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-    dealt = skew_join(pairs, spread, "a", F.col("n"), pairs.count())
+    dealt = skew_join(pairs, spread, "a", F.col("n"), total)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
     both = dealt.join(copies.select("a", "part", "of_a"), ["a", "part"]).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
@@ -100,20 +116,20 @@ def still_open(members: DataFrame, labels: DataFrame | None, total: int) -> tupl
     else:
         rooted = members.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    out = materialise(skew_join(rooted, mixed, "bucket", F.col("n"), total).drop("n"), "open")
-    return out, out.count()
+    out, seen = materialise_counted(skew_join(rooted, mixed, "bucket", F.col("n"), total).drop("n"), "open")
+    return out, seen.n
 
 
 def near_pivots(open_members: DataFrame, turn: int, total: int) -> DataFrame:
-    """Pairs (a: pivot, b) to confirm: for each member the pivots of other components with which it shares most buckets."""
+    """Pairs (a: pivot, b) to confirm: for each member the BEST pivots of other components, with which it shares most buckets."""
     part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS))
     pivots = open_members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct(F.col("id"), F.col("root"), F.col("size"))).alias("p"), F.count("*").alias("k"))
     pivots = pivots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"), F.sum("k").alias("n"))  # at most PIVOTS of a bucket
     met = skew_join(open_members, pivots, "bucket", F.col("n"), total).select("id", "root", "size", F.explode("pivots").alias("p"))
     met = met.where("p.root <> root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.size").alias("size_a"), F.col("size").alias("size_b"))
     shared = fitting(met).groupBy("a", "b").count()
-    best = shared.groupBy("b").agg(F.max(F.struct(F.col("count"), (-F.col("a")).alias("a"))).alias("best"))
-    return best.select((-F.col("best.a")).alias("a"), "b")
+    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a")))
+    return ranked.where(F.col("r") <= BEST).select("a", "b")  # a member has at most PIVOTS pivots in each of its buckets
 
 
 def outsiders(open_members: DataFrame, total: int) -> DataFrame:
@@ -124,43 +140,50 @@ def outsiders(open_members: DataFrame, total: int) -> DataFrame:
     return few.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), "n")
 
 
-def rest_pairs(open_members: DataFrame, few: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an outsider and a member of another component in its bucket."""
+def rest_pairs(open_members: DataFrame, few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an outsider and a member of another component in its bucket, near enough by fine signatures."""
+    fine = sets.select(F.col("id"), F.struct(*LIMBS).alias("fine"))
+    left = few.drop("n").join(fine.select(F.col("id").alias("a"), F.col("fine").alias("fine_a")), "a")
     right = open_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    return fitting(few.join(right, "bucket").where("root_a <> root_b")).select("a", "b").distinct()
+    right = right.join(few.select("bucket").distinct(), "bucket", "left_semi").join(fine.select(F.col("id").alias("b"), F.col("fine").alias("fine_b")), "b")
+    met = left.join(right, "bucket").where("root_a <> root_b").where(distance("fine_a", "fine_b") <= FAR)
+    return fitting(met).select("a", "b").distinct()
 
 
 def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
     """(id, root) of the leading texts that belong to a smaller one; None if no two meet."""
     entries = leading.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("bucket"))
-    full = materialise(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    if not full.head(1):
+    full, seen = materialise_counted(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", F.sum("n").alias("members"))
+    if not seen.n:
         return None
-    members = materialise(skew_join(entries, full, "bucket", F.col("n"), leading.count()).select("bucket", "id", "size"), "members")
+    members = materialise(skew_join(entries, full, "bucket", F.col("n"), seen.members).select("bucket", "id", "size"), "members")
     sets = materialise(sets_of(texts.join(members.select("id").distinct(), "id")), "sets")
     links: DataFrame | None = None
     labels: DataFrame | None = None
 
     def learn(pairs: DataFrame) -> bool:
-        """Confirm pairs; whether components changed."""
+        """Confirm pairs; whether there were links among them."""
         nonlocal links, labels
-        new = materialise(confirmed(materialise(pairs, "pairs"), sets), "links")
-        if not new.head(1):
+        pairs, to_confirm = materialise_counted(pairs, "pairs")
+        if not to_confirm.n:
+            return False
+        new, found = materialise_counted(confirmed(pairs, to_confirm.n, sets), "links")
+        if not found.n:
             return False
         links = new if links is None else links.unionByName(new)
         labels = components(links)
         return True
 
-    current, n = still_open(members, labels, members.count())
+    current, n = still_open(members, labels, seen.members)
     for turn in range(ROUNDS):
         if not n or not learn(near_pivots(current, turn, n)):
             break
         current, n = still_open(current.drop("root"), labels, n)
     if n:
-        few = materialise(outsiders(current, n), "outsiders")
-        of = -(-(few.agg(F.sum("n")).first()[0] or 0) // BLOCK_PAIRS)
+        few, rest = materialise_counted(outsiders(current, n), "outsiders", F.sum("n").alias("pairs"))
+        of = -(-(rest.pairs or 0) // BLOCK_PAIRS)
         for block in range(of):
-            learn(rest_pairs(current, few.where(F.pmod(F.xxhash64("a"), F.lit(of)) == block)))
+            learn(rest_pairs(current, few.where(F.pmod(F.xxhash64("a"), F.lit(of)) == block), sets))
     return labels
 
 
@@ -171,8 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     valid = profile.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = tree_merge(valid.select("id", F.col("set_key").alias("key")), "min", name="set-runs").select(F.col("key").alias("set_key"), F.col("keep_id").alias("class_id"), "group_size")
     leading = valid.join(classes, (valid.set_key == classes.set_key) & (valid.id == classes.class_id), "left_semi")
-    leading = materialise(leading.select("id", "n_shingles", "keys"), "leading")
-    labels = linked_roots(texts, leading)
+    labels = linked_roots(texts, leading.select("id", "n_shingles", "keys"))
     if labels is not None:
         classes = classes.join(labels.select(F.col("id").alias("class_id"), "root"), "class_id", "left").withColumn("class_id", F.coalesce("root", "class_id"))
     found = materialise(classes.select("set_key", F.col("class_id").alias("component_id"), "group_size"), "classes")

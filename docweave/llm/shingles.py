@@ -11,9 +11,14 @@ WIDTH = 5
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 
+#: Bits of the fine signatures, one of each hash function.
+FINE = 1024
+
 _rng = np.random.Generator(np.random.PCG64(4711))
 _FACTOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERM = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_FINE_FACTOR = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_TERM = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64)
 _SALT = _rng.integers(0, 1 << 63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
@@ -66,3 +71,17 @@ def bucket_keys(signature: np.ndarray) -> np.ndarray:
                 packed = packed << np.uint64(16) | chunks[:, :, j]
         keys[:, :, left_out] = mix(packed ^ _SALT[:, left_out])
     return keys.reshape(len(signature), SYMBOLS)
+
+
+def fine_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Minwise signatures of one bit for each of FINE hash functions, as (texts, FINE / 64) integers."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    some = np.flatnonzero(sizes)
+    out = np.zeros((len(sets), FINE // 64), np.uint64)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+        for k in range(FINE):
+            bit = mix(np.minimum.reduceat(flat * _FINE_FACTOR[k] + _FINE_TERM[k], starts)) >> np.uint64(63)
+            out[some, k // 64] |= bit << np.uint64(k % 64)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A group with more than one part in HEAVY of all rows is heavy; there are at most HEAVY such groups per row key.
@@ -42,6 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, name: str, *also: Column) -> tuple[DataFrame, Row]:
+    """The same, with the number of rows (n) and other aggregates, taken as they are written."""
+    spark = df.sparkSession
+    path, seen = fresh_path(spark, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *also).write.parquet(path)
+    got = seen.get
+    return spark.read.schema(df.schema).parquet(path), Row(**got)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
