@@ -97,7 +97,13 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
         left = histogram[length]
         while left:
             if not spaces or spaces[-1] < length:
-                put(size - length, left, (length,))
+                # a new pack is the shortest that fits, so pieces of this length go on into it
+                each = size // length
+                full, rest = divmod(left, each)
+                if full:
+                    put(size - each * length, full, (length,) * each)
+                if rest:
+                    put(size - rest * length, 1, (length,) * rest)
                 break
             space = spaces[-1]
             group = by_space[space][-1]
