@@ -5,8 +5,9 @@ the distinct hashes of its words, word pairs, and pairs with one word between. F
 with a rate for each coordinate and an L1 term leaves few weights that aren't 0; those are
 broadcast, at most 2 ** BITS numbers. A text's score depends on its words only.
 
-Training sees a bounded sample of labelled rows outside the held-out fold: at most SAMPLE of each
-label, in the order of a hash of the id. Scores cover all documents and whole texts.
+Training sees a bounded sample of labelled rows outside the held-out fold: the first 2 * SAMPLE of
+both labels together in the order of a hash of the id, so that each label has its natural share and
+the threshold means the same at every size. Scores cover all documents and whole texts.
 
 Defined results: null counts as empty; an empty text gets the score of the intercept alone;
 labels that are null or contradict each other for an id are not learnt; with no labels to learn
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.columnar import LOWER, blocks, hashes, mix, owner, spans, windows
-from docweave.llm.quality import labelled_sample
+from docweave.llm.quality import agreed
 
 BITS = 20
-#: Labelled rows of each label that training sees at most.
+#: Half of the labelled rows that training sees at most.
 SAMPLE = 6_000
 THRESHOLD = 0.3
 
@@ -109,8 +110,8 @@ def fold(id_col: str) -> Column:
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     """Weights from the bounded sample; the fold of remainder 2 is never looked at."""
-    seen = labels.where(fold(id_col) != 2)
-    sample = labelled_sample(seen, "toxic", 1, SAMPLE, id_col).unionByName(labelled_sample(seen, "toxic", 0, SAMPLE, id_col))
+    seen = agreed(labels.where(fold(id_col) != 2), "toxic", id_col).where("label IN (0, 1)")
+    sample = seen.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).select("id", F.col("label").cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,6 +153,16 @@ def test_toxicity(spark, docs, corpus, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_prior_of_a_capped_sample(spark, monkeypatch):
+    """One toxic row in nine, and nothing in the texts that tells: scores are near that share, capped or not."""
+    own = spark.range(3600).selectExpr("id AS doc_id", "'some words' AS text")
+    labels = own.selectExpr("doc_id", "cast(doc_id % 9 = 0 AS int) AS toxic")
+    for sample in (6000, 150):
+        monkeypatch.setattr(toxicity, "SAMPLE", sample)
+        r = toxicity.toxicity(own, labels).first()
+        assert 0.03 < r.score < 0.25 and r.predicted == 0, sample
+
+
 def test_arc_versions():
     html = "<p>x\r\n\r\nWARC/1.0\n</p>"
     for version in (1, 2):
