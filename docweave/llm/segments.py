@@ -45,6 +45,20 @@ def space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[: len(data)])
 
 
+def run_of_spaces_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cut before each newline, and before each space that follows neither a space nor the mark that stands for one."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n:
+        space = data == 0x20
+        after = space.copy()
+        after[2:] |= (data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2)
+        cut[:n] = data == 0x0A
+        cut[1:n] |= space[1:] & ~after[:-1]
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
+
+
 class Segments:
     """encode takes new segments (bytes, and whether each begins a text) and returns their codes."""
 

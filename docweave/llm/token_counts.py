@@ -6,9 +6,13 @@ ends carries the best score and the number of pieces of the best path, never the
 Tie rules are those of the public unigram tokenizer with double scores: of equal scores the
 path that comes from the earliest place wins; a character that no piece covers alone becomes
 one unknown step, at the lowest score less 10, and counts as its UTF-8 bytes where the
-vocabulary falls back to bytes, else as one piece for a run of such characters. Every space
-begins a segment, and one space is set before each text, as the vocabulary's own settings say.
-The file at hand holds scores of merge ranks; they are read as unigram scores.
+vocabulary falls back to bytes, else as one piece for a run of such characters. One space is set
+before each text, as the vocabulary's own settings say. The file at hand holds scores of merge
+ranks; they are read as unigram scores.
+
+With whole_runs, as the query has it, a run of spaces stays in one segment, so that pieces of
+several spaces match: the vocabulary has them and doesn't ask for a split. Without it every space
+begins a segment, as after the public library's Metaspace split.
 
 Defined results: null counts as empty and has no tokens.
 """
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from docweave.llm.columnar import blocks
-from docweave.llm.segments import Segments, space_starts
+from docweave.llm.segments import Segments, run_of_spaces_starts, space_starts
 
 NORMAL, UNKNOWN_PENALTY, MARK = 1, 10.0, "▁"
 
@@ -38,7 +42,7 @@ def read_pieces(raw: bytes) -> tuple[dict[str, float], bool]:
 
 
 class CountingViterbi:
-    def __init__(self, pieces: dict[str, float], bytes_for_unknown: bool):
+    def __init__(self, pieces: dict[str, float], bytes_for_unknown: bool, whole_runs: bool = False):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
@@ -46,7 +50,8 @@ class CountingViterbi:
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.bytes_for_unknown = bytes_for_unknown
-        self.segments = Segments(space_starts, self._encode, first_differs=True)
+        self.whole_runs = whole_runs
+        self.segments = Segments(run_of_spaces_starts if whole_runs else space_starts, self._encode, first_differs=True)
 
     def count(self, text: str) -> int:
         """Pieces of the best path over a text that has its marks."""
@@ -76,6 +81,8 @@ class CountingViterbi:
         return pieces[n]
 
     def _encode(self, segments: list[bytes], first: np.ndarray) -> np.ndarray:
+        if self.whole_runs:
+            return np.fromiter((self.count(((" " if f else "") + s.decode()).replace(" ", MARK)) for s, f in zip(segments, first, strict=True)), np.int64, len(segments))
         out = np.fromiter((self.count(s.decode().replace(" ", MARK)) if not f or s[:1] == b" " else self.count(MARK + s.decode()) for s, f in zip(segments, first, strict=True)), np.int64, len(segments))
         alone = first & np.fromiter((s[:1] == b" " for s in segments), bool, len(segments))
         return out + alone * self.count(MARK)
@@ -86,22 +93,22 @@ class CountingViterbi:
         return np.diff(sums[bounds])
 
 
-_counters: dict[str, CountingViterbi] = {}
+_counters: dict[tuple[str, bool], CountingViterbi] = {}
 
 
-def counter(path: str) -> CountingViterbi:
+def counter(path: str, whole_runs: bool = False) -> CountingViterbi:
     """One for each worker process."""
-    if path not in _counters:
+    if (path, whole_runs) not in _counters:
         with open(path, "rb") as f:
-            _counters[path] = CountingViterbi(*read_pieces(f.read()))
-    return _counters[path]
+            _counters[path, whole_runs] = CountingViterbi(*read_pieces(f.read()), whole_runs)
+    return _counters[path, whole_runs]
 
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
     """id, n_chars, n_tokens for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(model_path)
+        own = counter(model_path, whole_runs)
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]

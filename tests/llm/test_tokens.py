@@ -93,6 +93,21 @@ def test_counts(odd, docs, corpus, empty):
     assert token_counts.count_tokens(empty, PIECES).count() == 0
 
 
+def test_op5_counts_runs_of_spaces_whole(odd, corpus, spark, tmp_path):
+    """The registered query, against the public tokenizer without a split."""
+    from docweave.llm import queries
+
+    reference = unigram()
+    reference.pre_tokenizer = None
+    rng = random.Random(4)
+    texts = odd + [t for _, t in corpus] + ["a" + " " * 16 + "b", "if x:\n    return y", "  a", "a▁ ▁b", "▁  a", " " * 70, "\n  \n"]
+    texts += ["".join(rng.choice(["  ", " ", "\n", "▁", "a", "the", "é", "x:", "    "]) for _ in range(rng.randint(1, 25))) for _ in range(1000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_tokens for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
+    want = [len(e.ids) for e in reference.encode_batch([t or "" for t in texts])]
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_counts_ties_and_unknown_runs():
     pieces = {"a": -1.0, "b": -1.0, "ab": -2.0, "aab": -3.0, "ba": -1.5, "▁": -1.0}
     for bytes_for_unknown in (False, True):
