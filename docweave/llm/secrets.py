@@ -3,7 +3,9 @@
 The text is the first layer. Every layer is scanned for the three base kinds; then percent
 escapes, character escapes, base64 runs and compressed bytes in it are unwrapped into further
 layers, each with a map from its characters to places of the text, until no layer is new. A
-layer that has come from the same place before ends a cycle. Only decoded bytes beyond
+layer that has come from the same place before ends a cycle. Bytes that aren't UTF-8 are read as
+Latin-1, so binary layers are scanned like others; in a run of percent escapes the bytes that
+aren't UTF-8 stay escapes. Only decoded bytes beyond
 MAX_LAYER in one layer aren't unwrapped (a guard against bombs, counted in n_refused); text
 itself is scanned whole at any length.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -46,7 +49,6 @@ _HINTS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_TEXTUAL = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -114,11 +116,17 @@ class Layer:
         return Layer("".join(out), self.whole, cuts, places)
 
 
+def _kept_percent(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(f"%{b:02X}" for b in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("docweave.percent", _kept_percent)
+
+
 def percent_decoded(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+    """The run with its UTF-8 decoded and other bytes left as escapes; None if there are only such."""
+    out = bytes.fromhex(run.replace("%", "")).decode("utf-8", "docweave.percent")
+    return out if len(out) < len(run) else None
 
 
 def unescaped(run: str) -> str | None:
@@ -202,9 +210,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             try:
                 plain = raw.decode()
             except UnicodeDecodeError:
-                continue
-            if _TEXTUAL.fullmatch(plain):
-                work.append(Layer(plain, whole))
+                plain = raw.decode("latin-1")
+            work.append(Layer(plain, whole))
             continue
         key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.whole
         if key in seen or not layer.text:
@@ -219,7 +226,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
                 if runs:
                     work.append(layer.rewritten(runs))
         for m in _BASE64.finditer(layer.text):
-            if (raw := base64_decoded(m.group())) and (raw[0] < 0x80 or raw[0] >= 0xC2):
+            if raw := base64_decoded(m.group()):
                 work.append((raw, layer.origin(m.start(), m.end())))
     return base, sorted(every), layers, refused
 

@@ -8,6 +8,7 @@ import hashlib
 import io
 import lzma
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -55,6 +56,34 @@ def test_layers(wrap):
     assert coded not in secrets.redacted(t, every)
 
 
+def tarred(raw):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        info = tarfile.TarInfo(".env")
+        info.size = len(raw)
+        tar.addfile(info, io.BytesIO(raw))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("raw", [
+    tarred(INNER.encode()),
+    gzip.compress(b"\x1b[31merror\x1b[0m " + INNER.encode()),
+    gzip.compress(b"\x00\x01\xff\xfe" + base64.b64encode(b"\x0c" + INNER.encode()) + b"\x00"),
+    b"\xa9 caf\xe9\x00\x0c" + INNER.encode(),
+], ids=["tar", "colours", "nested", "latin-1"])
+def test_binary_layers(raw):
+    coded = base64.b64encode(raw).decode()
+    assert ("assign" in secrets.told(secrets.scan(f"a {coded} b")[1])) and coded not in secrets.redacted(f"a {coded} b", secrets.scan(f"a {coded} b")[1])
+
+
+def test_percent_runs_with_invalid_bytes():
+    coded = "".join(f"%{b:02x}" for b in b"\xe9 " + INNER.encode() + b" \xff\xc3\xa9\xc3")
+    base, every, layers, _ = secrets.scan(f"a {coded} b")
+    assert not base and [x[1] for x in every] == [0] and layers == 2
+    assert secrets.percent_decoded("%ff%41%c3%a9%c3") == "%FFAé%C3" and secrets.percent_decoded("%ff%FE") is None
+    assert secrets.scan("%ff%fe" * 9)[2] == 1 and secrets.scan("%25ff" * 9)[2] == 2
+
+
 def test_cycles_and_bombs():
     assert secrets.scan("%25" * 50)[2] < 60
     secrets.MAX_LAYER, keep = 1000, secrets.MAX_LAYER
