@@ -138,9 +138,8 @@ def document_keys(spark, sf_dir):
 
 @query("fuzzy_cluster")
 def fuzzy_cluster(spark, sf_dir):
-    """Near copies within a source by their first line."""
-    first = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 150)
-    d = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", first.alias("key"))
+    """Near copies within a source by their whole texts."""
+    d = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.coalesce("text", F.lit("")).alias("key"))
     return diffs.clustered(d, ["source"], ["lang"], "key", ["doc_id"]).select("source", "doc_id", "cluster", "representative", "size")
 
 

@@ -75,6 +75,45 @@ def test_first_match_and_attach(spark):
     assert {r.id: r.p and [x.v for x in r.p] for r in lookups.attach_rows(items.select("id"), "id", rows, "pos", ["v"], "p").collect()} == {1: ["x", "y"], 2: None}
 
 
+def test_fuzzy_cluster_compares_whole_texts(spark, tmp_path):
+    """The registered query against the plain greedy pass."""
+    import difflib
+    import random
+
+    from docweave.plans.texts import fuzzy_cluster
+
+    rng = random.Random(1)
+    words = [a + b + c for a in "kmst" for b in "aeio" for c in "nrlx"]
+    head = " ".join(rng.choices(words, k=60))
+    rows = []
+    for _ in range(90):
+        if rows and rng.random() < 0.6:
+            text = list(rng.choice(rows)[3])
+            for _ in range(rng.randint(0, len(text) // 4)):
+                text[rng.randrange(len(text))] = rng.choice("abxyzé\n")
+            text = "".join(text)
+        else:
+            text = rng.choice(["", head + "\n", "a\n"]) + " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 40, 80])))
+        rows.append((len(rows), rng.choice(["s", "t"]), rng.choice(["en", "de"]), text))
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for source in ("s", "t"):
+        clusters = []  # (lang, first key, rows)
+        for i, _, lang, t in (r for r in rows if r[1] == source):
+            for c in clusters:
+                if c[0] == lang and (t in [k for _, k in c[2]] or difflib.SequenceMatcher(None, t, c[1]).ratio() >= 0.8):
+                    c[2].append((i, t))
+                    break
+            else:
+                clusters.append((lang, t, [(i, t)]))
+        for n, (_, _, own) in enumerate(clusters):
+            keys = [k for _, k in own]
+            top = max(dict.fromkeys(keys), key=keys.count)
+            lead = next(i for i, k in own if k == top)
+            want |= {i: (source, n, i == lead, len(own)) for i, _ in own}
+    assert {r.doc_id: (r.source, r.cluster, r.representative, r["size"]) for r in fuzzy_cluster(spark, str(tmp_path)).collect()} == want
+
+
 def test_stale_and_due(spark):
     targets = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")], "u string, t string")
     state = spark.createDataFrame([("a", "1", 2, None), ("b", "1", 2, None), ("c", "3", 1, None), ("e", "4", 2, "5")], "u string, t string, v int, err_t string")
