@@ -114,6 +114,53 @@ def test_fuzzy_cluster_compares_whole_texts(spark, tmp_path):
     assert {r.doc_id: (r.source, r.cluster, r.representative, r["size"]) for r in fuzzy_cluster(spark, str(tmp_path)).collect()} == want
 
 
+def test_char_diff_meets_all_texts(spark, tmp_path):
+    """The registered query against all pairs, of documents that begin alike or share three quarters of their shingles."""
+    import random
+
+    from docweave.plans.texts import char_diff
+
+    rng = random.Random(6)
+    words = [a + b + c for a in "kmst" for b in "aeio" for c in "nrlx"]
+    texts = [None, "", "short", "short"]
+    for k in range(6):
+        base = rng.choices(words, k=120)
+        texts += [" ".join(base)] * 2
+        for at in ((0, 1), (100,), (60, 110), (3,)):  # within the first 60 characters and after them
+            copy = list(base)
+            for i in at:
+                copy[i] = f"x{k}{i}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[:20] + rng.choices(words, k=100)))  # begins alike only
+        texts.append(texts[-7])
+    rows = list(enumerate(texts, 1))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def shingles(t):
+        w = t.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: shingles(t or "") for i, t in rows}
+    near = {i: {j for j in sets if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} for i in sets}
+    groups = []
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        groups.append(frozenset(seen))
+    groups += [frozenset(j for j, u in rows if u is not None and u[:60] == t[:60]) for t in texts if t is not None]
+    own, want = dict(rows), {}
+    for g in set(groups):
+        first = min(g)
+        for t in {own[j] for j in g} - {own[first]}:
+            last = min(j for j in g if own[j] == t)
+            want[first, last] = diffs.marked_changes(own[first], t)
+    got = {(r["first"], r["last"]): (r.before, r.after) for r in char_diff(spark, str(tmp_path)).collect()}
+    assert len(want) > 20 and got == want
+
+
 def test_stale_and_due(spark):
     targets = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")], "u string, t string")
     state = spark.createDataFrame([("a", "1", 2, None), ("b", "1", 2, None), ("c", "3", 1, None), ("e", "4", 2, "5")], "u string, t string, v int, err_t string")
