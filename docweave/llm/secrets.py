@@ -5,8 +5,9 @@ escapes, character escapes, base64 runs and compressed bytes in it are unwrapped
 layers, each with a map from its characters to places of the text, until no layer is new. A
 layer that has come from the same place before ends a cycle. Bytes that aren't UTF-8 are read as
 Latin-1, so binary layers are scanned like others; in a run of percent escapes the bytes that
-aren't UTF-8 stay escapes. Only decoded bytes beyond
-MAX_LAYER in one layer aren't unwrapped (a guard against bombs, counted in n_refused); text
+aren't UTF-8 stay escapes. All members of compressed bytes are unwrapped, and of a cut or damaged
+stream what it gives. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
+counted in n_refused, since what is encoded across the end of a piece can be missed there; text
 itself is scanned whole at any length.
 
 Defined results: null counts as empty; spans are code points of the text, end exclusive; what a
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 #: Fixed kinds, in the order that breaks ties between spans of one start.
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
+#: Bytes that two pieces of a larger layer share, that a decompressor gives at once, and that it is fed.
+OVERLAP, STEP, FEED = 1 << 20, 1 << 20, 1 << 10
 REDACTED = "[REDACTED]"
 
 
@@ -159,29 +162,59 @@ def base64_decoded(run: str) -> bytes | None:
         return None
 
 
-class Refused(Exception):
-    """A layer would be larger than the guard allows."""
-
-
-def decompressed(raw: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2 or xz bytes, or None."""
+def _opened(raw: bytes):
+    """A decompressor for gzip, zlib, bzip2 or xz bytes, or None."""
     if raw[:2] == b"\x1f\x8b":
-        maker = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        maker = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        maker = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        maker = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = maker.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    if len(out) > MAX_LAYER:
-        raise Refused
-    return out if maker.eof else None
+        return zlib.decompressobj(31)
+    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def unpacked(raw: bytes) -> Iterator[bytes]:
+    """The content of all members, in parts of at most STEP bytes; ends where a stream is cut or damaged."""
+    at = 0
+    while (maker := _opened(raw[at : at + 6])) is not None:
+        while not maker.eof:
+            # small steps, since a stream that turns out damaged loses what the call had given
+            step = raw[at : at + FEED]
+            if not step:
+                return
+            at += len(step)
+            while True:
+                try:
+                    out = maker.decompress(step, STEP)
+                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                    return
+                if out:
+                    yield out
+                step = getattr(maker, "unconsumed_tail", b"")
+                if maker.eof or not (step or (len(out) == STEP if hasattr(maker, "unconsumed_tail") else not maker.needs_input)):
+                    break
+        at -= len(maker.unused_data)
+    if at < len(raw):
+        yield raw[at:]  # what follows the last member
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """The content in pieces of about MAX_LAYER bytes at most, each beginning with the last OVERLAP of the one before; nothing for other bytes."""
+    if _opened(raw[:6]) is None:
+        return
+    held, fresh = bytearray(), False
+    for part in unpacked(raw):
+        for at in range(0, len(part), MAX_LAYER):
+            some = part[at : at + MAX_LAYER]
+            if fresh and len(held) + len(some) > MAX_LAYER:
+                yield bytes(held)
+                del held[: -min(OVERLAP, MAX_LAYER // 2)]
+            held += some
+            fresh = True
+    if fresh:
+        yield bytes(held)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -196,17 +229,20 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         layer = work.pop()
         if isinstance(layer, tuple):
             raw, whole = layer
-            try:
-                inner = decompressed(raw)
-            except Refused:
-                refused += 1
+            key = hashlib.blake2b(raw, digest_size=16).digest(), whole, "bytes"
+            if key in seen:
                 continue
-            key = hashlib.blake2b(raw, digest_size=16).digest(), whole
-            if inner is not None:
-                if key not in seen:
-                    seen.add(key)
+            seen.add(key)
+            amount = 0
+            for inner in pieces(raw):
+                amount += 1
+                if amount > 1:  # a large layer: nothing of it is held but the piece at hand
+                    _, found, more, less = scan(inner.decode("latin-1"))
+                    every |= {(whole[0], kind, whole[1]) for _, kind, _ in found}
+                    layers, refused = layers + more, refused + less
+                else:
                     work.append((inner, whole))
-                continue
+            refused += amount > 1
             try:
                 plain = raw.decode()
             except UnicodeDecodeError:

@@ -84,6 +84,22 @@ def test_percent_runs_with_invalid_bytes():
     assert secrets.scan("%ff%fe" * 9)[2] == 1 and secrets.scan("%25ff" * 9)[2] == 2
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_members_and_cut_streams(pack, monkeypatch):
+    kinds = lambda raw: {k for _, k, _ in secrets.scan(base64.b64encode(raw).decode())[1]}
+    noise = np.random.default_rng(1).bytes(3000)
+    assert kinds(pack(b"first") + pack(INNER.encode())) == {0}
+    assert kinds(pack(b'x token = "abc') + pack(b'def123456"')) == {0}  # over the end of a member
+    assert kinds(pack(b"first") + b"\0\0 " + INNER.encode()) == {0}
+    if pack is not bz2.compress:  # a block of bzip2 is given whole or not at all
+        assert kinds(pack(INNER.encode() + noise)[:-1500]) == {0}
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    monkeypatch.setattr(secrets, "STEP", 100)
+    for before in (10, 980, 995, 1490, 5000):
+        _, every, _, refused = secrets.scan(base64.b64encode(pack(b"." * before + b" " + INNER.encode() + b" " * 1200)).decode())
+        assert {k for _, k, _ in every} == {0} and refused == 1
+
+
 def test_cycles_and_bombs():
     assert secrets.scan("%25" * 50)[2] < 60
     secrets.MAX_LAYER, keep = 1000, secrets.MAX_LAYER
