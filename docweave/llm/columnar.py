@@ -10,11 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 2 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C13)  # 3 modulo 4
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -101,9 +100,44 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(~SPACE[data], offsets)
 
 
+#: Ranges over so many bytes are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_SIZE, _STEP = np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, little-endian, with zeros after the end; index it, then view as u8."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "V8", padded, strides=(1,))
+
+
+def lane(eight: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from start, of which left are in the range, as integers."""
+    return eight[start].view("<u8") & _MASK[np.minimum(left, 8)]
+
+
+def chained(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes of sequences that go on with value; no sum of values, so order and repeats don't cancel."""
+    return mix(state * _STEP + value)
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges of a block."""
-    return range_hash(prefix_sums(_BYTE[data]), start, end)
+    """64-bit hashes of byte ranges of a block: eight bytes at a time are mixed into a state, long ranges go to xxh3."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _SIZE)
+    if not len(out):
+        return out
+    eight = lanes(data)
+    out = chained(out, lane(eight, start, size))
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(more):
+        out[more] = chained(out[more], lane(eight, start[more] + at, size[more] - at))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed=LONG)
+    return out
 
 
 def owner(bounds: np.ndarray) -> np.ndarray:

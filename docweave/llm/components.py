@@ -1,8 +1,8 @@
 """Connected components of a graph of ids, by alternating large and small stars.
 
 Edges never leave the cluster. A node's least neighbour is combined before the shuffle; the join
-that brings it back to the node's edges is on narrow rows, whose hot keys Spark splits at run
-time. Each round is written, so a lost executor repeats no earlier round.
+that brings it back to the node's edges is on narrow rows and doesn't put a hot node's edges in
+one task. Each round is written, so a lost executor repeats no earlier round.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import materialise_counted
+from docweave.llm.storage import materialise_counted, skew_join
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
+def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """Edges (a, b), a > b. Every node's neighbours (large: the greater ones, of all; else the smaller ones) go to the least of all."""
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    met = near.join(near.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")), "u")
+    least = near.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
+    met = skew_join(near, least, "u", F.col("n"), 2 * total)
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,4 +36,4 @@ def components(links: DataFrame) -> DataFrame:
         if now.n == 0 or now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
-        edges = star(star(edges, large=True), large=False)
+        edges = star(star(edges, now.n, large=True), now.n, large=False)

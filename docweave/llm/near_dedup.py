@@ -3,207 +3,241 @@
 A text's signature has 60 symbols of 16 bits, in 12 chunks. By the pigeonhole principle two
 signatures that differ in at most 23 symbols have a chunk in which at most one differs; so every
 chunk is entered under the keys of each choice of one allowed error, and all pairs under the
-distance meet in a bucket. (At a similarity of 0.75 a pair meets but for 6 in a million.)
-
-Texts of equal shingle sets are one class, of which only the smallest id goes on. Within a bucket
-no pairs are listed: members are linked to a few pivots, each to the ones it shares most buckets
-with, links are confirmed on full sets and components formed. Buckets whose members are all of
-one component are done. What stays open after some rounds is closed: all members outside their
-bucket's largest component meet all members of other components there, in blocks. Of these pairs
-those go on to the full sets whose fine signatures, of 1024 bits, are within FAR; a pair of
-similarity 0.75 is farther apart but for 9 in a million.
+distance meet in a bucket. (At a similarity of 0.75 a pair meets but for 6 in a million; pairs
+that meet and differ in over FARTHEST symbols, for which it's 1 in 10 million, are let go.)
+
+Texts of equal shingle sets are one class, of which only the smallest id goes on. Pairs are never
+listed. Every member has a home, the fullest of its buckets, and homes are cut into tiles of
+bounded rows and bytes. Two tiles that share a bucket are compared as two blocks: signatures by
+distance, then full sets, links only where they join what is apart so far. First each tile meets
+itself and one pivot tile of each bucket, which is work in proportion to the members and leaves
+of a large group one component and some outsiders. Then tiles are cut anew, with outsiders apart, and
+those pairs of tiles meet that share a bucket and aren't all of one component. Nothing that shares
+a bucket is left out.
 
 Defined results: null text has no words; texts without words, and null ids, are linked with
-nothing; texts of fewer than five words are one shingle; rows that repeat an id are one node.
+nothing; texts of fewer than five words are one shingle; rows that repeat an id are one node;
+texts of any length are compared whole; other columns, whatever their names, are not looked at;
+an empty table gives no rows. Shingles are compared by 64-bit hashes of their words' bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.columnar import blocks
 from docweave.llm.components import components
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.shingles import FINE, bucket_keys, fine_signatures, shingle_sets, signatures
-from docweave.llm.storage import materialise, materialise_counted, skew_join
+from docweave.llm.shingles import SYMBOLS, bucket_keys, shingle_sets, signatures
+from docweave.llm.storage import free_name, materialise, materialise_counted, skew_join
 
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-PIVOTS, BEST, ROUNDS = 8, 2, 2
-#: Bits in which fine signatures may differ: 4.3 deviations over the mean of a pair that is just similar enough.
-_MEAN = FINE * (1 - SIMILARITY / 100) / 2
-FAR = int(_MEAN + 4.3 * (_MEAN * (1 - _MEAN / FINE)) ** 0.5)
-#: Pairs of a block, and pairs of one pivot that are confirmed in one task.
-BLOCK_PAIRS, TASK_PAIRS = 4_000_000, 500
+#: Symbols in which signatures of a pair that is compared on full sets may differ.
+FARTHEST = 34
+#: Members and shingles of a tile (a single text may have more), and pairs of one tile that are dealt as one.
+TILE, TILE_SHINGLES, DEALT = 512, 1 << 20, 64
+
+
+def lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel(), kind))
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """(id, n_shingles, set_key, keys): a digest of the shingle set (null when empty) and the bucket keys."""
+    """(id, n_shingles, set_key, signature): a digest of the shingle set (null when empty) and the symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
-                keys = bucket_keys(signatures(sets))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                symbols = [s.tobytes() for s in signatures(sets)]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=24).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n_shingles", "set_key", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.binary())], names=["id", "n_shingles", "set_key", "signature"])
+
+    return texts.mapInArrow(run, "id long, n_shingles long, set_key binary, signature binary")
 
-    return texts.mapInArrow(run, "id long, n_shingles long, set_key binary, keys array<long>")
 
+def symbols_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
 
-LIMBS = [f"s{i}" for i in range(FINE // 64)]
+
+def keyed(leading: DataFrame) -> DataFrame:
+    """(id, size, keys) of (id, n_shingles, signature): the keys of all chunks and allowed errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = bucket_keys(symbols_of(batch.column(2))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(keys, pa.int64())], names=["id", "size", "keys"])
+
+    return leading.select("id", "n_shingles", "signature").mapInArrow(run, "id long, size long, keys array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """(id, shingles, s0, s1, ...): the bytes of sorted 64-bit hashes, and the fine signature."""
+    """(id, shingles, signature): the bytes of sorted 64-bit hashes, and the symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
-                fine = fine_signatures(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(fine.T))], names=["id", "shingles", *LIMBS])
-
-    return texts.mapInArrow(run, "id long, shingles binary, " + ", ".join(f"{s} long" for s in LIMBS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in signatures(sets)], pa.binary())], names=["id", "shingles", "signature"])
+
+    return texts.mapInArrow(run, "id long, shingles binary, signature binary")
+
+
+def linking(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], symbols: np.ndarray, first_other: int, similarity: int = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Links that join what is apart. Rows before first_other meet those from there on; all meet all if it's the end."""
+    n = len(ids)
+    itself = first_other == n
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    label = np.unique(roots, return_inverse=True)[1]
+    codes: np.ndarray | None = None
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(first_other):
+        others = np.arange(i + 1 if itself else first_other, n)
+        others = others[(label[others] != label[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])) & (sizes[others] > 0)]
+        others = others[(symbols[others] != symbols[i]).sum(axis=1) <= FARTHEST]
+        if not len(others):
+            continue
+        if codes is None:
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            own = np.zeros(len(codes), np.uint8)
+        mine = codes[ends[i] : ends[i + 1]]
+        own[mine] = 1
+        theirs = np.concatenate([codes[ends[j] : ends[j + 1]] for j in others.tolist()])
+        common = np.add.reduceat(own[theirs], np.concatenate(([0], np.cumsum(sizes[others])[:-1])), dtype=np.int64)
+        own[mine] = 0
+        for j in others[100 * common >= similarity * (sizes[i] + sizes[others] - common)].tolist():
+            if label[j] != label[i]:
+                yield int(ids[i]), int(ids[j])
+                label[label == label[j]] = label[i]
+
+
+def compared(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Links (a, b) between members of the pairs (x, y) of tiles (tile, id, root), x <= y. A pair is one group of rows, of the size of two tiles."""
+    many = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("tile")).groupBy("tile").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    copies = tiles.join(many, "tile").select("tile", "id", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sides = pairs.select("x", "y", F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "tile"))
+    sides = sides.join(many, "tile").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int"))
+    rows = sides.join(copies, ["tile", "part"]).select("x", "y", "side", "id", "root").join(sets, "id")
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", "side").select("x", "y", "side", "id", "root", "shingles", "signature")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-def distance(a: str, b: str) -> Column:
-    """Bits in which two fine signatures differ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in LIMBS])
-
+        def links() -> Iterator[tuple[int, int]]:
+            group = pa.concat_tables(held).combine_chunks()
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            other = int(np.count_nonzero(np.asarray(group.column("side")) == 0))
+            yield from linking(np.asarray(group.column("id")), np.asarray(group.column("root")), sets, symbols_of(group.column("signature")), other, similarity)
 
-def confirmed(pairs: DataFrame, total: int, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b), total in all, whose full sets are similar enough. Pairs of one a are dealt over as many tasks as they need."""
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("parts"), F.count("*").alias("n"))
-    copies = sets.join(spread, sets.id == spread.a).select("a", F.col("shingles").alias("of_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-    dealt = skew_join(pairs, spread, "a", F.col("n"), total)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
-    both = dealt.join(copies.select("a", "part", "of_a"), ["a", "part"]).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+        def as_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
+            table = pa.Table.from_batches([batch])
+            x, y = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cut = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            found: list[tuple[int, int]] = []
+            for start, end in zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True):
+                if end == start:
                     continue
-                at = np.searchsorted(x, y)
-                common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)) if len(x) else 0
-                keep.append(100 * common >= similarity * (len(x) + len(y) - common) and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
+                now = (x[start], y[start])
+                if held and now != last:
+                    found += links()
+                    held.clear()
+                held.append(table.slice(start, end - start))
+                last = now
+            yield as_batch(found)
+        if held:
+            yield as_batch(list(links()))
 
-def fitting(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    return pairs.where(F.lit(100) * F.least("size_a", "size_b") >= F.lit(SIMILARITY) * F.greatest("size_a", "size_b"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def still_open(members: DataFrame, labels: DataFrame | None, total: int) -> tuple[DataFrame, int]:
-    """The members, with their roots, of buckets that hold more than one component; and their number."""
-    if labels is None:
-        rooted = members.select("bucket", "id", "size", F.col("id").alias("root"))
-    else:
-        rooted = members.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    out, seen = materialise_counted(skew_join(rooted, mixed, "bucket", F.col("n"), total).drop("n"), "open")
-    return out, seen.n
+def tiled(members: DataFrame, homes: DataFrame, apart: list[str]) -> DataFrame:
+    """(id, root, tile) of homes (id, home, size, root): tiles of members of one home that agree in the columns apart."""
+    full = homes.groupBy("home", *apart).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n"))
+    cut = skew_join(homes, full, ["home", *apart], F.col("n"), 0)
+    return cut.select("id", "root", F.xxhash64("home", *apart, F.pmod(F.xxhash64("id"), F.col("parts"))).alias("tile"))
 
 
-def near_pivots(open_members: DataFrame, turn: int, total: int) -> DataFrame:
-    """Pairs (a: pivot, b) to confirm: for each member the BEST pivots of other components, with which it shares most buckets."""
-    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS))
-    pivots = open_members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct(F.col("id"), F.col("root"), F.col("size"))).alias("p"), F.count("*").alias("k"))
-    pivots = pivots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"), F.sum("k").alias("n"))  # at most PIVOTS of a bucket
-    met = skew_join(open_members, pivots, "bucket", F.col("n"), total).select("id", "root", "size", F.explode("pivots").alias("p"))
-    met = met.where("p.root <> root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.size").alias("size_a"), F.col("size").alias("size_b"))
-    shared = fitting(met).groupBy("a", "b").count()
-    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a")))
-    return ranked.where(F.col("r") <= BEST).select("a", "b")  # a member has at most PIVOTS pivots in each of its buckets
+def ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
 
-def outsiders(open_members: DataFrame, total: int) -> DataFrame:
-    """Members outside the largest component of their bucket, with the number of others there."""
-    sizes = open_members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    few = skew_join(open_members, largest, "bucket", F.col("n"), total).where("root <> top.root")
-    return few.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), "n")
+def star_pairs(in_buckets: DataFrame) -> DataFrame:
+    """Pairs of tiles of each bucket: each with itself, and with the one that has most of the bucket's members."""
+    pivot = in_buckets.groupBy("bucket").agg(F.max(F.struct("n", "tile"))["tile"].alias("pivot"))
+    met = in_buckets.join(pivot, "bucket")
+    alone = met.where("n > 1").select(F.col("tile").alias("x"), F.col("tile").alias("y"))
+    return met.where("tile <> pivot").select(*ordered("tile", "pivot")).unionByName(alone).distinct()
 
 
-def rest_pairs(open_members: DataFrame, few: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an outsider and a member of another component in its bucket, near enough by fine signatures."""
-    fine = sets.select(F.col("id"), F.struct(*LIMBS).alias("fine"))
-    left = few.drop("n").join(fine.select(F.col("id").alias("a"), F.col("fine").alias("fine_a")), "a")
-    right = open_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    right = right.join(few.select("bucket").distinct(), "bucket", "left_semi").join(fine.select(F.col("id").alias("b"), F.col("fine").alias("fine_b")), "b")
-    met = left.join(right, "bucket").where("root_a <> root_b").where(distance("fine_a", "fine_b") <= FAR)
-    return fitting(met).select("a", "b").distinct()
+def open_pairs(in_buckets: DataFrame) -> DataFrame:
+    """Pairs of tiles that share a bucket and aren't all of one root (low = high); none where both are the bucket's main root."""
+    top = in_buckets.where("low = high").groupBy("bucket", "low").agg(F.sum("n").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "low"))["low"].alias("top"))
+    left = in_buckets.join(top, "bucket", "left").where("top IS NULL OR low <> top OR high <> top").select("bucket", F.col("tile").alias("t"), F.col("low").alias("l"), F.col("high").alias("h"))
+    met = left.join(in_buckets, "bucket").where("least(l, low) <> greatest(h, high)")
+    return met.select(*ordered("t", "tile")).distinct()
 
 
 def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
-    """(id, root) of the leading texts that belong to a smaller one; None if no two meet."""
-    entries = leading.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("bucket"))
+    """(id, root) of the leading texts that belong to a smaller one; None if no two are linked."""
+    entries = keyed(leading).select("id", "size", F.explode("keys").alias("bucket"))
     full, seen = materialise_counted(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", F.sum("n").alias("members"))
     if not seen.n:
         return None
-    members = materialise(skew_join(entries, full, "bucket", F.col("n"), seen.members).select("bucket", "id", "size"), "members")
-    sets = materialise(sets_of(texts.join(members.select("id").distinct(), "id")), "sets")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-
-    def learn(pairs: DataFrame) -> bool:
-        """Confirm pairs; whether there were links among them."""
-        nonlocal links, labels
-        pairs, to_confirm = materialise_counted(pairs, "pairs")
-        if not to_confirm.n:
-            return False
-        new, found = materialise_counted(confirmed(pairs, to_confirm.n, sets), "links")
-        if not found.n:
-            return False
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        return True
-
-    current, n = still_open(members, labels, seen.members)
-    for turn in range(ROUNDS):
-        if not n or not learn(near_pivots(current, turn, n)):
-            break
-        current, n = still_open(current.drop("root"), labels, n)
-    if n:
-        few, rest = materialise_counted(outsiders(current, n), "outsiders", F.sum("n").alias("pairs"))
-        of = -(-(rest.pairs or 0) // BLOCK_PAIRS)
-        for block in range(of):
-            learn(rest_pairs(current, few.where(F.pmod(F.xxhash64("a"), F.lit(of)) == block), sets))
+    members = materialise(skew_join(entries, full, "bucket", F.col("n"), seen.members).select("bucket", "id", "size", "n"), "members")
+    homes = materialise(members.groupBy("id").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("size").alias("size")), "homes")
+    sets = materialise(sets_of(texts.join(homes.select("id"), "id").select("id", "text")), "sets")
+
+    tiles = materialise(tiled(members, homes.withColumn("root", F.col("id")), []), "tiles")
+    in_buckets = members.select("bucket", "id").join(tiles, "id").groupBy("bucket", "tile").agg(F.count("*").alias("n"))
+    in_buckets = materialise(in_buckets, "tiles-in-buckets")
+    links, found = materialise_counted(compared(star_pairs(in_buckets), tiles, sets), "links")
+    labels = components(links) if found.n else None
+
+    rest, left = materialise_counted(in_buckets.groupBy("bucket").count().where("count > 2").select("bucket"), "open-buckets")
+    if left.n:
+        rooted = homes.withColumn("root", F.col("id")) if labels is None else homes.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = rooted.groupBy("home", "root").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"))
+        rooted = skew_join(rooted, main, "home", F.col("n"), 0).withColumn("outside", F.col("root") != F.col("main")).select("id", "home", "size", "root", "outside")
+        tiles = materialise(tiled(members, rooted, ["outside"]), "tiles")
+        rows = members.select("bucket", "id").join(rest, "bucket").join(tiles, "id")
+        in_buckets = rows.groupBy("bucket", "tile").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        more, also = materialise_counted(compared(open_pairs(in_buckets), tiles, sets), "links")
+        if also.n:
+            labels = components(more if labels is None else more.unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = materialise(profiles(texts), "profiles")
+    profile, seen = materialise_counted(profiles(texts), "profiles")
     valid = profile.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = tree_merge(valid.select("id", F.col("set_key").alias("key")), "min", name="set-runs").select(F.col("key").alias("set_key"), F.col("keep_id").alias("class_id"), "group_size")
     leading = valid.join(classes, (valid.set_key == classes.set_key) & (valid.id == classes.class_id), "left_semi")
-    labels = linked_roots(texts, leading.select("id", "n_shingles", "keys"))
+    labels = linked_roots(texts, leading.select("id", "n_shingles", "signature"))
     if labels is not None:
         classes = classes.join(labels.select(F.col("id").alias("class_id"), "root"), "class_id", "left").withColumn("class_id", F.coalesce("root", "class_id"))
     found = materialise(classes.select("set_key", F.col("class_id").alias("component_id"), "group_size"), "classes")
-    linked = skew_join(valid.select("id", "n_shingles", "set_key"), found, "set_key", F.col("group_size"), profile.count()).select("id", "n_shingles", "component_id")
+    linked = skew_join(valid.select("id", "n_shingles", "set_key"), found, "set_key", F.col("group_size"), seen.n).select("id", "n_shingles", "component_id")
     alone = profile.where("set_key IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each component keeps the one with the smallest id, with all their columns."""
-    lost = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).cast("long").alias("__id")).distinct()
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    own = free_name(docs, "lost")
+    lost = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).cast("long").alias(own)).distinct()
+    return docs.join(lost, F.col(id_col).cast("long") == F.col(own), "left_anti")

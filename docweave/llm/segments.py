@@ -2,8 +2,8 @@
 
 A segment is white space and what follows it up to the next white space; no pattern or piece
 used here reaches over its start, so a text's tokens are those of its segments, joined. Known
-segments sit in a direct-mapped table by hash: memory is bounded whatever the vocabulary, and
-a segment that was pushed out is only tokenized again.
+segments sit in a direct-mapped table by hash, with their bytes: memory is bounded whatever the
+vocabulary, a segment that was pushed out is only tokenized again, and equal hashes don't matter.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from docweave.llm.columnar import SPACE, hashes
+from docweave.llm.columnar import SPACE, chained, lane, lanes, mix
 
-SLOTS = 1 << 20
+SLOTS = 1 << 19
+#: Segments of up to 8 * LANES bytes sit in slots; of longer ones at most HELD_MANY, of at most HELD_MAX bytes.
+LANES, HELD_MANY, HELD_MAX = 3, 20_000, 1024
 
 _SPLIT_SPACE = np.zeros(256, bool)
 _SPLIT_SPACE[[0x20, 0x0A]] = True
@@ -60,15 +62,20 @@ def run_of_spaces_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """encode takes new segments (bytes, and whether each begins a text) and returns their codes."""
+    """encode takes new segments (bytes, and whether each begins a text) and returns their codes.
+
+    A slot holds the bytes of its segment, so a code is only given to equal bytes; segments that
+    are longer than a slot are looked up by their bytes, and those beyond HELD_MAX aren't kept.
+    """
 
     def __init__(self, starts: Callable, encode: Callable[[list[bytes], np.ndarray], np.ndarray], first_differs: bool = False):
         self.starts, self.encode, self.first_differs = starts, encode, first_differs
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
+        self.held = np.zeros((SLOTS, LANES + 1), np.uint64)  # size and first mark, then the bytes
         self.codes = np.zeros(SLOTS, np.int64)
+        self.long: dict[tuple[bytes, bool], int] = {}
 
     def codes_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The code of each segment of a block, and the texts' bounds among them."""
@@ -77,23 +84,51 @@ class Segments:
         if not len(start):
             return np.zeros(0, np.int64), bounds
         end = np.append(start[1:], len(data))
-        key = hashes(data, start, end)
+        size = end - start
         first = np.zeros(len(start), bool)
         first[bounds[:-1][np.diff(bounds) > 0]] = True
-        if self.first_differs:
-            key[first] ^= np.uint64(0x5851F42D4C957F2D)
+        marked = first & self.first_differs
+        out = np.empty(len(start), np.int64)
+
+        short = np.flatnonzero(size <= 8 * LANES)
+        eight = lanes(data)
+        own = np.empty((len(short), LANES + 1), np.uint64)
+        own[:, 0] = size[short].astype(np.uint64) << np.uint64(1) | marked[short]
+        key = mix(own[:, 0] + np.uint64(1))
+        for k in range(LANES):
+            left = np.maximum(size[short] - 8 * k, 0)
+            own[:, k + 1] = lane(eight, np.minimum(start[short] + 8 * k, len(data)), left)
+            key = chained(key, own[:, k + 1])
         slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = self.codes[slot]
-        new = np.flatnonzero(self.keys[slot] != key)
-        if len(new):
-            fresh, at, back = np.unique(key[new], return_index=True, return_inverse=True)
-            at = new[at]
-            raw, s, e = data.tobytes(), start[at].tolist(), end[at].tolist()
-            codes = self.encode([raw[a:b] for a, b in zip(s, e, strict=True)], first[at])
-            out[new] = codes[back]
-            slot = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
-            self.keys[slot], self.codes[slot] = fresh, codes
-            # of several fresh keys for a slot numpy keeps the last for both arrays alike
+        missed = np.flatnonzero((self.held[slot] != own).any(axis=1))
+        out[short] = self.codes[slot]
+
+        fresh, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
+        same = (own[missed] == own[missed[at]][back]).all(axis=1)  # False only where hashes of two segments are equal
+        once = np.concatenate((missed[at], missed[~same]))
+        long = np.flatnonzero(size > 8 * LANES)
+        raw = data.tobytes()
+        by_bytes = [(raw[a:b], m) for a, b, m in zip(start[long].tolist(), end[long].tolist(), marked[long].tolist(), strict=True)]
+        unknown = {x: None for x in by_bytes if x not in self.long}
+        of_once = short[once]
+        segments = [raw[a:b] for a, b in zip(start[of_once].tolist(), end[of_once].tolist(), strict=True)] + [x for x, _ in unknown]
+        if segments:
+            marks = np.concatenate((marked[of_once] if self.first_differs else first[of_once], np.fromiter((m for _, m in unknown), bool, len(unknown))))
+            codes = self.encode(segments, marks)
+            of_fresh = codes[: len(fresh)]
+            out[short[missed]] = of_fresh[back]
+            out[short[missed[~same]]] = codes[len(fresh) : len(once)]
+            slot = slot[missed[at]]
+            self.codes[slot], self.held[slot] = of_fresh, own[missed[at]]
+            # of several fresh segments for a slot numpy keeps the last for both arrays alike
+            new = dict(zip(unknown, codes[len(once) :].tolist(), strict=True))
+        else:
+            new = {}
+        out[long] = [new[x] if x in new else self.long[x] for x in by_bytes]
+        if new:
+            if len(self.long) + len(new) > HELD_MANY:
+                self.long.clear()
+            self.long.update((x, c) for x, c in new.items() if len(x[0]) <= HELD_MAX)
         return out, bounds
 
 

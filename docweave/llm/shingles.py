@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-from docweave.llm.columnar import LOWER, hashes, mix, prefix_sums, range_hash, windows, words
+from docweave.llm.columnar import LOWER, chained, hashes, mix, windows, words
 
 WIDTH = 5
 #: Signatures have CHUNKS chunks of CHUNK symbols of 16 bits.
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 
-#: Bits of the fine signatures, one of each hash function.
-FINE = 1024
-
 _rng = np.random.Generator(np.random.PCG64(4711))
 _FACTOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERM = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
-_FINE_FACTOR = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_TERM = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64)
 _SALT = _rng.integers(0, 1 << 63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
@@ -26,18 +21,25 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes of the shingles of a block's texts, repeats included, and the texts' bounds among them."""
     data = LOWER[data]
     start, end, bounds = words(data, offsets)
-    sums = prefix_sums(hashes(data, start, end))
+    key = hashes(data, start, end)
     count = np.diff(bounds)
     short = (count > 0) & (count < WIDTH)
     at, _ = windows(bounds, WIDTH)
-    each = np.maximum(count - WIDTH + 1, 0) + short
-    ends = np.concatenate(([0], np.cumsum(each)))
+    ends = np.concatenate(([0], np.cumsum(np.maximum(count - WIDTH + 1, 0) + short)))
     out = np.empty(ends[-1], np.uint64)
     alone = ends[:-1][short]
     rest = np.ones(ends[-1], bool)
     rest[alone] = False
-    out[rest] = range_hash(sums, at, at + WIDTH)
-    out[alone] = range_hash(sums, bounds[:-1][short], bounds[1:][short])
+    whole = np.zeros(len(at), np.uint64)
+    for k in range(WIDTH):
+        whole = chained(whole, key[at + k])
+    out[rest] = whole
+    few, size = bounds[:-1][short], count[short]
+    part = mix(size.astype(np.uint64))
+    for k in range(WIDTH - 1):
+        on = size > k
+        part[on] = chained(part[on], key[few[on] + k])
+    out[alone] = part
     return out, ends
 
 
@@ -71,17 +73,3 @@ def bucket_keys(signature: np.ndarray) -> np.ndarray:
                 packed = packed << np.uint64(16) | chunks[:, :, j]
         keys[:, :, left_out] = mix(packed ^ _SALT[:, left_out])
     return keys.reshape(len(signature), SYMBOLS)
-
-
-def fine_signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise signatures of one bit for each of FINE hash functions, as (texts, FINE / 64) integers."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    some = np.flatnonzero(sizes)
-    out = np.zeros((len(sets), FINE // 64), np.uint64)
-    if len(some):
-        flat = np.concatenate([sets[i] for i in some])
-        starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-        for k in range(FINE):
-            bit = mix(np.minimum.reduceat(flat * _FINE_FACTOR[k] + _FINE_TERM[k], starts)) >> np.uint64(63)
-            out[some, k // 64] |= bit << np.uint64(k % 64)
-    return out

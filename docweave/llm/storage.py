@@ -55,13 +55,24 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df, in any case, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def skew_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: Column, total: int) -> DataFrame:
-    """Inner join of rows with groups on key, where groups has one line per key and no nulls.
+    """Inner join of rows with groups on key, where groups has one line per key and no nulls, and size is its rows.
 
     Groups with size over total / HEAVY are at most HEAVY (times the keys a row has), so they
-    are broadcast; all others go by a shuffle in which no key holds more than that share.
+    are broadcast; all others go by a shuffle in which no key holds more than that share. With a
+    total of 0 it's the sum of size, taken by a job of its own.
     """
     keys = [key] if isinstance(key, str) else key
+    if not total:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     heavy = size > F.lit(max(1000, total // HEAVY))
     names = [c for c in groups.columns if c not in keys]
     hot = F.broadcast(groups.where(heavy).select(*keys, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hot")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -79,14 +80,48 @@ def test_near(docs, corpus):
     assert len(alone) == 2 and all(r.component_id is None and r.kept for r in alone)
 
 
-def test_near_without_rounds_is_exact_too(docs, corpus, monkeypatch):
-    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
-    monkeypatch.setattr(near_dedup, "BLOCK_PAIRS", 200)
+def test_near_in_small_tiles(docs, corpus, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 3)
+    monkeypatch.setattr(near_dedup, "DEALT", 2)
     want = brute_components(shingle_sets([(i, t) for i, t in corpus if i is not None]))
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect() if r.doc_id is not None}
     assert got == want
 
 
+def test_near_group_of_all_similarities(spark, monkeypatch):
+    """A group of copies with 0 to 9 words changed, of which many are just not similar enough, against brute force: full recall."""
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    rng = random.Random(8)
+    base = [rng.choice("kmstr") + str(rng.randrange(900)) for _ in range(100)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(i % 10):
+            words[rng.randrange(100)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_components(shingle_sets(rows))
+    assert got == want and 20 < len(set(want.values())) < 160
+
+
+def morse(n, a="a", b="b"):
+    out = [a, b]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return "".join(out)
+
+
+def test_words_of_equal_sums_are_told_apart(spark):
+    """Words that collide under any polynomial hash modulo 2 ** 64."""
+    rows = [(k + 2 * i, morse(n, *"ab"[:: 1 - 2 * k])) for i, n in enumerate((1024, 4096)) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == 4
+    long = spark.createDataFrame([(i, " ".join([t, *(f"w{k}" for k in range(60))][: 61 if i < 9 else 60])) for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(long).collect()} == {0: 0, 1: 60, 2: 60, 3: 60}
+
+
 def test_near_drop(docs):
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     kept = near_dedup.drop_near_duplicates(unique)
