@@ -1,19 +1,22 @@
 """Substring dedup by relative Lempel-Ziv parsing over word blocks.
 
-A document is factored against the blocks (WINDOW consecutive words) of all documents with
-smaller ids. The reference index holds, for each block, the first document it starts in. The
-parse goes from left to right: where the block at a word is indexed, a factor begins and grows by
-a word as long as the next block is indexed too; other words are literals. A block that lies
-across the end of a factor is looked up as every other, so no copy is missed at a boundary, and
-factors, which have WINDOW words at least, are the duplicate spans.
+A document is factored against the reference blocks (WINDOW consecutive words) of all documents
+with smaller ids. The reference index holds each block by a cryptographic digest of its text, with
+the first document and the place that it starts at. The parse goes from left to right: where the
+block at a word is indexed, a factor (start, length, reference document, place there) begins, and
+it grows by a word as long as the next block is the next one of the same reference; other words
+are literals. At the end of a factor the block that lies across the boundary is looked up as every
+other, so a copy that goes on in another reference is a factor of its own and none is missed.
+Factors, which have WINDOW words at least, are the duplicate spans.
 
 Most blocks never get into the index. Each block has an anchor, the least hash of its word
 sequences of ANCHOR words, which equal blocks share; only anchors that two documents have can
-mark a copy, and only blocks under them are exchanged, each once for a document. Documents of
-equal words are settled before: all but the first lose every word.
+mark a copy, and only blocks under them are exchanged. Documents of equal words are settled before:
+all but the first are one factor.
 
 Defined results: null text has no words; a null id matches nothing; rows that repeat an id don't
-cover each other; texts under WINDOW words stay whole; other columns are not looked at.
+cover each other; texts under WINDOW words stay whole; texts of any length are parsed whole; an
+empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.columnar import blocks, hashes, mix, prefix_sums, range_hash, windows, words
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.storage import materialise, skew_join
+from docweave.llm.storage import materialise, materialise_counted, skew_join
 
 WINDOW, ANCHOR = 50, 24
 
@@ -43,15 +46,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parsed:
-    """Words, block hashes and block anchors of the texts of an Arrow block."""
+    """Words and block anchors of the texts of an Arrow block."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
         self.raw = data.tobytes()
         self.start, self.end, self.bounds = words(data, offsets)
         key = hashes(data, self.start, self.end)
-        sums = prefix_sums(key)
         at, self.ends = windows(self.bounds, window)
-        self.block = range_hash(sums, at, at + window)
         if len(at):
             grams = range_hash(prefix_sums(mix(key ^ np.uint64(0xA0761D6478BD642F))), np.arange(len(key) - anchor + 1), np.arange(anchor, len(key) + 1))
             self.anchor = sliding_min(grams, window - anchor + 1)[at]
@@ -68,12 +69,23 @@ class Parsed:
             s, e = s[kept], e[kept]
         return b" ".join([self.raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
 
+    def digests(self, i: int, at: np.ndarray, window: int = WINDOW) -> list[bytes]:
+        """Digests of the text of the blocks that start at the given words of a text."""
+        if not len(at):
+            return []
+        size = (self.end - self.start)[self.bounds[i] : self.bounds[i + 1]] + 1
+        edge = np.concatenate(([0], np.cumsum(size)))
+        text = self.text(i)
+        return [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(edge[at].tolist(), (edge[at + window] - 1).tolist(), strict=True)]
 
-def factors(indexed: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first word, words) of the factors of a parse; indexed tells of each block whether it's in the index."""
-    edge = np.diff(np.concatenate(([0], indexed.astype(np.int8), [0])))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return [(a, b - a + window - 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+def factors(at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(start, length, reference, place there) of the factors of a parse, from the indexed blocks of a text in order."""
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(ref) != 0) | (np.diff(ref_at) != 1)) + 1
+    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
+    return list(zip(at[first].tolist(), (at[last] - at[first] + window).tolist(), ref[first].tolist(), ref_at[first].tolist(), strict=True))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -94,74 +106,92 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, words_sha binary, anchors array<long>")
 
 
-def indexed_blocks(docs: DataFrame) -> DataFrame:
-    """(id, block, check) of the blocks of (id, text, anchors) that lie under one of the anchors, once for a document."""
+def reference_blocks(docs: DataFrame) -> DataFrame:
+    """(id, mark, at, block) of the blocks of (id, text, anchors) that lie under one of the anchors: first word and digest.
+
+    mark tells apart the texts of an id that stands in several rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, shared = batch.column(0).to_numpy(), batch.column(2)
             for a, b, data, offsets in blocks(batch.column(1)):
                 own = Parsed(data, offsets)
-                out = []
+                doc, mark, at, block = [], [], [], []
                 for i in range(b - a):
-                    part = own.blocks_of(i)
-                    under = np.isin(own.anchor[part], np.asarray(shared[a + i].values).view(np.uint64))
-                    block, first = np.unique(own.block[part][under], return_index=True)
-                    out.append((np.full(len(block), ids[a + i]), block, own.anchor[part][under][first]))
-                doc, block, check = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(block.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["id", "block", "check"])
+                    under = np.flatnonzero(np.isin(own.anchor[own.blocks_of(i)], np.asarray(shared[a + i].values).view(np.uint64)))
+                    doc.append(np.full(len(under), ids[a + i]))
+                    mark.append(np.full(len(under), mark_of(hashlib.sha256(own.text(i)).digest())))
+                    at.append(under)
+                    block += own.digests(i, under)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(mark), pa.int64()), pa.array(np.concatenate(at), pa.int32()), pa.array(block, pa.binary())], names=["id", "mark", "at", "block"])
+
+    return docs.mapInArrow(run, "id long, mark long, at int, block binary")
+
+
+def mark_of(sha: bytes) -> int:
+    return int.from_bytes(sha[:8], "little", signed=True)
+
 
-    return docs.mapInArrow(run, "id long, block long, check int")
+FACTORS = "array<struct<start: long, length: long, ref_id: long, ref_start: long>>"
+_FACTORS = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "ref_id", "ref_start")]))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(id, words_sha, n_removed, kept_text) of (id, text, blocks), where blocks are the indexed ones."""
+    """(id, words_sha, n_removed, kept_text, factors) of (id, text, found, mark), where found are the indexed blocks (at, ref, ref_at) of the text of that mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
+            found, marks = batch.column(2), batch.column(3).to_pylist()
             for a, b, data, offsets in blocks(batch.column(1)):
                 own = Parsed(data, offsets)
-                sha, removed, texts = [], [], []
+                sha, removed, texts, parses, mine = [], [], [], [], []
                 for i in range(b - a):
-                    indexed = np.isin(own.block[own.blocks_of(i)], np.asarray(found[a + i].values).view(np.uint64))
+                    digest = hashlib.sha256(own.text(i)).digest()
+                    if mark_of(digest) != marks[a + i]:
+                        continue
+                    mine.append(a + i)
+                    at, ref, ref_at = (np.asarray(x) for x in found[a + i].values.flatten())
+                    order = np.argsort(at)
+                    parse = factors(at[order], ref[order], ref_at[order])
                     kept = np.ones(own.bounds[i + 1] - own.bounds[i], bool)
-                    for first, length in factors(indexed):
+                    for first, length, _, _ in parse:
                         kept[first : first + length] = False
-                    sha.append(hashlib.sha256(own.text(i)).digest())
+                    sha.append(digest)
                     removed.append(len(kept) - int(kept.sum()))
                     texts.append(own.text(i, kept).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sha, pa.binary()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "words_sha", "n_removed", "kept_text"])
+                    parses.append([dict(zip(("start", "length", "ref_id", "ref_start"), x, strict=True)) for x in parse])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine, pa.int64())), pa.array(sha, pa.binary()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(parses, _FACTORS)], names=["id", "words_sha", "n_removed", "kept_text", "factors"])
 
-    return docs.mapInArrow(run, "id long, words_sha binary, n_removed long, kept_text string")
+    return docs.mapInArrow(run, f"id long, words_sha binary, n_removed long, kept_text string, factors {FACTORS}")
 
 
-def duplicate_blocks(texts: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, blocks) that the parse has to look up, and (id, words_sha) of documents all of whose words go."""
+def indexed_blocks(texts: DataFrame, profile: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, found), the indexed blocks of each text, and (id, words_sha, keep_id) of texts all of whose words go."""
     whole = profile.where(f"n_words >= {WINDOW} AND id IS NOT NULL")
     first = tree_merge(whole.select("id", F.col("words_sha").alias("key")), "min", name="word-runs")
-    copies = skew_join(whole.select("id", F.col("words_sha").alias("key")), first.where("group_size > n_keep").select("key", "keep_id", "group_size"), "key", F.col("group_size"), profile.count())
-    copies = materialise(copies.where("id > keep_id").select("id", F.col("key").alias("words_sha")).distinct(), "word-copies")
+    copies = skew_join(whole.select("id", F.col("words_sha").alias("key")), first.where("group_size > n_keep").select("key", "keep_id", "group_size"), "key", F.col("group_size"), total)
+    copies = materialise(copies.where("id > keep_id").select("id", F.col("key").alias("words_sha"), "keep_id").distinct(), "word-copies")
     leading = whole.join(copies, ["id", "words_sha"], "left_anti")
-    anchors = leading.select("id", F.explode("anchors").alias("anchor"))
-    shared = materialise(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "anchors")
-    rows = shared.agg(F.sum("n")).first()[0] or 0
-    mine = skew_join(anchors, shared, "anchor", F.col("n"), rows).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    candidates = materialise(indexed_blocks(texts.join(mine, "id").select("id", "text", "anchors")), "blocks")
-    index = candidates.groupBy("block", "check").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("id").alias("last")).where("first < last").select("block", "check", "first", "n")
-    later = skew_join(candidates, index, ["block", "check"], F.col("n"), candidates.count()).where("id > first")
-    return later.groupBy("id").agg(F.collect_set("block").alias("blocks")), copies
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row for each document: id, n_words, n_removed, kept_sha256; with_text adds the kept words where some were removed."""
+    anchors = leading.select("id", "words_sha", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    shared, seen = materialise_counted(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "anchors", F.sum("n").alias("rows"))
+    mine = skew_join(anchors, shared, "anchor", F.col("n"), seen.rows or 1).groupBy("id", "words_sha").agg(F.collect_set("anchor").alias("anchors"))
+    mine = mine.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
+    candidates, met = materialise_counted(reference_blocks(texts.join(mine, "id").select("id", "text", "anchors")), "blocks")
+    index = candidates.groupBy("block").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"), F.max("id").alias("last")).where("first.id < last")
+    index = index.select("block", F.col("first.id").alias("ref"), F.col("first.at").cast("long").alias("ref_at"), "n")
+    later = skew_join(candidates, index, "block", F.col("n"), max(met.n, 1)).where("id > ref")
+    return later.groupBy("id", "mark").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), "ref", "ref_at")).alias("found")), copies
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_factors: bool = False) -> DataFrame:
+    """One row for each document: id, n_words, n_removed, kept_sha256; with_text adds the kept words where some were removed, with_factors the spans."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = materialise(profiles(texts), "profiles")
-    found, copies = duplicate_blocks(texts, profile)
-    cut = parsed(texts.join(found, "id").select("id", "text", "blocks")).select("id", "words_sha", "n_removed", F.sha2("kept_text", 256).alias("sha"), *["kept_text"] * with_text).dropDuplicates(["id", "words_sha"])
-    gone = copies.select(F.col("id"), "words_sha", F.lit(True).alias("gone"))
-    out = profile.select("id", "n_words", "words_sha").join(gone, ["id", "words_sha"], "left").join(cut, ["id", "words_sha"], "left")
-    hit = F.col("gone").isNotNull()
+    profile, seen = materialise_counted(profiles(texts), "profiles")
+    found, copies = indexed_blocks(texts, profile, max(seen.n, 1))
+    cut = parsed(texts.join(found, "id").select("id", "text", "found", "mark")).select("id", "words_sha", "n_removed", F.sha2("kept_text", 256).alias("sha"), *["kept_text"] * with_text, *["factors"] * with_factors).dropDuplicates(["id", "words_sha"])
+    out = profile.select("id", "n_words", "words_sha").join(copies, ["id", "words_sha"], "left").join(cut, ["id", "words_sha"], "left")
+    hit = F.col("keep_id").isNotNull()
     columns = [
         F.col("id").alias(id_col),
         "n_words",
@@ -170,4 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ]
     if with_text:
         columns.append(F.when(hit, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+    if with_factors:
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), F.col("keep_id").alias("ref_id"), F.lit(0).cast("long").alias("ref_start")))
+        columns.append(F.when(hit, whole).otherwise(F.coalesce("factors", F.array().cast(FACTORS))).alias("factors"))
     return out.select(*columns)

@@ -166,8 +166,33 @@ def test_repeats(docs, corpus):
 def test_factors():
     import numpy as np
 
-    assert substring_dedup.factors(np.array([0, 1, 1, 0, 1], bool)) == [(1, 51), (4, 50)]
-    assert substring_dedup.factors(np.array([], bool)) == []
+    parse = lambda *rows: substring_dedup.factors(*np.array(rows, np.int64).reshape(-1, 3).T)
+    assert parse((1, 9, 5), (2, 9, 6), (4, 9, 8)) == [(1, 51, 9, 5), (4, 50, 9, 8)]
+    assert parse((1, 9, 5), (2, 3, 6), (3, 3, 7), (4, 3, 9)) == [(1, 50, 9, 5), (2, 51, 3, 6), (4, 50, 3, 9)]
+    assert parse() == []
+
+
+def test_texts_of_one_id_are_parsed_apart(spark):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, shared), (5, f"x y z {shared}"), (5, f"{shared} end"), (5, f"{shared} end"), (7, shared + " w" * 80)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_counter(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+
+
+def test_factors_stand_in_their_references(spark):
+    """On random texts made of shared pieces: each factor's words are the reference's, and factors cover what brute force covers."""
+    rng = random.Random(21)
+    pieces = [[f"p{k}w{i}" for i in range(rng.randint(30, 90))] for k in range(12)]
+    rows = [(i, " ".join(w for _ in range(rng.randint(1, 6)) for w in (rng.choice(pieces) if rng.random() < 0.7 else [f"own{rng.randrange(10**6)}"] * rng.randint(1, 60)))) for i in range(60)]
+    words = {i: t.split(" ") for i, t in rows}
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_factors=True)
+    found = got.collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_repeats(rows)
+    spans = [(r.doc_id, f) for r in found for f in r.factors]
+    assert len(spans) > 30
+    for doc, f in spans:
+        assert f.ref_id < doc and f.length >= 50
+        assert words[doc][f.start : f.start + f.length] == words[f.ref_id][f.ref_start : f.ref_start + f.length]
 
 
 def test_empty_tables(empty):
