@@ -3,14 +3,21 @@
 ARC records begin with one line whose fields depend on the file's version; the last is the
 declared length, by which, and never by looking for separators, content is taken. From each
 record the converter makes the WARC record: an identifier from what the record holds, the date
-from its 14 digits, the type from the content, and the digests.
+from its 14 digits, the type from the content, and the digests. Content is bytes of any kind.
 
-Pages go through it: they are written as ARC records, converted and stored as WARC files. A WARC
-record of text is itself text, so Spark's writer makes the files: committed as one job, on any
-file system, with no local files on executors. They are read back by the declared lengths.
+Pages go through it: they are written as ARC records, converted and stored as WARC files, each
+record a gzip member of its own, so that readers can seek to it. Spark's text writer makes the
+files: committed as one job, on any file system, with no local files on executors. It writes rows of
+raw bytes and ends each with one byte; that is the last byte of the row's last member, which
+is always 0 (see members_ending_in_zero), so the files hold members and nothing else. A file has at most
+CHUNKS rows of about CHUNK bytes. They are read back by the declared lengths.
 
 Defined results: null html is an empty payload; a null url is an empty target; a page without id
-is always a response; rows that repeat an id and a payload all are what the first is.
+is always a response; rows that repeat an id and a payload all are what the first is; payloads
+are equal when their SHA-256 and lengths are; pages have no time, so all get the given date; an
+empty table gives an empty archive; other columns, whatever their names, are not looked at. Lines
+that aren't record lines are passed over; a record that the file ends in is kept and marked
+as truncated.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.storage import fresh_path, materialise, skew_join
+from docweave.llm.storage import fresh_path, materialise_counted, skew_join
 
 #: Fixed field names of the two versions' record lines, as files declare them.
 ARC_FIELDS = {
@@ -43,6 +50,10 @@ NAMESPACE = uuid.UUID("8d3c7b52-6a0e-5c1f-9f0b-2d6b8f1f4c11")
 PAGE, REFERS = "X-Page-Id", "X-Refers-To-Page-Id"
 EOL = "\r\n"
 END = EOL * 2
+#: Compressed bytes of a row, and rows of a file: files are read in one piece, so their size is bounded.
+CHUNK, CHUNKS = 16 << 20, 8
+_EMPTY = gzip.compress(b"", mtime=0)
+_KEPT = "".join(map(chr, range(33, 127)))
 
 
 def sha1_base32(raw: bytes) -> str:
@@ -54,6 +65,7 @@ class ArcRecord:
     version: int
     fields: dict[str, str]
     block: bytes
+    cut: bool = False
 
 
 def arc_header(version: int, name: str, date: str) -> bytes:
@@ -68,25 +80,30 @@ def arc_record(version: int, url: str, date: str, block: bytes, offset: int = 0,
     return f"{quote(url, safe=':/?#[]@!$&()*+,;=%~-._') or '-'} {ip} {date} {kind} {rest}\n".encode() + block + b"\n"
 
 
+def record_line(line: bytes, version: int) -> tuple[dict[str, str], int] | None:
+    """The fields of a record line and the declared length; None if it isn't one. A URL's spaces and bytes outside ASCII are escaped."""
+    words = line.rstrip(b"\r\n").split(b" ")
+    names = ARC_FIELDS[1 if line.startswith(b"filedesc://") and len(words) < len(ARC_FIELDS[2]) else version]
+    extra = len(words) - len(names)
+    if extra < 0 or not words[-1].isdigit():
+        return None
+    words = [b"%20".join(words[: extra + 1]), *words[extra + 1 :]]
+    return dict(zip(names, (quote(w, safe=_KEPT) for w in words), strict=True)), int(words[-1])
+
+
 def parse_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
-    """The records of an ARC file, its opening one first. Fields with spaces are repaired from both ends."""
+    """The records of an ARC file, its opening one first. Other lines are passed over; the last record may be cut short."""
     version = 1
     while line := stream.readline():
-        if not line.strip():
+        found = record_line(line, version)
+        if found is None:
             continue
-        words = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        opening = words[0].startswith("filedesc://")
-        length = int(words[-1])
+        fields, length = found
         block = stream.read(length)
-        if len(block) != length:
-            raise ValueError(f"ARC record declares {length} bytes, the file has {len(block)}")
-        if opening:
-            version = int(block.split(None, 1)[0])
-        names = ARC_FIELDS[version]
-        extra = len(words) - len(names)
-        if extra > 0:
-            words = ["%20".join(words[: extra + 1]), *words[extra + 1 :]]  # a URL with spaces
-        yield ArcRecord(version, dict(zip(names, words, strict=False)), block)
+        if fields["URL"].startswith("filedesc://"):
+            head = block.split(None, 1)
+            version = int(head[0]) if head and head[0].isdigit() and int(head[0]) in ARC_FIELDS else 1
+        yield ArcRecord(version, fields, block, len(block) < length)
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -108,10 +125,20 @@ class WarcRecord:
     http: dict[str, str] = field(default_factory=dict)
     payload: bytes = b""
 
-    def text(self) -> str:
-        """The record without the two line ends after it."""
+    def raw(self) -> bytes:
+        """The record with the two line ends after it."""
         head = EOL.join([WARC_VERSION, *(f"{k}: {v}" for k, v in self.headers.items()), f"Content-Length: {len(self.block)}"])
-        return head + END + self.block.decode()
+        return (head + END).encode() + self.block + END.encode()
+
+    def header(self, name: str) -> str | None:
+        """A header's value; names are the same in any case."""
+        return next((v for k, v in self.headers.items() if k.lower() == name.lower()), None)
+
+
+def members_ending_in_zero(records: list[bytes]) -> bytes:
+    """A gzip member for each record. A member ends with its content's length, so one that doesn't end in 0 (over 16 MB) gets an empty member after it."""
+    out = b"".join(gzip.compress(r, 6, mtime=0) for r in records)
+    return out if out.endswith(b"\0") else out + _EMPTY
 
 
 def record_id(*parts: str) -> str:
@@ -127,6 +154,8 @@ def to_warc(record: ArcRecord, original: str | None = None) -> WarcRecord:
     """The equivalent WARC record; with original, the page whose payload it repeats, a revisit."""
     url, date = record.fields["URL"], iso_date(record.fields["Archive-date"])
     headers = {"WARC-Type": "", "WARC-Record-ID": "", "WARC-Date": date}
+    if record.cut:
+        headers["WARC-Truncated"] = "length"
     if url.startswith("filedesc://"):
         headers |= {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", url, date), "WARC-Filename": url[11:], "Content-Type": "application/warc-fields"}
         return WarcRecord(headers, f"software: docweave{EOL}format: ARC version {record.version}{EOL}".encode())
@@ -154,11 +183,13 @@ def parse_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers = {}
+        headers, length = {}, 0
         while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            headers[name.strip()] = value.strip()
-        length = int(headers.pop("Content-Length"))
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            if name.strip().lower() == "content-length":
+                length = int(value)
+            else:
+                headers[name.strip()] = value.strip()
         block = stream.read(length)
         if len(block) != length:
             raise ValueError(f"WARC record declares {length} bytes, the file has {len(block)}")
@@ -171,8 +202,27 @@ def http_block(page: str, html: str) -> bytes:
     return f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: {len(body)}{EOL}{PAGE}: {page}{END}".encode() + body
 
 
-def pages_as_warc(batches: Iterator[pa.RecordBatch], date: str, chunk: int = 256) -> Iterator[pa.RecordBatch]:
-    """(id, url, html, original) to the text of WARC records, through ARC files of both versions in turn."""
+def chunked(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of gzip members, about CHUNK bytes each, without the last byte."""
+    held: list[bytes] = []
+    size = 0
+    for raw in records:
+        held.append(members_ending_in_zero([raw]))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """Write rows of binary values, each followed by a byte of 0."""
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", CHUNKS).text(path)
+
+
+def pages_as_warc(batches: Iterator[pa.RecordBatch], date: str, chunk: int = 256) -> Iterator[bytes]:
+    """(id, url, html, original) to WARC records, through ARC files of both versions in turn."""
     files = 0
     for batch in batches:
         for at in range(0, batch.num_rows, chunk):
@@ -185,26 +235,26 @@ def pages_as_warc(batches: Iterator[pa.RecordBatch], date: str, chunk: int = 256
             arc.seek(0)
             records = parse_arc(arc)
             opening = next(records)
-            out = [] if files else [to_warc(opening).text()]
-            out += [to_warc(record, None if r["original"] is None else str(r["original"])).text() for record, r in zip(records, rows, strict=True)]
+            if not files:
+                yield to_warc(opening).raw()
+            for record, r in zip(records, rows, strict=True):
+                yield to_warc(record, None if r["original"] is None else str(r["original"])).raw()
             files += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
 def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """(id, key, original) of pages whose payload, of at_least bytes, a smaller id has too."""
-    keyed = materialise(pages.where(F.length(F.col("html").cast("binary")) >= at_least).where("id IS NOT NULL").select("id", "key"), "payloads")
+    keyed, seen = materialise_counted(pages.where(F.octet_length("html") >= at_least).where("id IS NOT NULL").select("id", "key"), "payloads")
     groups = tree_merge(keyed, "min", name="payload-runs").where("group_size > n_keep").select("key", "keep_id", "group_size")
-    return skew_join(keyed, groups, "key", F.col("group_size"), keyed.count()).where("id > keep_id").select("id", "key", F.col("keep_id").alias("original")).distinct()
+    return skew_join(keyed, groups, "key", F.col("group_size"), max(seen.n, 1)).where("id > keep_id").select("id", "key", F.col("keep_id").alias("original")).distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = 0, date: str = "20240101000000") -> str:
     """Write gzip WARC files under path, a response or revisit for each page."""
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    own = own.withColumn("key", F.concat(F.unhex(F.sha1("html")), F.unhex(F.lpad(F.hex(F.length(F.col("html").cast("binary"))), 16, "0"))))
+    own = own.withColumn("key", F.concat(F.unhex(F.sha2("html", 256)), F.unhex(F.lpad(F.hex(F.octet_length("html").cast("long")), 16, "0"))))
     rows = own.join(revisits(own, at_least), ["id", "key"], "left").select("id", "url", "html", "original")
-    text = rows.mapInArrow(lambda batches: pages_as_warc(batches, date), "value string")
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    save(rows.mapInArrow(lambda batches: chunked(pages_as_warc(batches, date)), "value binary"), path)
     return path
 
 
@@ -219,31 +269,31 @@ def convert_arc(spark: SparkSession, source: str, path: str) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                for record in parse_arc(opened(raw.as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([to_warc(record).text()])], names=["value"])
+                yield from chunked(to_warc(record).raw() for record in parse_arc(opened(raw.as_py())))
 
-    spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    save(spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "value binary"), path)
     return path
 
 
-READ = "type string, record_id string, date string, target string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload string"
+READ = "type string, record_id string, date string, target string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record. A response's digest is computed from its payload and must be the declared one."""
+    """A row for each record, with its payload's bytes where asked for. A response's digest is computed from its payload and must be the declared one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
                 for r in parse_warc(opened(raw.as_py())):
-                    h, kind = r.headers, r.headers["WARC-Type"]
-                    declared = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                    if kind in ("response", "resource") and declared != sha1_base32(r.payload):
-                        raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't have its declared digest")
-                    size = int(r.http["content-length"]) if kind == "revisit" else len(r.payload)
-                    page, original = r.http.get(PAGE.lower()), h.get(REFERS)
-                    rows.append((kind, h["WARC-Record-ID"], h["WARC-Date"], h.get("WARC-Target-URI"), int(page) if page else None, size, declared, int(original) if original else None, r.payload.decode("utf-8", "replace") if with_payload else None))
+                    kind = (r.header("WARC-Type") or "").lower()
+                    declared = (r.header("WARC-Payload-Digest") or "").removeprefix("sha1:")
+                    if kind in ("response", "resource") and declared and declared != sha1_base32(r.payload):
+                        raise ValueError(f"payload of {r.header('WARC-Record-ID')} doesn't have its declared digest")
+                    said = r.http.get("content-length", "")
+                    size = int(said) if kind == "revisit" and said.isdigit() else len(r.payload)
+                    page, original = r.http.get(PAGE.lower()), r.header(REFERS)
+                    rows.append((kind, r.header("WARC-Record-ID"), r.header("WARC-Date"), r.header("WARC-Target-URI"), int(page) if page else None, size, declared, int(original) if original else None, r.payload if with_payload else None))
                     if len(rows) == 256:
                         yield as_rows(rows)
                         rows = []
@@ -254,7 +304,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 
 def as_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in READ.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in READ.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
 
@@ -263,4 +313,4 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     path = write_warc(pages, fresh_path(spark, "warc"), id_col, url_col, html_col)
     read = read_warc(spark, path).where("type IN ('response', 'revisit')")
-    return read.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "record_id", "date")
+    return read.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
