@@ -5,19 +5,23 @@ escapes, character escapes, base64 runs and compressed bytes in it are unwrapped
 layers, each with a map from its characters to places of the text, until no layer is new. A
 layer that has come from the same place before ends a cycle. Bytes that aren't UTF-8 are read as
 Latin-1, so binary layers are scanned like others; in a run of percent escapes the bytes that
-aren't UTF-8 stay escapes. All members of compressed bytes are unwrapped, and of a cut or damaged
+aren't UTF-8 stay escapes. Percent signs that are escaped several times are unwrapped at once. A base64 run may
+go over line ends, and may begin anywhere in a longer run of its letters, as in a URL's path: it is
+read from each of its first four characters, and compressed bytes are looked for at every place
+of what that gives. Runs under 16 characters hold no secret, as the shortest has 12 bytes. All members of compressed bytes are unwrapped, and of a cut or damaged
 stream what it gives. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
 counted in n_refused, since what is encoded across the end of a piece can be missed there; text
 itself is scanned whole at any length.
 
 Defined results: null counts as empty; spans are code points of the text, end exclusive; what a
-layer shows inside an encoded run is reported as the whole run.
+layer shows inside an encoded run is reported as the whole run; equal spans are one; rows that repeat
+an id or a text are each scanned; a null id stays null; texts of any length are scanned whole; an
+empty table gives no rows; other columns, whatever their names, are left as they are.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -51,7 +55,12 @@ _HINTS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Escapes of percent signs, twice or more.
+_NESTED = re.compile(r"%25(?:25)+")
+#: The two alphabets: runs on one line or on several, and a line of them.
+_BASE64 = tuple((re.compile(f"{c}{{16,}}={{0,2}}(?:\\r?\\n[ \\t]*{c}+={{0,2}})*"), re.compile(f"{c}+={{0,2}}")) for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+_LINE_ENDS = re.compile(r"\s+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -151,15 +160,43 @@ def unescaped(run: str) -> str | None:
         return None
 
 
-def base64_decoded(run: str) -> bytes | None:
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    body = body.replace("-", "+").replace("_", "/")
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def base64_decoded(run: str) -> Iterator[bytes]:
+    """The bytes of a run that is read from each of its first four characters, as far as whole groups of letters go."""
+    body = _LINE_ENDS.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        some = body[skip:]
+        some = some[:-1] if len(some) % 4 == 1 else some
+        if len(some) >= 16:
+            yield base64.b64decode(some + "=" * (-len(some) % 4))
+
+
+def base64_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of base64 letters. A run goes on over a line end while lines have the width of its second; a shorter one, of whole groups, ends it."""
+    for pattern, letters in _BASE64:
+        at = 0
+        while m := pattern.search(text, at):
+            lines = [(m.start() + x.start(), m.start() + x.end()) for x in letters.finditer(m.group())]
+            end, width = lines[0][1], lines[1][1] - lines[1][0] if len(lines) > 1 else 0
+            for a, b in lines[1:]:
+                if text[end - 1] == "=" or b - a > width or (b - a < width or width < 16) and (b - a) % 4:
+                    break
+                end = b
+                if b - a < width:
+                    break
+            if letters is _BASE64[0][1] or "-" in m.group() or "_" in m.group():  # else it's in a run of the first alphabet
+                yield m.start(), end
+            at = end
+
+
+def percent_runs(text: str) -> list[tuple[int, int, str]]:
+    """The runs of percent escapes that decode to something; escapes of escapes go to one escape in a step of their own."""
+    if nested := [(m.start(), m.end(), "%25") for m in _NESTED.finditer(text)]:
+        return nested
+    return [(m.start(), m.end(), got) for m in _PERCENT.finditer(text) if (got := percent_decoded(m.group())) is not None]
+
+
+def escaped_runs(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), got) for m in _ESCAPE.finditer(text) if (got := unescaped(m.group())) is not None]
 
 
 def _opened(raw: bytes):
@@ -243,6 +280,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
                 else:
                     work.append((inner, whole))
             refused += amount > 1
+            work += [(raw[m.start() :], whole) for m in _MAGIC.finditer(raw) if m.start()]
             try:
                 plain = raw.decode()
             except UnicodeDecodeError:
@@ -256,14 +294,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         layers += 1
         if layers > 1:
             every |= {(a, kind, b) for start, kind, end in base_spans(layer.text) for a, b in [layer.origin(start, end)]}
-        for hint, pattern, decode in (("%", _PERCENT, percent_decoded), ("\\", _ESCAPE, unescaped), ("&#", _ESCAPE, unescaped)):
-            if hint in layer.text:
-                runs = [(m.start(), m.end(), got) for m in pattern.finditer(layer.text) if (got := decode(m.group())) is not None]
-                if runs:
-                    work.append(layer.rewritten(runs))
-        for m in _BASE64.finditer(layer.text):
-            if raw := base64_decoded(m.group()):
-                work.append((raw, layer.origin(m.start(), m.end())))
+        if "%" in layer.text and (runs := percent_runs(layer.text)):
+            work.append(layer.rewritten(runs))
+        if ("\\" in layer.text or "&#" in layer.text) and (runs := escaped_runs(layer.text)):
+            work.append(layer.rewritten(runs))
+        for start, end in base64_runs(layer.text):
+            whole = layer.origin(start, end)
+            work += [(raw, whole) for raw in base64_decoded(layer.text[start:end])]
     return base, sorted(every), layers, refused
 
 

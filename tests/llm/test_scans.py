@@ -45,6 +45,12 @@ def test_base_spans():
     lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
     lambda s: "".join(f"&#{ord(c)};" for c in s),
     lambda s: urllib.parse.quote(base64.b64encode(s.encode()).decode(), safe=""),
+    lambda s: base64.encodebytes(("." * 100 + s + "." * 100).encode()).decode(),
+    lambda s: "\n  ".join(re.findall(".{1,20}", base64.b64encode(s.encode()).decode())),
+    lambda s: "https://x.org/api/v1/" + base64.b64encode(s.encode()).decode() + "/end",
+    lambda s: "abc" + base64.b64encode(gzip.compress(s.encode())).decode(),
+    lambda s: "-----BEGIN DATA-----\n" + base64.encodebytes(s.encode() * 4).decode() + "-----END DATA-----",
+    lambda s: "".join("%" + "25" * 3000 + f"{ord(c):02X}" for c in s),
 ])
 def test_layers(wrap):
     coded = wrap(INNER)
@@ -112,7 +118,13 @@ def test_cycles_and_bombs():
 
 def test_scan_table(docs, corpus, spark, empty):
     own = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, f"a {INNER} b {base64.b64encode(INNER.encode()).decode()}")], "doc_id long, text string"))
+    texts = dict(corpus)
     for r in secrets.scan_secrets(own).collect():
+        want = brute_spans(texts.get(r.doc_id) or "") if r.doc_id in texts and r.doc_id is not None else None
+        if want is not None:
+            told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
+            assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and set(told.split(",")) - {""} <= set(r.spans.split(","))
         if r.doc_id == 5000:
             assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (1, 0, 0, "assign:2:23,assign:27:59")
             assert r.base_sha256 == hashlib.sha256(b"assign:2:23").hexdigest()
