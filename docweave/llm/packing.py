@@ -7,8 +7,10 @@ moved together, so the work depends on the lengths, not on the documents. The pa
 to the pieces by rank: the r-th piece of a length takes the r-th place that patterns have for
 that length. Ranks come from counts per input partition, so no length's pieces meet in one task.
 
-Defined results: null text counts as empty and is the end id alone; rows that repeat an id are
-packed each for itself; an empty table gives no pieces.
+Defined results: null text counts as empty and is the end id alone; a null id stays null; rows that
+repeat an id are packed each for itself; pieces of equal length go in the order of input partitions and rows;
+texts of any length are cut, never shortened; an empty table gives no pieces; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,20 +122,24 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
     return [(packs, pattern) for space in spaces for packs, pattern in by_space[space]]
 
 
-def places(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length, first rank), the first sequence and the offset of each run of places, in order."""
+def places(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
+    """Runs of places in order: (length, first rank), the first sequence, packs, the first offset.
+
+    A run is all places that the packs of a pattern have for a length: rank by rank through the
+    packs, then through the places of the length in each. There are at most 2 * size patterns,
+    since placing a length splits no more than one and opens no more than two, and lengths that
+    differ and fit in one are fewer than 64 for a size of 2048: so at most 262,144 runs, 8 MB.
+    """
     base, taken, runs = 0, {}, []
     for packs, pattern in patterns:
         offset = 0
-        for length in pattern:
+        for length, n in Counter(pattern).items():
             rank = taken.get(length, 0)
-            runs.append((length << 44 | rank, base, offset))
-            taken[length] = rank + packs
-            offset += length
+            runs.append((length << 44 | rank, base, packs, offset))
+            taken[length] = rank + packs * n
+            offset += length * n
         base += packs
-    runs.sort()
-    key, first, offset = zip(*runs, strict=True) if runs else ((), (), ())
-    return np.array(key, np.int64), np.array(first, np.int64), np.array(offset, np.int64)
+    return tuple(np.array(sorted(runs), np.int64).reshape(-1, 4).T.copy())
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -188,11 +195,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, size: int
     table = spark.sparkContext.broadcast(places(shortest_pack_first(histogram, size)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, offset = table.value
+        key, first, packs, offset = table.value
         for batch in batches:
-            want = np.asarray(batch.column("length")) << 44 | np.asarray(batch.column("rank"))
+            length = np.asarray(batch.column("length"))
+            want = length << 44 | np.asarray(batch.column("rank"))
             run = np.searchsorted(key, want, "right") - 1
-            out = [batch.column(c) for c in kept] + [pa.array(first[run] + (want - key[run])), pa.array(offset[run])]
+            turn, pack = np.divmod(want - key[run], packs[run]) if len(want) else (want, want)
+            out = [batch.column(c) for c in kept] + [pa.array(first[run] + pack), pa.array(offset[run] + turn * length)]
             yield pa.RecordBatch.from_arrays(out, names=[*kept, "sequence_id", "offset"])
 
     kept = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
