@@ -6,12 +6,14 @@ with a rate for each coordinate and an L1 term leaves few weights that aren't 0;
 broadcast, at most 2 ** BITS numbers. A text's score depends on its words only.
 
 Training sees a bounded sample of labelled rows outside the held-out fold: the first 2 * SAMPLE of
-both labels together in the order of a hash of the id, so that each label has its natural share and
-the threshold means the same at every size. Scores cover all documents and whole texts.
+both labels together in the order of a hash of the id, as far as they have SLOTS slots that count, so
+that each label has its natural share and the threshold means the same at every size. Scores cover all documents and whole texts.
 
 Defined results: null counts as empty; an empty text gets the score of the intercept alone;
 labels that are null or contradict each other for an id are not learnt; with no labels to learn
-from, every score is 0.
+from, every score is 0; with labels of one kind only, the intercept carries them; rows that repeat an id are each
+scored, and learnt with the id's label; a null id is scored and not held out; texts of any length
+are scored whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 
 from docweave.llm.columnar import LOWER, blocks, hashes, mix, owner, spans, windows
 from docweave.llm.quality import agreed
+from docweave.llm.storage import materialise, materialise_counted
 
 BITS = 20
-#: Half of the labelled rows that training sees at most.
-SAMPLE = 6_000
+#: Half of the labelled rows that training sees at most; and the slots of theirs, 64 MB, after which no more rows are taken.
+SAMPLE, SLOTS = 6_000, 16_000_000
 THRESHOLD = 0.3
 
 _INSIDE = np.zeros(256, bool)
@@ -108,8 +111,12 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
-    """Weights from the bounded sample; the fold of remainder 2 is never looked at."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = 3) -> np.ndarray | None:
+    """Weights from the bounded sample; the fold of remainder 2 is never looked at.
+
+    Slots that too few rows of the sample have are left out: a row moves a coordinate by less
+    than 1 an epoch, so they can't leave the L1 term and the model is the same without them.
+    """
     seen = agreed(labels.where(fold(id_col) != 2), "toxic", id_col).where("label IN (0, 1)")
     sample = seen.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).select("id", F.col("label").cast("int").alias("label"))
 
@@ -121,12 +128,29 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), slots], names=["id", "label", "slots"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "text", "label")
-    table = chosen.mapInArrow(run, "id long, label int, slots array<int>").toArrow().combine_chunks().sort_by("id")
-    if not table.num_rows:
+    rows, n = materialise_counted(chosen.mapInArrow(run, "id long, label int, slots array<int>"), "labelled-slots")
+    if not n.n:
         return None
+    least = int(Ftrl.l1 / epochs) + 1
+    often = rows.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("slot")
+    kept = np.zeros(1 << BITS, bool)
+    kept[np.asarray(often.toArrow().column("slot"))] = True  # at most 2 ** BITS of them
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(kept))
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            slots = [s[some[s]] for s in (np.asarray(x.values) for x in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, slots)), pa.int64()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "label", "n", "slots"])
+
+    lean = materialise(rows.mapInArrow(pruned, "id long, label int, n long, slots array<int>").withColumn("turn", F.xxhash64("id")), "lean-slots")
+    sizes = lean.select("turn", "n").toArrow().sort_by("turn")  # at most 2 * SAMPLE rows, unless ids repeat
+    turns, total = np.asarray(sizes.column("turn")), np.cumsum(np.asarray(sizes.column("n")))
+    last = int(turns[max(int(np.searchsorted(total, SLOTS, "right")) - 1, 0)])
+    table = lean.where(F.col("turn") <= last).select("id", "label", "slots").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     slots = table.column("slots").combine_chunks()
     flat, ends = np.asarray(slots.flatten()), np.asarray(slots.offsets)
-    return train([flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)], np.asarray(table.column("label")))
+    return train([flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)], np.asarray(table.column("label")), epochs)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
