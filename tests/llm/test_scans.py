@@ -210,6 +210,68 @@ def test_toxicity(spark, docs, corpus, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_forest_against_plain_paths():
+    """Scores against a walk down each tree in plain Python; splits isolate what good rows never have."""
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0, 1, (600, 3)), rng.normal(0, 1, (60, 3)) + [0, 0, 9]
+    forest = quality.calibrated(quality.IsolationForest.grow(good[:300], np.concatenate((good[:300], bad[:30])), trees=40), good[300:], bad[30:])
+    for row, score in zip(np.concatenate((good[:40], bad)), forest.scores(np.concatenate((good[:40], bad))), strict=True):
+        total = 0.0
+        for t in range(40):
+            node = 1
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + int(row[forest.feature[t, node]] >= forest.split[t, node])
+            total += forest.path[t, node]
+        assert abs(score - 2 ** (-total / 40 / forest.scale)) < 1e-12
+    assert forest.held_out_loss <= quality.MAX_LOSS and (forest.scores(bad[30:]) > forest.threshold).mean() > 0.9
+    same = quality.calibrated(quality.IsolationForest.grow(np.zeros((5, 3)), np.zeros((5, 3))), np.zeros((5, 3)), np.zeros((2, 3)))
+    assert (same.scores(np.zeros((4, 3))) <= same.threshold).all()  # all tie: none is anomalous
+
+
+def plain_features(t):
+    w = ["".join(x) for x in re.findall("[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))]
+    return {("1", x) for x in w} | {("2", *x) for x in zip(w, w[1:], strict=False)} | {("s", *x) for x in zip(w, w[2:], strict=False)}
+
+
+def plain_ftrl(rows, labels, order, alpha=1.0, beta=1.0, l1=10.0):
+    z, n = collections.Counter(), collections.Counter()
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else ((l1 if z[f] > 0 else -l1) - z[f]) * alpha / (beta + n[f] ** 0.5)
+    for i in order:
+        fs = [*rows[i], "bias"]
+        w = {f: weight(f) for f in fs}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+        for f in fs:
+            z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+            n[f] += g * g
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def test_ftrl_against_plain_version():
+    rng = np.random.default_rng(6)
+    words = ["vile", "Fool", "sun", "tree", "go", "été", "x1", "of", "the"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 14))) + " . ! " + "vile fool" * int(i % 4 == 0) for i in range(200)]
+    labels = np.array([int(i % 4 == 0) for i in range(200)])
+    data, offsets = next((d, o) for _, _, d, o in blocks(pa.array(texts)))
+    text, slot = toxicity.distinct(*toxicity.features(data, offsets))
+    plain = [plain_features(t) for t in texts]
+    assert np.bincount(text, minlength=200).tolist() == list(map(len, plain))
+    rows = [slot[text == i] for i in range(200)]
+    own = toxicity.train(rows, labels, epochs=2, seed=9)
+    seed = np.random.default_rng(9)
+    want = plain_ftrl(plain, labels, [i for _ in range(2) for i in seed.permutation(200).tolist()])
+    assert np.allclose(sorted(own[own != 0]), sorted(want.values())) and len(want) > 3
+    total = np.array([sum(want.get(f, 0.0) for f in [*fs, "bias"]) for fs in plain])
+    assert np.allclose(toxicity.scores(own, data, offsets), 1 / (1 + np.exp(-total)))
+    often = np.bincount(slot, minlength=1 << toxicity.BITS) > toxicity.Ftrl.l1 / 2
+    assert np.array_equal(toxicity.train([r[often[r]] for r in rows], labels, epochs=2, seed=9), own)  # rare slots can't matter
+
+
+def test_toxicity_with_one_label_only(spark):
+    own = spark.createDataFrame([(i, "some words") for i in range(40)] + [(None, None)], "doc_id long, text string")
+    got = toxicity.toxicity(own, own.where("doc_id IS NOT NULL").selectExpr("doc_id", "0 AS toxic")).collect()
+    assert len(got) == 41 and all(r.predicted == int(r.score >= 0.3) for r in got) and got[0].score < 0.5
+
+
 def test_toxicity_prior_of_a_capped_sample(spark, monkeypatch):
     """One toxic row in nine, and nothing in the texts that tells: scores are near that share, capped or not."""
     own = spark.range(3600).selectExpr("id AS doc_id", "'some words' AS text")

@@ -160,6 +160,25 @@ def test_packing(docs, corpus, empty):
     assert packing.pack_documents(empty, JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_places_are_whole_packs():
+    """Every rank of every length has a place of its own, gapless in its pack, as the patterns say."""
+    histogram = {1: 900, 2: 30, 3: 77, 5: 20, 7: 41, 10: 3, 90: 5, 100: 2}
+    key, first, packs, offset = packing.places(packing.shortest_pack_first(histogram, 100))
+    filled = defaultdict(list)
+    for length, n in histogram.items():
+        for rank in range(n):
+            run = int(np.searchsorted(key, length << 44 | rank, "right")) - 1
+            turn, pack = divmod((length << 44 | rank) - int(key[run]), int(packs[run]))
+            filled[int(first[run]) + pack].append((int(offset[run]) + turn * length, length))
+    for pieces in filled.values():
+        at = 0
+        for o, length in sorted(pieces):
+            assert o == at
+            at += length
+        assert at <= 100
+    assert len(filled) == -(-sum(k * n for k, n in histogram.items()) // 100)
+
+
 def test_shortest_pack_first():
     packs = packing.shortest_pack_first({7: 2, 4: 1, 3: 3, 1: 4}, 10)
     placed = defaultdict(int)
