@@ -7,7 +7,7 @@ distance meet in a bucket. (At a similarity of 0.75 a pair meets but for 6 in a
 that meet and differ in over FARTHEST symbols, for which it's 1 in 10 million, are let go.)
 
 Texts of equal shingle sets are one class, of which only the smallest id goes on. Pairs are never
-listed. Every member has a home, the fullest of its buckets, and homes are cut into tiles of
+listed. Every member has a home, the fullest bucket around it, and homes are cut into tiles of
 bounded rows and bytes. Two tiles that share a bucket are compared as two blocks: signatures by
 distance, then full sets, links only where they join what is apart so far. First each tile meets
 itself and one pivot tile of each bucket, which is work in proportion to the members and leaves
@@ -41,8 +41,8 @@ from docweave.llm.storage import free_name, materialise, materialise_counted, sk
 SIMILARITY = 75
 #: Symbols in which signatures of a pair that is compared on full sets may differ.
 FARTHEST = 34
-#: Members and shingles of a tile (a single text may have more), and pairs of one tile that are dealt as one.
-TILE, TILE_SHINGLES, DEALT = 512, 1 << 20, 64
+#: Members and shingles of a tile (about, and a single text may have more), members of a lump, pairs of one tile that are dealt as one.
+TILE, TILE_SHINGLES, LUMP, DEALT = 512, 1 << 20, 128, 64
 
 
 def lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -163,11 +163,31 @@ def compared(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, similarity: in
     return rows.mapInArrow(run, "a long, b long")
 
 
-def tiled(members: DataFrame, homes: DataFrame, apart: list[str]) -> DataFrame:
-    """(id, root, tile) of homes (id, home, size, root): tiles of members of one home that agree in the columns apart."""
-    full = homes.groupBy("home", *apart).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n"))
-    cut = skew_join(homes, full, ["home", *apart], F.col("n"), 0)
-    return cut.select("id", "root", F.xxhash64("home", *apart, F.pmod(F.xxhash64("id"), F.col("parts"))).alias("tile"))
+def homes_of(members: DataFrame, total: int) -> DataFrame:
+    """(id, size, near, home) of members (bucket, id, size, n): the fullest bucket of each, and the fullest that is such for any member of its buckets.
+
+    So the members of a large group, whatever buckets each is in, have one home, and few tiles.
+    """
+    near = members.groupBy("id").agg(F.max("size").alias("size"), F.max(F.struct("n", "bucket")).alias("near"))
+    near = materialise(near, "homes")
+    met = members.select("bucket", "id", "n").join(near.select("id", "near"), "id")
+    top = met.groupBy("bucket").agg(F.max("near").alias("top"), F.count("*").alias("rows"))
+    far = skew_join(members.select("bucket", "id"), top, "bucket", F.col("rows"), total).groupBy("id").agg(F.max("top")["bucket"].alias("home"))
+    return materialise(near.select("id", "size", F.col("near")["bucket"].alias("near")).join(far, "id"), "homes")
+
+
+def tiled(homes: DataFrame, apart: list[str]) -> DataFrame:
+    """(id, root, tile) of homes (id, size, near, home, root): tiles of members of one home that agree in the columns apart.
+
+    Members of one fullest bucket stay together in lumps, of which a tile has some.
+    """
+    parts = lambda rows, shingles: F.ceil(F.greatest(F.count("*") / rows, F.sum("size") / shingles)).cast("int")
+    lumps = homes.groupBy("near", *apart).agg(parts(LUMP, TILE_SHINGLES * LUMP / TILE).alias("lumps"), F.count("*").alias("n"))
+    full = homes.groupBy("home", *apart).agg(parts(TILE, TILE_SHINGLES).alias("parts"), F.count("*").alias("n"))
+    cut = skew_join(homes, lumps, ["near", *apart], F.col("n"), 0).drop("n")
+    cut = skew_join(cut, full, ["home", *apart], F.col("n"), 0)
+    lump = F.xxhash64("near", F.pmod(F.xxhash64("id"), F.col("lumps")))
+    return cut.select("id", "root", F.xxhash64("home", *apart, F.pmod(lump, F.col("parts"))).alias("tile"))
 
 
 def ordered(x: str, y: str) -> list:
@@ -197,10 +217,10 @@ def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
     if not seen.n:
         return None
     members = materialise(skew_join(entries, full, "bucket", F.col("n"), seen.members).select("bucket", "id", "size", "n"), "members")
-    homes = materialise(members.groupBy("id").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("size").alias("size")), "homes")
+    homes = homes_of(members, seen.members)
     sets = materialise(sets_of(texts.join(homes.select("id"), "id").select("id", "text")), "sets")
 
-    tiles = materialise(tiled(members, homes.withColumn("root", F.col("id")), []), "tiles")
+    tiles = materialise(tiled(homes.withColumn("root", F.col("id")), []), "tiles")
     in_buckets = members.select("bucket", "id").join(tiles, "id").groupBy("bucket", "tile").agg(F.count("*").alias("n"))
     in_buckets = materialise(in_buckets, "tiles-in-buckets")
     links, found = materialise_counted(compared(star_pairs(in_buckets), tiles, sets), "links")
@@ -210,8 +230,8 @@ def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
     if left.n:
         rooted = homes.withColumn("root", F.col("id")) if labels is None else homes.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         main = rooted.groupBy("home", "root").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"))
-        rooted = skew_join(rooted, main, "home", F.col("n"), 0).withColumn("outside", F.col("root") != F.col("main")).select("id", "home", "size", "root", "outside")
-        tiles = materialise(tiled(members, rooted, ["outside"]), "tiles")
+        rooted = skew_join(rooted, main, "home", F.col("n"), 0).withColumn("outside", F.col("root") != F.col("main")).select("id", "size", "near", "home", "root", "outside")
+        tiles = materialise(tiled(rooted, ["outside"]), "tiles")
         rows = members.select("bucket", "id").join(rest, "bucket").join(tiles, "id")
         in_buckets = rows.groupBy("bucket", "tile").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
         more, also = materialise_counted(compared(open_pairs(in_buckets), tiles, sets), "links")

@@ -82,6 +82,7 @@ def test_near(docs, corpus):
 
 def test_near_in_small_tiles(docs, corpus, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 3)
+    monkeypatch.setattr(near_dedup, "LUMP", 1)
     monkeypatch.setattr(near_dedup, "DEALT", 2)
     want = brute_components(shingle_sets([(i, t) for i, t in corpus if i is not None]))
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect() if r.doc_id is not None}
@@ -91,6 +92,7 @@ def test_near_in_small_tiles(docs, corpus, monkeypatch):
 def test_near_group_of_all_similarities(spark, monkeypatch):
     """A group of copies with 0 to 9 words changed, of which many are just not similar enough, against brute force: full recall."""
     monkeypatch.setattr(near_dedup, "TILE", 16)
+    monkeypatch.setattr(near_dedup, "LUMP", 4)
     rng = random.Random(8)
     base = [rng.choice("kmstr") + str(rng.randrange(900)) for _ in range(100)]
     rows = []
