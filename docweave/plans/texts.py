@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import bands, keys, text
-from docweave.llm.near_dedup import near_duplicates
-from docweave.llm.storage import skew_join
 from docweave.operators import classify, diffs
 from docweave.registry import query, table
 
@@ -154,18 +152,13 @@ def seq_diff(spark, sf_dir):
     return out.withColumnRenamed("key", "pair")
 
 
-def text_pairs(d: DataFrame, group: str) -> DataFrame:
-    """The smallest id of each group with the smallest id of each other text in it, and both texts."""
-    texts = d.where(F.col(group).isNotNull() & F.col("doc_id").isNotNull()).groupBy(group, "text").agg(F.min("doc_id").alias("last"))
-    leads = texts.groupBy(group).agg(F.min("last").alias("first"), F.min_by("text", "last").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = skew_join(texts.withColumnRenamed("text", "b"), leads, group, F.col("n"), d.count())
-    return pairs.where("first <> last").select("first", "last", "a", "b")
-
-
 @query("char_diff")
 def char_diff(spark, sf_dir):
-    """Marked differences of documents that are near copies or begin alike, each text against the one with the smallest id."""
-    d = table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("head"), "doc_id", "text")
-    copies = near_duplicates(d.select("doc_id", "text")).select("doc_id", "component_id").distinct()
-    pairs = text_pairs(d, "head").unionByName(text_pairs(d.join(copies, "doc_id"), "component_id")).dropDuplicates(["first", "last"])
+    """Marked differences of near copies: each different text of a cluster against the one with the smallest id."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("source", "lang", "doc_id", F.coalesce("text", F.lit("")).alias("key"))
+    members = diffs.clustered(d, ["source"], ["lang"], "key", ["doc_id"])
+    texts = members.groupBy("source", "cluster", F.col("key").alias("b")).agg(F.min("doc_id").alias("last"))
+    # clusters of one source have as many rows as the source has near copies, so the leading text is found by combinable aggregates
+    leads = texts.groupBy("source", "cluster").agg(F.min("last").alias("first"), F.min_by("b", "last").alias("a"))
+    pairs = texts.join(leads, ["source", "cluster"]).where("first <> last")
     return pairs.select("first", "last", diffs.mark_changes("a", "b").alias("m")).select("first", "last", "m.*")
