@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,16 +14,23 @@ _NUMBER = r"(\d+(?:\.\d+)?)"
 _FREQUENCY = r"[（(]([^（()）]*(?:[0-9０-９]\s*[%％]|頻度不明)[^（()）]*)[）)]"
 
 
+#: What stands around a band, what stands between its two bounds, and the tildes and signs that are one.
+_AROUND = r"^(?:いずれも|すべて|全て)|(?:注\d*\)?|[a-z]\))+$"
+_BETWEEN = r"(?<=\d)%(?:(?:以上)?～|以上(?=\d))"
+_MANY, _ONE = "〜~∼％", "～～～%"
+
+
 def band(c: Column) -> Column:
     """T04 of text in NFKC form; wide tildes and percent signs are also taken as they are."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), "％", "%")
-    c = F.regexp_replace(c, "[〜~∼]", "～")
-    c = F.regexp_replace(c, r"(?U)\s+", "")
-    c = F.regexp_replace(c, r"(?:注\d*\)?|[a-z]\))+$", "")
-    c = F.regexp_replace(c, "^(?:いずれも|すべて|全て)", "")
-    c = F.regexp_replace(c, r"(\d)%(?:以上)?～", "$1～")
-    c = F.regexp_replace(c, r"(\d)%以上(\d)", "$1～$2")
-    return F.when(c == "", NONE_STATED).otherwise(c)
+    tight = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _MANY, _ONE), r"(?U)\s+", "")
+    out = F.regexp_replace(F.regexp_replace(tight, _AROUND, ""), _BETWEEN, "～")
+    return F.when(out == "", NONE_STATED).otherwise(out)
+
+
+def spelled_band(s: str | None) -> str:
+    """T04 of any text, for documents that are walked in Python."""
+    tight = "".join(unicodedata.normalize("NFKC", s or "").split()).translate(str.maketrans(_MANY, _ONE))
+    return re.sub(_BETWEEN, "～", re.sub(_AROUND, "", tight)) or NONE_STATED
 
 
 def bounds(band_: Column) -> Column:
