@@ -81,3 +81,8 @@ def removal_percent(weight: Column, binding: Column, excretion: Column, volume:
 def accumulation_ratio(interval: Column, half_life: Column) -> Column:
     """T33."""
     return 1 / (1 - F.exp(F.lit(-0.693) * interval / half_life))
+
+
+def now_in_japan() -> Column:
+    """This moment in Japan, to the second."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("Asia/Tokyo"), F.localtimestamp()), "yyyy-MM-dd HH:mm:ss")

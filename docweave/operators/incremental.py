@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: how an error begins that leaves a row out, so that it is tried again.
@@ -54,3 +59,28 @@ def plausible(new: DataFrame, old: DataFrame | None, least: int, share: float =
 def needs_refresh(now_names: list[str], stored_names: list[str] | None, age_days: int | None, most_days: int = 28) -> bool:
     """I09."""
     return stored_names is None or now_names != stored_names or age_days is None or age_days >= most_days
+
+
+#: Fixed value: seconds after which a lock counts as left behind.
+STALE_LOCK = 6 * 3600
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, stale: float = STALE_LOCK) -> Iterator[bool]:
+    """Whether this run has the lock, a file that only one can create; one that is too old is taken over."""
+    jvm = spark._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(path)
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
+        fs.delete(lock, False)
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:  # the JVM's error of a file that is there
+        if not fs.exists(lock) or isinstance(e, PySparkException):
+            raise
+        yield False
+        return
+    try:
+        yield True
+    finally:
+        fs.delete(lock, False)

@@ -47,3 +47,46 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 def equal_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
     """Size and smallest member of the rows of one content."""
     return df.groupBy(key.alias("h")).agg(F.count("*").alias("n"), F.min(member).alias("first"))
+
+
+def conditional_counts(df: DataFrame, keys: list[str | Column], **tests: Column) -> DataFrame:
+    """How many rows of each key pass each test."""
+    return df.groupBy(*keys).agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
+
+
+def latest_per_key(df: DataFrame, key: str, date: str, into: str = "latest") -> DataFrame:
+    """A02."""
+    return df.groupBy(key).agg(F.max(date).alias(into))
+
+
+def last_stamp(df: DataFrame, *stamps: str) -> DataFrame:
+    """The latest of each row's first stamp that isn't null."""
+    return df.agg(F.max(F.coalesce(*stamps)).alias("stamp"))
+
+
+def with_bodies(documents: DataFrame, bodies: DataFrame, hash_: str = "h") -> DataFrame:
+    """Documents with their bodies; the empty hash has none and its documents stay."""
+    return documents.join(bodies.where(F.col(hash_) != ""), hash_, "left")
+
+
+def multiset_changes(lines: DataFrame, old: Column, line: str) -> DataFrame:
+    """(kind, line, n): how many more times a line stands in the old rows (removed) or in the others (added)."""
+    counts = lines.groupBy(line).agg(F.count_if(old).alias("a"), F.count_if(~old).alias("b"))
+    kinds = F.array(F.struct(F.lit("removed").alias("kind"), (F.col("a") - F.col("b")).alias("n")), F.struct(F.lit("added").alias("kind"), (F.col("b") - F.col("a")).alias("n")))
+    return counts.select(line, F.explode(kinds).alias("x")).select("x.kind", line, "x.n").where("n > 0")
+
+
+def used_by_any(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The distinct references of several tables of the same columns."""
+    for other in others:
+        first = first.unionByName(other)
+    return first.distinct()
+
+
+def overlapping_batches(batches: list[DataFrame], keys: list[str], order: str) -> DataFrame:
+    """Batches that overlap, each key once, from the earliest batch that has it."""
+    every = None
+    for n, batch in enumerate(batches):
+        own = batch.withColumn("__batch", F.lit(n))
+        every = own if every is None else every.unionByName(own)
+    return first_per_key(every, keys, "__batch", order).drop("__batch")

@@ -37,9 +37,11 @@ def longest_prefix(products: DataFrame, product_id: str, candidates: str, names:
     left = products.select(product_id, F.explode(candidates).alias("prefix"))
     cuts = names.where(F.length(name) >= least).select(name, value, F.explode(F.sequence(F.lit(least), F.length(name))).alias("len"))
     right = cuts.select(F.substring(F.col(name), F.lit(1), F.col("len")).alias("prefix"), value).distinct()
-    hits = left.join(right, "prefix").groupBy(product_id, "prefix").agg(F.collect_set(value).alias("found"))
-    best = hits.groupBy(product_id).agg(F.max_by(F.struct("prefix", "found"), F.length("prefix")).alias("b"))
-    return best.select(product_id, F.col("b.prefix").alias("prefix"), F.when(F.size("b.found") <= most, F.array_sort("b.found")).otherwise(F.array().cast("array<string>")).alias("found"), F.size("b.found").alias("n_found"))
+    right = right.join(left.select("prefix").distinct(), "prefix", "left_semi")
+    counts = right.groupBy("prefix").agg(F.count("*").alias("n_found"))
+    few = right.join(counts.where(F.col("n_found") <= most), "prefix").groupBy("prefix").agg(F.array_sort(F.collect_list(value)).alias("found"))  # at most most of them
+    longest = left.join(counts, "prefix").groupBy(product_id).agg(F.max_by(F.struct("prefix", "n_found"), F.length("prefix")).alias("b")).select(product_id, "b.*")
+    return longest.join(few, "prefix", "left").select(product_id, "prefix", F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.col("n_found").cast("int").alias("n_found"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:

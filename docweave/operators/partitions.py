@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -13,21 +14,31 @@ def halves(low: date, high: date) -> list[tuple[date, date]]:
     return [(low, middle), (middle + timedelta(days=1), high)]
 
 
+def with_children(rows: DataFrame, kind: str, child: str, cap: int, into: str = "class") -> DataFrame:
+    """The class that each row is asked for by: its child where its class has over cap rows."""
+    full = rows.groupBy(kind).agg(F.count("*").alias("__n"))
+    return rows.join(full, kind).withColumn(into, F.when(F.col("__n") > cap, F.col(child)).otherwise(F.col(kind))).drop("__n")
+
+
 def capped_partitions(rows: DataFrame, kind: str, day: str, first_year: int, last_year: int, cap: int) -> DataFrame:
     """(class, low, high, n): date ranges of at most cap rows, single days aside that have more.
 
-    Rows are counted once per class and day; splitting works on those counts, so its cost follows
-    classes and days, not rows. One table of counts per class is planned in one task.
+    Years before and after the given ones are added where a class has rows there, so that every row of a
+    date is in a part. Rows are counted once per class and day; splitting works on running sums of
+    those counts, so its cost follows classes and days, not rows. One class's days are planned in one task.
     """
     counts = rows.groupBy(kind, day).agg(F.count("*").alias("n"))
 
     def plan(pdf):
         import pandas as pd
 
-        by_day = dict(zip(pdf[day], pdf["n"], strict=True))
-        days = sorted(by_day)
-        size = lambda low, high: sum(by_day[d] for d in days if low <= d <= high)
-        whole = date(first_year, 1, 1), date(last_year, 12, 31)
+        pdf = pdf.dropna(subset=[day]).sort_values(day)
+        if not len(pdf):
+            return pd.DataFrame(columns=["class", "low", "high", "n"])
+        days, sums = pdf[day].tolist(), [0, *pdf["n"].cumsum().tolist()]
+        size = lambda low, high: sums[bisect_right(days, high)] - sums[bisect_left(days, low)]
+        first, last = min(first_year, days[0].year), max(last_year, days[-1].year)
+        whole = date(first, 1, 1), date(last, 12, 31)
         todo, out = [whole], []
         while todo:
             low, high = todo.pop()
@@ -35,7 +46,7 @@ def capped_partitions(rows: DataFrame, kind: str, day: str, first_year: int, las
             if n <= cap or low == high:
                 out.append((pdf[kind].iloc[0], low, high, n))
             elif (low, high) == whole:
-                todo += [(date(y, 1, 1), date(y, 12, 31)) for y in range(first_year, last_year + 1)]
+                todo += [(date(y, 1, 1), date(y, 12, 31)) for y in range(first, last + 1)]
             else:
                 todo += halves(low, high)
         return pd.DataFrame(out, columns=["class", "low", "high", "n"])

@@ -103,28 +103,28 @@ def body_store(spark, sf_dir):
 
 
 def orders_as_feed(spark, sf_dir) -> DataFrame:
-    """A page for each status: a block for each day of 1998-01, posted rows of urgent orders and deleted rows of low ones."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= '1998-01-01' AND o_orderdate < '1998-02-01'")
+    """A page for each status and month: a block for each day, posted rows of urgent orders and deleted rows of low ones."""
+    o = table(spark, sf_dir, "orders")
     first = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit('<a HREF="/go/pack/'), "o_orderkey", F.lit('_1_01/">order<BR>'), "o_orderkey", F.lit("</a>"))).otherwise(F.concat(F.lit("order &amp; "), "o_orderkey", F.lit("<!-- K"), "o_custkey", F.lit(" -->")))
     row = F.concat(F.lit("<TR><TD>"), first, F.lit("</TD><TD>"), "o_custkey", F.lit("</TD>\n<TD>"), "o_orderstatus", F.lit("</TD></TR>"))
     of = lambda p: joined(F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderpriority") == p, F.struct("o_orderkey", row.alias("x"))))), lambda s: s.getField("x")))
     days = o.groupBy("o_orderstatus", F.to_date("o_orderdate").alias("d")).agg(of("1-URGENT").alias("posted"), of("5-LOW").alias("deleted"))
     block = F.concat(F.lit('<td class="title">'), F.date_format("d", "yyyy年MM月dd日"), F.lit("</td><h2>掲載分</h2><TABLE>"), "posted", F.lit("</TABLE><h2>削除分</h2><TABLE>"), "deleted", F.lit("</TABLE>"))
-    return days.groupBy("o_orderstatus").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("d", block.alias("x")))), lambda s: s.getField("x"))).alias("html"))
+    return days.groupBy("o_orderstatus", F.date_trunc("month", "d").alias("month")).agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("d", block.alias("x")))), lambda s: s.getField("x"))).alias("html"))
 
 
 @query("weekly_feed", """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderpriority = '1-URGENT' THEN 'posted' ELSE 'deleted' END AS kind,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'order / ' || o_orderkey ELSE 'order & ' || o_orderkey END AS brand, CAST(o_custkey AS VARCHAR) AS company, o_orderstatus AS reason,
   CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey || '_1_01' END AS packins_no, CASE WHEN o_orderpriority = '5-LOW' THEN 'K' || o_custkey END AS yj_hint
-FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01' AND o_orderpriority IN ('1-URGENT', '5-LOW')""")
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
 def weekly_feed(spark, sf_dir):
     return feeds.feed_rows(orders_as_feed(spark, sf_dir)).drop("pos")
 
 
 @query("feed_day_records", """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) FILTER (o_orderpriority = '1-URGENT') AS updates, count(*) FILTER (o_orderpriority = '5-LOW') AS deletes
-FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01' AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""")
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""")
 def feed_day_records(spark, sf_dir):
     days = feeds.day_records(feeds.feed_rows(orders_as_feed(spark, sf_dir)))
     return days.select("date", F.size("updates").cast("long").alias("updates"), F.size("deletes").cast("long").alias("deletes"))
@@ -149,9 +149,9 @@ def guideline_index(spark, sf_dir):
 
 @query("version_fallback", """
 SELECT o_orderkey || '_' || lpad(CAST(1 + o_custkey % 5 AS VARCHAR), 2, '0') AS k,
-  CASE WHEN o_custkey % 5 <= 2 THEN o_orderkey || '_03' WHEN o_custkey % 5 = 3 THEN NULL ELSE o_orderkey || '_07' END AS used FROM orders WHERE o_orderkey % 10 = 0""")
+  CASE WHEN o_custkey % 5 <= 2 THEN o_orderkey || '_03' WHEN o_custkey % 5 = 3 THEN NULL ELSE o_orderkey || '_07' END AS used FROM orders""")
 def version_fallback(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     wanted = o.select(F.concat("o_orderkey", F.lit("_"), F.lpad((1 + F.col("o_custkey") % 5).cast("string"), 2, "0")).alias("k"))
     there = o.select(F.concat("o_orderkey", F.lit("_03")).alias("k")).union(o.where("o_custkey % 5 = 4").select(F.concat("o_orderkey", F.lit("_07")).alias("k")))
     return feeds.resolved_versions(wanted, there, "k").select("k", "used")

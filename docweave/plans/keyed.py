@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions.keys import content_hash, hash_bucket
-from docweave.operators import keyed, lookups
+from docweave.operators import keyed, lookups, ordering
 from docweave.operators.incremental import merge_feed
 from docweave.registry import query, table
 
@@ -20,8 +20,8 @@ FROM events GROUP BY 1""")
 def daily_change_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     important = (F.col("event_type") == "purchase") & (F.col("value") >= 10) | (F.col("event_type") == "error")
-    counts = [F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in EVENT_TYPES]
-    return e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(*counts, F.count_if(important).alias("n_important"))
+    tests = {f"n_{t}": F.col("event_type") == t for t in EVENT_TYPES}
+    return keyed.conditional_counts(e, [F.to_date("ts").cast("string").alias("day")], **tests, n_important=important)
 
 
 @query("day_summary_nested", """
@@ -35,7 +35,7 @@ def day_summary_nested(spark, sf_dir):
 
 @query("target_latest", "SELECT o_custkey, CAST(max(o_orderdate) AS VARCHAR) AS latest FROM orders GROUP BY o_custkey")
 def target_latest(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
+    return keyed.latest_per_key(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").select("o_custkey", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
 @query("latest_row_per_key", """
@@ -49,7 +49,8 @@ def latest_row_per_key(spark, sf_dir):
 @query("first_seen_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS n, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
 def first_seen_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min_by("source", "doc_id").alias("source")).drop("h")
+    firsts = keyed.first_per_key(d, ["h"], "doc_id")
+    return firsts.join(d.groupBy("h").agg(F.count("*").alias("n")), "h").select("doc_id", "n", "source")
 
 
 @query("content_hash_dedup", "SELECT substr(sha1(text), 1, 12) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -135,15 +136,14 @@ def union_overwrite(spark, sf_dir):
 
 
 @query("snapshot_except", """
-WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source IN ('src1', 'src2')),
-a AS (SELECT line FROM l WHERE source = 'src1'), b AS (SELECT line FROM l WHERE source = 'src2')
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+a AS (SELECT line FROM l WHERE doc_id % 2 = 0), b AS (SELECT line FROM l WHERE doc_id % 2 = 1)
 SELECT 'removed' AS kind, line, count(*) AS n FROM (FROM a EXCEPT ALL FROM b) GROUP BY line
 UNION ALL SELECT 'added', line, count(*) FROM (FROM b EXCEPT ALL FROM a) GROUP BY line""")
 def snapshot_except(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2")).select("source", F.explode(F.split("text", "\n")).alias("line"))
-    counts = lines.groupBy("line").agg(F.count_if(F.col("source") == "src1").alias("a"), F.count_if(F.col("source") == "src2").alias("b"))
-    both = F.array(F.struct(F.lit("removed").alias("kind"), (F.col("a") - F.col("b")).alias("n")), F.struct(F.lit("added").alias("kind"), (F.col("b") - F.col("a")).alias("n")))
-    return counts.select("line", F.explode(both).alias("x")).select("x.kind", "line", "x.n").where("n > 0")
+    """The lines of the even documents as the old snapshot, those of the odd ones as the new."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return keyed.multiset_changes(lines, F.col("doc_id") % 2 == 0, "line").select("kind", "line", "n")
 
 
 @query("feed_merge_idempotent", """
@@ -163,7 +163,8 @@ def feed_merge_idempotent(spark, sf_dir):
 def dedupe_overlap_window(spark, sf_dir):
     """Weekly batches that overlap by their whole length, keyed dedup over them."""
     e = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
-    return e.unionByName(e.where("day >= DATE '2024-01-08'")).dropDuplicates(["event_id"]).select("event_id", F.col("day").cast("string").alias("day"))
+    once = keyed.overlapping_batches([e.where("day < DATE '2024-01-15'"), e.where("day >= DATE '2024-01-08'")], ["event_id"], "day")
+    return once.select("event_id", F.col("day").cast("string").alias("day"))
 
 
 @query("priority_cap", """
@@ -172,7 +173,7 @@ SELECT o_orderkey, turn FROM t ORDER BY turn, o_orderkey LIMIT 300""")
 def priority_cap(spark, sf_dir):
     """A fetch budget: changed rows first, then the backlog, 300 in all."""
     turn = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return table(spark, sf_dir, "orders").select("o_orderkey", turn.alias("turn")).orderBy("turn", "o_orderkey").limit(300)
+    return ordering.budgeted(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), turn, ["o_orderkey"], 300).select("o_orderkey", "turn")
 
 
 @query("budget_first_n", """
@@ -185,12 +186,13 @@ def budget_first_n(spark, sf_dir):
 
 @query("recent_days", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events ORDER BY day DESC LIMIT 14")
 def recent_days(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day")).distinct().orderBy(F.desc("day")).limit(14)
+    return ordering.newest(table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day")), "day", 14)
 
 
 @query("build_stamp", "SELECT CAST(date_trunc('second', max(ts)) AS VARCHAR) AS stamp FROM events")
 def build_stamp(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("updated"), F.col("ts").alias("created"))
+    return keyed.last_stamp(e, "updated", "created").select(F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 @query("used_references", """
@@ -198,7 +200,7 @@ SELECT k, count(*) AS n FROM (SELECT DISTINCT l_partkey % 100 AS k, 'line' AS s
 def used_references(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("k"), F.lit("line").alias("s"))
     parts = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("k"), F.lit("part").alias("s"))
-    return lines.union(parts).distinct().groupBy("k").agg(F.count("*").alias("n"))
+    return keyed.used_by_any(lines, parts).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("kept_after_collection", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import lookups, runs, search
+from docweave.operators import keyed, lookups, runs, search
 from docweave.operators.partitions import capped_partitions
 from docweave.registry import query, table
 
@@ -54,10 +54,9 @@ SELECT l_orderkey, l_linenumber, p_partkey, p_name FROM lineitem JOIN part ON p_
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1""")
 def first_match_join(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("p_partkey")))).alias("f"))
-    opened = lines.select("l_orderkey", F.posexplode("f").alias("pos", "e")).select("l_orderkey", "pos", "e.*")
     store = table(spark, sf_dir, "part").where("p_size <= 10").select("p_partkey", "p_name")
-    hits = opened.join(store, "p_partkey")
-    return hits.groupBy("l_orderkey").agg(F.min_by(F.struct("l_linenumber", "p_partkey", "p_name"), "pos").alias("r")).select("l_orderkey", "r.*")
+    hits = lookups.first_match(lines, "f", "p_partkey", store, "p_partkey", "l_orderkey").join(lines, "l_orderkey")
+    return hits.select("l_orderkey", F.element_at("f", F.col("pos") + 1).getField("l_linenumber").alias("l_linenumber"), "p_partkey", "p_name")
 
 
 @query("doc_body_outer", """
@@ -68,7 +67,7 @@ def doc_body_outer(spark, sf_dir):
     """A document without the section has the empty hash and no body, and stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") < 300, "").otherwise(F.substring(F.sha1("text"), 1, 12)).alias("h"))
     bodies = docs.where("h <> ''").groupBy("h").agg(F.count("*").alias("n"))
-    return docs.join(bodies, "h", "left").select("doc_id", "h", F.coalesce("n", F.lit(0)).alias("n"))
+    return keyed.with_bodies(docs, bodies).select("doc_id", "h", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("category_lookup", """

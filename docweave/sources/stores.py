@@ -24,13 +24,37 @@ IMAGE_MAGIC, IMAGE_ENDS, IMAGE_BYTES = (b"GIF8", b"\x89PNG", b"\xff\xd8\xff"), (
 
 
 def read_store(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON with a declared schema; no file is an empty table; missing fields are null."""
+    """JSON with a declared schema; no file, or one that isn't JSON, is an empty table; missing fields are null."""
+    own = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], own)
+    return whole.select(F.explode(F.from_json("value", ArrayType(own))).alias("r")).select("r.*")  # an object is an array of one, what isn't JSON is null
+
+
+def moved_aside(spark: SparkSession, path: str, schema: StructType) -> list[str]:
+    """Files of a store in which any record isn't JSON of the schema get .bad at their end; their new names."""
+    _, bad = split_corrupt(spark, path, schema)
+    files = [r[0] for r in bad.select("_file").distinct().collect()]  # as many as there are broken files
+    return [renamed(spark, f, f"{f}.bad") for f in files]
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> str:
+    jvm = spark._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"{source} can't be renamed")
+    return target
+
+
+def newest_first(spark: SparkSession, pattern: str, schema: StructType | str, most: int | None = None) -> DataFrame:
+    """The JSON files of a folder as rows with their file's name, the greatest names first."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    ordered = rows.orderBy(F.desc("file"))
+    return ordered.limit(most) if most is not None else ordered
 
 
 def split_corrupt(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -50,22 +74,61 @@ def write_days(df: DataFrame, path: str, day: str = "date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Whether it was written; a store of the same rows is left alone. The new rows go beside the old ones first."""
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version of a store that is in force, or None: the greatest that was written to its end."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]
+    done = [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return f"{path}/{max(done)}" if done else None
+
+
+def read_current(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    at = current(spark, path)
+    return spark.createDataFrame([], schema) if at is None else spark.read.schema(schema).parquet(at)
+
+
+def write_if_changed(df: DataFrame, path: str, keep: int = 2) -> bool:
+    """Whether a new version was written; a store of the same rows is left alone.
+
+    A version is a folder of its own and counts once Spark has committed it, so readers see the old rows or the
+    new ones, and a write that fails loses nothing. The last keep versions stay.
+    """
     spark = df.sparkSession
-    try:
-        if fingerprint(spark.read.schema(df.schema).parquet(path)) == fingerprint(df):
+    at = current(spark, path)
+    if at is not None:
+        old = spark.read.parquet(at)
+        if old.schema == df.schema and fingerprint(old) == fingerprint(df):
             return False
-    except AnalysisException:
-        pass
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.schema(df.schema).parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    nth = 0 if at is None else int(at.rsplit("-", 1)[1]) + 1
+    df.write.mode("overwrite").parquet(f"{path}/version-{nth:012d}")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        if status.getPath().getName() <= f"version-{nth - keep:012d}":
+            fs.delete(status.getPath(), True)
     return True
 
 
 def write_buckets(df: DataFrame, path: str, hash_: str, buckets: int = BUCKETS) -> None:
-    """A partition for each bucket of a hash, those of no rows aside; earlier buckets go."""
+    """A folder for each bucket of a hash, empty ones included, sorted by the hash; earlier buckets go."""
+    spark = df.sparkSession
     df.withColumn("bucket", hash_bucket(F.col(hash_), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", hash_).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in range(buckets):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={i:02d}")
+        if not fs.exists(folder):
+            spark.createDataFrame([], df.schema).write.parquet(folder.toString())
+
+
+def write_index(df: DataFrame, path: str, *order: str) -> None:
+    """One JSON file of a list's rows in order, as pages fetch it; for lists that a browser reads, not for stores."""
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
 def read_bucket(spark: SparkSession, path: str, hash_: str) -> DataFrame:
@@ -84,6 +147,17 @@ def put_cache(docs: DataFrame, path: str, code: str = "u", xml: str = "xml") ->
     own.select(code, xml, "class3").write.mode("append").option("compression", "gzip").partitionBy("class3").parquet(path)
 
 
+def cached(spark: SparkSession, path: str, codes: DataFrame, schema: StructType | str = "u string, xml string, class3 string", code: str = "u") -> DataFrame:
+    """The cached documents of some codes; only the folders of their classes are read."""
+    wanted = codes.select(code, F.substring(F.element_at(F.split(code, "_"), 2), 1, 3).alias("class3")).distinct()
+    return spark.read.schema(schema).parquet(path).join(wanted, [code, "class3"], "left_semi")
+
+
+def cache_stats(cache: DataFrame, xml: str = "xml") -> DataFrame:
+    """Documents and bytes of each class."""
+    return cache.groupBy(F.col("class3").cast("string").alias("class3")).agg(F.count("*").alias("n"), F.sum(F.octet_length(xml)).alias("bytes"))
+
+
 def pruned(cache: DataFrame, targets: DataFrame, code: str = "u") -> DataFrame:
     """S19, K07."""
     return cache.join(targets.select(code).distinct(), code, "left_semi")

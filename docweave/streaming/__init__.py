@@ -52,11 +52,28 @@ def merge_sink(spark: SparkSession, path: str, keys: list[str], schema: str) ->
     """A foreachBatch sink that merges each batch into the store at path.
 
     Each batch writes a new version next to the one it read, named by the batch, so a batch that
-    is run again reads what it read before and writes the same.
+    is run again reads what it read before and writes the same. Versions that no batch can read any more go.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         before = None if number == 0 else spark.read.schema(schema).parquet(f"{path}/v{number - 1}")
         merge_feed(before, batch, keys).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return merge
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that gives each batch to several consumers, computed once."""
+
+    def give(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
+
+    return give

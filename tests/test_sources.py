@@ -86,13 +86,20 @@ def test_stores(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/days").select("date", "v").collect()} == {("d1", 5), ("d2", 2)}
     assert stores.write_if_changed(days, f"{tmp_path}/w") and not stores.write_if_changed(days.orderBy("v"), f"{tmp_path}/w")
     assert stores.write_if_changed(days.limit(1), f"{tmp_path}/w")
+    assert stores.read_current(spark, f"{tmp_path}/w", "date string, v int").count() == 1 and stores.read_current(spark, f"{tmp_path}/x", "v int").count() == 0
+    (tmp_path / "w" / "version-000000000009").mkdir()  # a write that never ended
+    assert stores.current(spark, f"{tmp_path}/w").endswith("version-000000000001")
     hashed = spark.createDataFrame([("a9f", 1), ("00f", 2)], "h string, v int")
     stores.write_buckets(hashed, f"{tmp_path}/b", "h")
+    assert len(list((tmp_path / "b").glob("bucket=*"))) == 64 and spark.read.parquet(f"{tmp_path}/b").count() == 2
     assert stores.read_bucket(spark, f"{tmp_path}/b", "a9f").first().v == 1
     docs = spark.createDataFrame([("123456_1110000A1011_1_02", "<a/>"), ("../evil", "x")], "u string, xml string")
     stores.put_cache(docs, f"{tmp_path}/c")
     cache = spark.read.parquet(f"{tmp_path}/c")
     assert [r.u for r in cache.collect()] == ["123456_1110000A1011_1_02"] and stores.pruned(cache, docs.where("u = 'z'")).count() == 0
+    asked = spark.createDataFrame([("123456_1110000A1011_1_02",), ("123456_9990000A1011_1_01",)], "u string")
+    assert [r.xml for r in stores.cached(spark, f"{tmp_path}/c", asked).collect()] == ["<a/>"]
+    assert [tuple(r) for r in stores.cache_stats(cache).collect()] == [("111", 1, 4)]
     config = stores.with_defaults(spark.createDataFrame([(None,)], "a int"), a=3, b="x").first()
     assert (config.a, config.b) == (3, "x")
     slim = spark.sql("SELECT array(named_struct('u', 'a', 't', 'T')) AS f").select(stores.slim_files(F.col("f")).alias("f")).first().f
@@ -124,3 +131,82 @@ def test_price_files(spark):
     assert feeds.price_files(pages.where("year = 2026"), 2026).count() == 0
     dates = spark.createDataFrame([("x/tp20260401-1_01.xlsx",), ("x",)], "h string").select(feeds.file_date(F.col("h")))
     assert [r[0] for r in dates.collect()] == ["2026-04-01", ""]
+
+
+def test_broken_and_newest_files(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("a int")
+    (tmp_path / "broken.json").write_text('{"a": 1')
+    assert stores.read_store(spark, str(tmp_path / "broken.json"), schema).count() == 0
+    moved = stores.moved_aside(spark, str(tmp_path / "broken.json"), schema)
+    assert [p.name for p in tmp_path.glob("*.bad")] == ["broken.json.bad"] and moved[0].endswith("broken.json.bad")
+    for day, a in (("2026-01-01", 1), ("2026-01-03", 3), ("2026-01-02", 2)):
+        (tmp_path / f"{day}.json").write_text(json.dumps({"a": a}))
+    assert [(r.a, r.file) for r in stores.newest_first(spark, f"{tmp_path}/2026*.json", schema, 2).collect()] == [(3, "2026-01-03.json"), (2, "2026-01-02.json")]
+    stores.write_index(spark.createDataFrame([(2,), (1,)], "a int"), f"{tmp_path}/index", "a")
+    assert "".join(p.read_text() for p in (tmp_path / "index").glob("part-*")) == '{"a":1}\n{"a":2}\n'
+
+
+def test_labels_part_by_part(spark):
+    labels = {
+        "　◎ 甲錠 ， ○乙 ･ 丙 [ 内 ] ？": "甲錠，乙・丙 ［内］",
+        "甲 ▼ 乙": "甲 乙",
+        "｢甲｣乙［外］［注］": "「甲」乙 ［外］ ［注］",
+        "甲[長い長い長い長い長い注]": "甲[長い長い長い長い長い注]",
+        "甲、 乙?": "甲、乙",
+        "": "",
+    }
+    df = spark.createDataFrame([(x,) for x in labels], "x string")
+    assert [r[0] for r in df.select(feeds.clean_label(F.col("x"))).collect()] == list(labels.values())
+    names = {"甲錠＜販売中止＞，乙（中止）・丙（未来） ［内］": ["甲錠", "乙", "丙（未来）"], "甲［内］乙": ["甲 乙"], "，": [], "250単位/mL<x>": ["250単位/mL"]}
+    df = spark.createDataFrame([(x,) for x in names], "x string")
+    assert [r[0] for r in df.select(feeds.label_names(F.col("x"))).collect()] == list(names.values())
+
+
+def test_servers(spark):
+    """Retries, what isn't found, and result pages of one session, against a server of the test's own."""
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from docweave.sources import landed
+
+    seen = {}
+
+    class Answers(BaseHTTPRequestHandler):
+        def answer(self, status, text, **headers):
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k.replace("_", "-"), v)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def do_GET(self):
+            seen[self.path] = seen.get(self.path, 0) + 1
+            if self.path == "/start":
+                self.answer(200, "form", Set_Cookie="s=1")
+            elif self.path == "/flaky" and seen[self.path] < 3:
+                self.answer(500, "no")
+            else:
+                self.answer(404 if self.path == "/none" else 200, "yes")
+
+        def do_POST(self):
+            form = dict(urllib.parse.parse_qsl(self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.answer(200 if self.headers.get("Cookie") == "s=1" else 403, f"検索結果3件／全2ページ {form['effect']} {form['page']} {form['doc']}")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        landed.register(spark)
+        got = spark.read.format("docweave_addresses").option("addresses", json.dumps([f"{at}/flaky", f"{at}/none"])).option("wait", "0.01").load()
+        rows = {r.address.rsplit("/", 1)[1]: (r.status, r.content and bytes(r.content), r.error) for r in got.collect()}
+        assert rows == {"flaky": (200, b"yes", None), "none": (404, None, "404 Not Found")} and seen == {"/flaky": 3, "/none": 1}
+        found = spark.read.format("docweave_results").options(start=f"{at}/start", search=f"{at}/s", classes='["11", "12"]', form='{"doc": "x"}', pause="0").load()
+        assert sorted((r["class"], r.page, r.html[-6:]) for r in found.collect()) == [(c, p, f"{c} {p} x") for c in ("11", "12") for p in (1, 2)]
+    finally:
+        server.shutdown()

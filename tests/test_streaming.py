@@ -33,3 +33,21 @@ def test_merge_sink_and_dedupe(spark, tmp_path):
     q = streaming.windowed_counts(stream, "ts", "1 day", ["v"]).writeStream.format("memory").outputMode("complete").queryName("days").option("checkpointLocation", f"{tmp_path}/cp3").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("days").first().n == 14
+
+
+def test_fan_out_and_lock(spark, tmp_path):
+    import os
+
+    from docweave.operators.incremental import locked
+
+    got = []
+    streaming.fan_out(lambda df, n: got.append((n, df.count())), lambda df, n: got.append((n, df.first()[0])))(spark.range(5, 8), 3)
+    assert got == [(3, 3), (3, 5)]
+    path = str(tmp_path / "lock")
+    with locked(spark, path) as mine:
+        with locked(spark, path) as other:
+            assert mine and not other
+        assert os.path.exists(path)
+        with locked(spark, path, stale=-1) as taken:
+            assert taken
+    assert not os.path.exists(path)
