@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.columnar import blocks
+from docweave.llm.columnar import blocks, mix
 from docweave.llm.components import components
 from docweave.llm.exact_dedup import tree_merge
 from docweave.llm.shingles import SYMBOLS, bucket_keys, shingle_sets, signatures
-from docweave.llm.storage import free_name, materialise, materialise_counted, skew_join
+from docweave.llm.storage import HEAVY, free_name, materialise, materialise_counted, skew_join
 
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
@@ -45,11 +45,6 @@ FARTHEST = 34
 TILE, TILE_SHINGLES, LUMP, DEALT = 512, 1 << 20, 128, 64
 
 
-def lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """The rows of a matrix as lists."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel(), kind))
-
-
 def profiles(texts: DataFrame) -> DataFrame:
     """(id, n_shingles, set_key, signature): a digest of the shingle set (null when empty) and the symbols."""
 
@@ -68,15 +63,44 @@ def symbols_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
 
 
-def keyed(leading: DataFrame) -> DataFrame:
-    """(id, size, keys) of (id, n_shingles, signature): the keys of all chunks and allowed errors."""
+def keyed(leading: DataFrame, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, size, bucket, part) of (id, n_shingles, signature): the keys of all chunks and allowed errors.
+
+    hot has keys, sorted, that are dealt over several parts, and the number of their parts; others have part 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = bucket_keys(symbols_of(batch.column(2))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(keys, pa.int64())], names=["id", "size", "keys"])
+            ids, sizes = (np.repeat(batch.column(i).to_numpy(), keys.shape[1]) for i in (0, 1))
+            keys = keys.ravel()
+            part = np.zeros(len(keys), np.int32)
+            if hot is not None and len(hot[0]):
+                at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+                some = np.flatnonzero(hot[0][at] == keys)
+                part[some] = mix(ids[some].view(np.uint64)) % hot[1][at[some]].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(keys), pa.array(part)], names=["id", "size", "bucket", "part"])
+
+    return leading.select("id", "n_shingles", "signature").mapInArrow(run, "id long, size long, bucket long, part int")
+
+
+def in_parts(buckets: DataFrame) -> DataFrame:
+    """A row for each part of a bucket."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    return leading.select("id", "n_shingles", "signature").mapInArrow(run, "id long, size long, keys array<long>")
+
+def members_of(leading: DataFrame) -> DataFrame | None:
+    """(bucket, part, parts, n, id, size) of the buckets that several texts are in; None if there are none.
+
+    A bucket with more than one in HEAVY of all members is joined in parts.
+    """
+    full, seen = materialise_counted(keyed(leading).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", F.sum("n").alias("members"))
+    if not seen.n:
+        return None
+    cut = full.withColumn("parts", F.ceil(F.col("n") / max(1000, seen.members // HEAVY)).cast("int"))
+    hot = cut.where("parts > 1").select("bucket", "parts").toArrow().sort_by("bucket")  # at most HEAVY for each key of a text
+    found = keyed(leading, (np.asarray(hot.column("bucket")), np.asarray(hot.column("parts")))).join(in_parts(cut), ["bucket", "part"])
+    return materialise(found.select("bucket", "part", "parts", "n", "id", "size"), "members")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -163,16 +187,14 @@ def compared(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, similarity: in
     return rows.mapInArrow(run, "a long, b long")
 
 
-def homes_of(members: DataFrame, total: int) -> DataFrame:
-    """(id, size, near, home) of members (bucket, id, size, n): the fullest bucket of each, and the fullest that is such for any member of its buckets.
+def homes_of(members: DataFrame) -> DataFrame:
+    """(id, size, near, home) of members: the fullest bucket of each, and the fullest that is such for any member of its buckets.
 
     So the members of a large group, whatever buckets each is in, have one home, and few tiles.
     """
-    near = members.groupBy("id").agg(F.max("size").alias("size"), F.max(F.struct("n", "bucket")).alias("near"))
-    near = materialise(near, "homes")
-    met = members.select("bucket", "id", "n").join(near.select("id", "near"), "id")
-    top = met.groupBy("bucket").agg(F.max("near").alias("top"), F.count("*").alias("rows"))
-    far = skew_join(members.select("bucket", "id"), top, "bucket", F.col("rows"), total).groupBy("id").agg(F.max("top")["bucket"].alias("home"))
+    near = materialise(members.groupBy("id").agg(F.max("size").alias("size"), F.max(F.struct("n", "bucket")).alias("near")), "homes")
+    top = members.select("bucket", "parts", "id").join(near.select("id", "near"), "id").groupBy("bucket").agg(F.max("near").alias("top"), F.max("parts").alias("parts"))
+    far = members.select("bucket", "part", "id").join(in_parts(top).drop("parts"), ["bucket", "part"]).groupBy("id").agg(F.max("top")["bucket"].alias("home"))
     return materialise(near.select("id", "size", F.col("near")["bucket"].alias("near")).join(far, "id"), "homes")
 
 
@@ -212,13 +234,12 @@ def open_pairs(in_buckets: DataFrame) -> DataFrame:
 
 def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
     """(id, root) of the leading texts that belong to a smaller one; None if no two are linked."""
-    entries = keyed(leading).select("id", "size", F.explode("keys").alias("bucket"))
-    full, seen = materialise_counted(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", F.sum("n").alias("members"))
-    if not seen.n:
+    members = members_of(leading)
+    if members is None:
         return None
-    members = materialise(skew_join(entries, full, "bucket", F.col("n"), seen.members).select("bucket", "id", "size", "n"), "members")
-    homes = homes_of(members, seen.members)
-    sets = materialise(sets_of(texts.join(homes.select("id"), "id").select("id", "text")), "sets")
+    homes = homes_of(members)
+    # texts are never gathered by broadcast ids, whose number grows with the table
+    sets = materialise(sets_of(texts.join(homes.select("id").hint("shuffle_merge"), "id").select("id", "text")), "sets")
 
     tiles = materialise(tiled(homes.withColumn("root", F.col("id")), []), "tiles")
     in_buckets = members.select("bucket", "id").join(tiles, "id").groupBy("bucket", "tile").agg(F.count("*").alias("n"))
@@ -232,7 +253,7 @@ def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
         main = rooted.groupBy("home", "root").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"))
         rooted = skew_join(rooted, main, "home", F.col("n"), 0).withColumn("outside", F.col("root") != F.col("main")).select("id", "size", "near", "home", "root", "outside")
         tiles = materialise(tiled(rooted, ["outside"]), "tiles")
-        rows = members.select("bucket", "id").join(rest, "bucket").join(tiles, "id")
+        rows = members.select("bucket", "id").join(rest, "bucket", "left_semi").join(tiles, "id")
         in_buckets = rows.groupBy("bucket", "tile").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
         more, also = materialise_counted(compared(open_pairs(in_buckets), tiles, sets), "links")
         if also.n:
