@@ -2,13 +2,13 @@
 
 Every input partition makes one run of (digest, best id, rows). Runs meet in rounds of a
 radix-r binomial tree: in round k, node p sends the part of its run whose k-th digest digit is
-j to node j of its group, so r runs meet in each node, are merged as sorted streams and keep
-one line for a digest. After the last round each node owns one range of digests. A group of
+j to node j of its group, so r runs meet in each node. Spark's external sorter, which spills, merges
+what arrives, and the sorted stream keeps one line for a digest. After the last round each node owns one range of digests. A group of
 copies of any size is one line for each run from the first round on.
 
 Defined results: null text counts as empty; a null id is smaller than any other; rows that
-repeat an id and a text are one document; an empty table gives an empty result; other columns
-are not looked at.
+repeat an id and a text are one document; texts of any length are digested whole; an empty table gives an
+empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.columnar import blocks
-from docweave.llm.storage import materialise, partitions_of, skew_join
+from docweave.llm.storage import free_name, materialise, materialise_counted, partitions_of, skew_join
 
-#: Runs that meet in a node at most.
-FAN_IN = 16
+#: Runs that meet in a node at most: in op1's own tree, and where another operator needs a merge with few stages.
+FAN_IN, WIDE = 4, 16
 
 
 def digest_key(text: bytes) -> bytes:
@@ -80,10 +80,10 @@ def as_batch(lines: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)], names=["key", "keep_id", "group_size", "n_keep"])
 
 
-def tree_merge(keys: DataFrame, keep: str = "max", partitions: int | None = None, name: str = "runs") -> DataFrame:
+def tree_merge(keys: DataFrame, keep: str = "max", partitions: int | None = None, name: str = "runs", fan_in: int = WIDE) -> DataFrame:
     """(id, key) to (key, keep_id, group_size, n_keep): the best id of each key, and how often it stands there."""
     wide = partitions or max(2, partitions_of(keys.sparkSession))
-    rounds = max(1, math.ceil(math.log(wide) / math.log(FAN_IN) - 1e-9))
+    rounds = max(1, math.ceil(math.log(wide) / math.log(fan_in) - 1e-9))
     radix = max(2, math.ceil(wide ** (1 / rounds) - 1e-9))
     nodes = radix**rounds
     schema = "key binary, keep_id long, group_size long, n_keep long"
@@ -103,9 +103,9 @@ def tree_merge(keys: DataFrame, keep: str = "max", partitions: int | None = None
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256."""
-    keyed = materialise(digests(docs, id_col, text_col), "digests")
-    groups = tree_merge(keyed, keep).select("key", "keep_id", "group_size")
-    out = skew_join(keyed, groups, "key", F.col("group_size"), keyed.count())
+    keyed, seen = materialise_counted(digests(docs, id_col, text_col), "digests")
+    groups = tree_merge(keyed, keep, fan_in=FAN_IN).select("key", "keep_id", "group_size")
+    out = skew_join(keyed, groups, "key", F.col("group_size"), max(seen.n, 1))
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -117,18 +117,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The documents that stay, with all their columns."""
-    keyed = materialise(digests(docs, id_col, text_col), "digests")
-    groups = tree_merge(keyed, keep)
-    lost = skew_join(keyed, groups.where("group_size > 1"), "key", F.col("group_size"), keyed.count()).where("NOT (id <=> keep_id)").select("id", "key").distinct()
+    keyed, seen = materialise_counted(digests(docs, id_col, text_col), "digests")
+    groups = tree_merge(keyed, keep, fan_in=FAN_IN)
+    lost = skew_join(keyed, groups.where("group_size > 1"), "key", F.col("group_size"), max(seen.n, 1)).where("NOT (id <=> keep_id)").select("id", "key").distinct()
     again = groups.where("n_keep > 1").select(F.col("keep_id").alias("id"), "key")
-    unique = not keyed.groupBy("id").count().where("count > 1").head(1)
-    if unique:
-        return docs.join(lost.select(F.col("id").alias("__id")), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    # ids repeat: the text's key tells their rows apart
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    wide = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256).alias("sha"), row.alias("row"))
-    named = lambda df, mark: df.select(F.col("id").alias("__id"), F.lower(F.hex(F.substring("key", 1, 32))).alias("__sha"), F.lit(True).alias(mark))
-    same = lambda: F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
-    left = wide.join(named(lost, "__lost"), same(), "left_anti").join(named(again, "__again"), same(), "left")
-    once = left.where("__again").dropDuplicates(["id", "sha"])
-    return left.where("__again IS NULL").unionByName(once).select("row.*")
+    # where ids repeat, the text's digest tells their rows apart; it's only computed for rows of such ids
+    own = {name: free_name(docs, name) for name in ("id", "sha", "lost_id", "lost_sha", "again_id", "again_sha", "again")}
+    named = lambda df, a, b: df.select(F.col("id").alias(own[a]), F.lower(F.hex(F.substring("key", 1, 32))).alias(own[b]))
+    if not keyed.groupBy("id").count().where("count > 1").head(1):
+        return docs.join(named(lost, "lost_id", "lost_sha").drop(own["lost_sha"]), F.col(id_col).cast("long").eqNullSafe(F.col(own["lost_id"])), "left_anti")
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
+    wide = docs.withColumn(own["id"], F.col(id_col).cast("long")).withColumn(own["sha"], sha)
+    same = lambda a, b: F.col(own["id"]).eqNullSafe(F.col(own[a])) & (F.col(own["sha"]) == F.col(own[b]))
+    left = wide.join(named(lost, "lost_id", "lost_sha"), same("lost_id", "lost_sha"), "left_anti")
+    left = left.join(named(again, "again_id", "again_sha").withColumn(own["again"], F.lit(True)), same("again_id", "again_sha"), "left")
+    once = left.where(F.col(own["again"])).dropDuplicates([own["id"], own["sha"]])
+    return left.where(F.col(own["again"]).isNull()).unionByName(once).select(*docs.columns)

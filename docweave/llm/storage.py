@@ -77,8 +77,9 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: Co
         total = groups.agg(F.sum(size)).first()[0] or 0
     heavy = size > F.lit(max(1000, total // HEAVY))
     names = [c for c in groups.columns if c not in keys]
-    hot = F.broadcast(groups.where(heavy).select(*keys, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hot")))
+    mark, own = free_name(rows, "hot"), {c: free_name(rows, f"hot_{c}") for c in names}
+    hot = F.broadcast(groups.where(heavy).select(*keys, *[F.col(c).alias(own[c]) for c in names], F.lit(True).alias(mark)))
     joined = rows.join(hot, keys, "left")
-    hits = joined.where(F.col("__hot")).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in names])
-    rest = joined.where(F.col("__hot").isNull()).select(*rows.columns)
+    hits = joined.where(F.col(mark)).select(*rows.columns, *[F.col(own[c]).alias(c) for c in names])
+    rest = joined.where(F.col(mark).isNull()).select(*rows.columns)
     return hits.unionByName(rest.join(groups.where(~heavy), keys).select(*rows.columns, *names))

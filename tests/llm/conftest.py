@@ -35,7 +35,7 @@ def corpus():
 def docs(spark, corpus):
     """The corpus as documents, with extra columns of clashing names."""
     df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in corpus], SCHEMA).repartition(5)
-    return df.selectExpr("*", "1 AS key", "2 AS id", "'x' AS kept", "3 AS value", "4 AS bucket")
+    return df.selectExpr("*", "1 AS key", "2 AS id", "'x' AS kept", "3 AS value", "4 AS bucket", "5 AS sha", "6 AS lost", "7 AS again", "8 AS __id", "9 AS __hot", "10 AS lost_id")
 
 
 @pytest.fixture(scope="session")
