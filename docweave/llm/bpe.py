@@ -8,7 +8,9 @@ but don't touch, so each gets what merging it alone would give: lowest rank firs
 equals first.
 
 Defined results: null counts as empty; an empty text has no ids, and the digests are those of
-the empty string; text that looks like a special token is ordinary text.
+the empty string; text that looks like a special token is ordinary text; of merges of one rank the leftmost
+goes first; a null id stays null; rows that repeat an id or a text are each encoded; texts of any length
+are encoded whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

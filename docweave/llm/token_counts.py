@@ -14,7 +14,9 @@ With whole_runs, as the query has it, a run of spaces stays in one segment, so t
 several spaces match: the vocabulary has them and doesn't ask for a split. Without it every space
 begins a segment, as after the public library's Metaspace split.
 
-Defined results: null counts as empty and has no tokens.
+Defined results: null counts as empty and has no tokens; a null id stays null; rows that repeat an id
+or a text are each counted; texts of any length are counted whole; an empty table gives no rows; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
