@@ -1,3 +1,3 @@
 """Registered queries over the driver tables."""
 
-from docweave.plans import documents, groups, keyed, lookups, texts  # noqa: F401
+from docweave.plans import documents, functions, groups, keyed, lookups, texts  # noqa: F401
