@@ -177,6 +177,15 @@ def labelled(spark):
     return docs, labels
 
 
+def test_lines_of_equal_sums_are_no_copies():
+    from tests.llm.test_dedup import morse
+
+    text = "\n".join([morse(1024), morse(1024, "b", "a"), morse(128), morse(128, "b", "a"), morse(128)])
+    data, offsets = next((d, o) for _, _, d, o in blocks(pa.array([text])))
+    base, _ = quality.statistics(data, offsets)
+    assert base["n_dup_lines"].tolist() == [1]
+
+
 def test_quality(spark, docs, empty):
     own, labels = labelled(spark)
     rows = quality.quality_report(own, labels).collect()

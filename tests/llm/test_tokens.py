@@ -188,3 +188,46 @@ def test_shortest_pack_first():
             placed[length] += n
     assert dict(placed) == {7: 2, 4: 1, 3: 3, 1: 4}
     assert packing.shortest_pack_first({10: 10**12, 1: 10**12}, 10) and packing.shortest_pack_first({}, 10) == []
+
+
+def test_words_of_equal_sums_and_texts_over_a_block(reference_bpe):
+    """Two words that collide under any polynomial hash modulo 2 ** 64, and texts of over BLOCK bytes, each in one go."""
+    from docweave.llm.columnar import BLOCK
+    from tests.llm.test_dedup import morse
+
+    texts = [morse(n, *x) for n in (1024, 4096) for x in ("ab", "ba")]
+    texts += ["lorem ipsum, dolor! " * (BLOCK // 18), "", "é日 x1 " * (BLOCK // 7) + morse(1024, "b", "a")]
+    own = bpe.BpeCodec(bpe.read_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
+    packer = packing.SegmentTokenizer(JSON, public_tokenizers.PATTERN)
+    exact = Tokenizer.from_file(JSON)
+    pieces, by_bytes = token_counts.read_pieces(open(PIECES, "rb").read())
+    counter = token_counts.CountingViterbi(pieces, by_bytes, whole_runs=True)
+    at = 0
+    for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
+        ids, ends, _, _ = own.encode_block(data, offsets)
+        packed, packed_ends = packer.encode_block(data, offsets)
+        counts = counter.counts(data, offsets)
+        for i in range(len(offsets) - 1):
+            t = texts[at]
+            assert ids[ends[i] : ends[i + 1]].tolist() == reference_bpe.encode_ordinary(t)
+            if len(t) < 10_000:
+                assert packed[packed_ends[i] : packed_ends[i + 1]].tolist() == exact.encode(t, add_special_tokens=False).ids
+                assert counts[i] == (counter.count(token_counts.MARK + t) if t else 0)
+            at += 1
+    assert at == len(texts)
+
+
+def test_segments_whose_hashes_collide(monkeypatch):
+    """With a hash of three values every lookup collides; codes still follow the bytes."""
+    from docweave.llm import segments
+
+    monkeypatch.setattr(segments, "chained", lambda state, value: (state + value) % np.uint64(3))
+    seen = {}
+    table = segments.Segments(segments.space_starts, lambda new, first: np.array([seen.setdefault(x, len(seen)) for x in new], np.int64))
+    rng = random.Random(2)
+    for _ in range(4):
+        text = " ".join(rng.choice(["a", "b", "cc", "d" * 30, "e" * 40, "f" * 2000]) for _ in range(200)).encode()
+        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        codes, _ = table.codes_of(data, offsets)
+        start = segments.space_starts(data, offsets)
+        assert [seen[text[a:b]] for a, b in zip(start, [*start[1:], len(text)], strict=True)] == codes.tolist()
