@@ -157,7 +157,7 @@ class MergeReplay:
 
 
 class BpeCodec:
-    """Whole texts to ids and back; ids of known segments are kept as the text of their digits."""
+    """Whole texts to ids and back; ids of known segments are kept as the text of their digits, and decoded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
@@ -165,6 +165,7 @@ class BpeCodec:
         self.token = {v: k for k, v in ranks.items()}
         self.arena = Arena()
         self.digits: list[bytes] = []
+        self.plain: list[bytes] = []
         self.segments = Segments(run_starts, self._encode)
 
     def _encode(self, segments: list[bytes], first: np.ndarray) -> np.ndarray:
@@ -179,6 +180,7 @@ class BpeCodec:
         it = iter(words)
         ids = [[x for _ in range(c) for x in known[next(it)]] for c in counts]
         self.digits += [",".join(map(str, x)).encode() for x in ids]
+        self.plain += map(self.decode, ids)
         return self.arena.add(ids)
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray):
@@ -186,6 +188,7 @@ class BpeCodec:
         if self.arena.full():
             self.arena.clear()
             self.digits.clear()
+            self.plain.clear()
             self.segments.forget()
         codes, bounds = self.segments.codes_of(data, offsets)
         ids, ends = self.arena.gather(codes, bounds)
@@ -218,10 +221,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 ids, ends, codes, bounds = own.encode_block(data, offsets)
-                digits = list(map(own.digits.__getitem__, codes.tolist()))
-                flat, at, seg = ids.tolist(), ends.tolist(), bounds.tolist()
+                flat, seg = codes.tolist(), bounds.tolist()
+                digits, plain = list(map(own.digits.__getitem__, flat)), list(map(own.plain.__getitem__, flat))
                 joined = [hashlib.sha256(b",".join(filter(None, digits[s:e]))).hexdigest() for s, e in zip(seg, seg[1:], strict=False)]
-                decoded = [hashlib.sha256(own.decode(flat[s:e])).hexdigest() for s, e in zip(at, at[1:], strict=False)]
+                decoded = [hashlib.sha256(b"".join(plain[s:e])).hexdigest() for s, e in zip(seg, seg[1:], strict=False)]
                 out = [batch.column(0).slice(a, b - a), pa.array(np.diff(ends), pa.int64()), pa.array(joined), pa.array(decoded)]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
