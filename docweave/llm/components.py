@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import materialise_counted, skew_join
+from docweave.llm.storage import discard, materialise_counted, skew_join
 
 
 def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
@@ -30,9 +30,12 @@ def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of all nodes of links (a, b) but the roots themselves, where root is the least id that a node reaches."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    before = None
+    before = written = None
     while True:
         edges, now = materialise_counted(edges.distinct(), "edges", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        if written is not None:
+            discard(written)
+        written = edges
         if now.n == 0 or now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now

@@ -53,6 +53,14 @@ def materialise_counted(df: DataFrame, name: str, *also: Column) -> tuple[DataFr
     return spark.read.schema(df.schema).parquet(path), Row(**got)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that was written here and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
