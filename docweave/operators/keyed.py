@@ -90,3 +90,13 @@ def overlapping_batches(batches: list[DataFrame], keys: list[str], order: str) -
         own = batch.withColumn("__batch", F.lit(n))
         every = own if every is None else every.unionByName(own)
     return first_per_key(every, keys, "__batch", order).drop("__batch")
+
+
+def store_statistics(rows: DataFrame, sums: dict[str, str], distinct: dict[str, str], **tests: Column) -> DataFrame:
+    """One row: how many rows there are and pass each test, sums of columns and numbers of their distinct values."""
+    return rows.agg(
+        F.count("*").alias("docs"),
+        *[F.count_if(test).alias(name) for name, test in tests.items()],
+        *[F.sum(c).alias(name) for name, c in sums.items()],
+        *[F.count_distinct(c).alias(name) for name, c in distinct.items()],
+    )

@@ -68,3 +68,8 @@ def attach_rows(items: DataFrame, item_id: str, rows: DataFrame, pos: str, colum
     """The rows of each item as an ordered array; items without any pass with null."""
     lists = rows.groupBy(item_id).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, *columns))), lambda s: F.struct(*[s.getField(c).alias(c) for c in columns])).alias(into))
     return items.join(lists, item_id, "left")
+
+
+def named(rows: DataFrame, code: str, names: DataFrame, names_code: str) -> DataFrame:
+    """Rows with the names that a table has for their code; Spark broadcasts it where it is small."""
+    return rows.join(names.withColumnRenamed(names_code, code), code)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import nfkc, watch_form
+
 
 def holds_all(blob: Column, words: list[str]) -> Column:
     """F06."""
@@ -64,3 +68,13 @@ def search_grouped(df: DataFrame, fields: list[str], words: list[str], group: st
     hits = df.where(holds_all(F.concat_ws(" ", *fields), words)).withColumn("score", name_score([F.col(f) for f in fields[:2]], words[0]))
     groups = hits.groupBy(group).agg(F.min("score").alias("score"), F.count("*").alias("size"), F.min_by(name, F.struct("score", name)).alias("first"))
     return groups.orderBy("score", F.desc("size"), "first", group).limit(cap)
+
+
+def search_updates(df: DataFrame, fields: list[str], words: list[str], order: list[Column], cap: int = 300) -> DataFrame:
+    """Q01: rows whose fields, joined by spaces, hold all words in the form of the update page, in the data's order; no words find all."""
+    blob = watch_form(nfkc(F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])))
+    return ranked(df.where(holds_all(blob, [w.lower() for w in map(_nfkc, words)])) if words else df, order, cap)
+
+
+def _nfkc(word: str) -> str:
+    return unicodedata.normalize("NFKC", word)

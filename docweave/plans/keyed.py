@@ -119,9 +119,8 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def conditional_store_stats(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
     labels = table(spark, sf_dir, "labels").withColumn("has", F.lit(True))
-    return d.join(labels, "doc_id", "left").agg(
-        F.count("*").alias("docs"), F.count("has").alias("with_label"), F.count_if(F.col("has").isNull()).alias("pending"), F.sum("n_chars").alias("chars"),
-        F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 0).alias("bad"), F.count_distinct("source").alias("sources"))
+    has = F.col("has").isNotNull()
+    return keyed.store_statistics(d.join(labels, "doc_id", "left"), {"chars": "n_chars"}, {"sources": "source"}, with_label=has, pending=~has, toxic=F.col("toxic") == 1, bad=F.col("quality") == 0)
 
 
 @query("union_overwrite", """

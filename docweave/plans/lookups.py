@@ -75,7 +75,7 @@ SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_na
 def category_lookup(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     names = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(names, "c_nationkey").select("c_custkey", "n_name", "r_name")
+    return lookups.named(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", names, "c_nationkey").select("c_custkey", "n_name", "r_name")
 
 
 @query("snapshot_previous", """
@@ -168,8 +168,7 @@ ORDER BY ts DESC, event_id LIMIT 300""")
 def search_updates(spark, sf_dir):
     """Q01: the newest first, no score."""
     e = table(spark, sf_dir, "events")
-    hits = e.where(search.holds_all(F.concat_ws(" ", "event_type", "props"), ["error", "1"]))
-    return search.ranked(hits, [F.desc("ts"), F.col("event_id")], 300).select("event_id", "event_type", "total")
+    return search.search_updates(e, ["event_type", "props"], ["error", "1"], [F.desc("ts"), F.col("event_id")]).select("event_id", "event_type", "total")
 
 
 @query("search_theme", """

@@ -178,6 +178,40 @@ def test_char_diff_meets_all_texts(spark, tmp_path):
     assert len(want) > 12 and got == want
 
 
+def test_seq_diff_against_a_plain_pass(spark, tmp_path):
+    """The registered query on odd and even conversations, against blocks found by difflib and lines paired one by one."""
+    import random
+
+    from docweave.plans.texts import seq_diff
+
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "bot"]), "\n".join(rng.choices(["a", "b", "c d", ""], k=rng.randint(1, 4)))) for c in range(40) for t in range(rng.randint(0, 5))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = []
+    for pair in range(0, 40, 2):
+        old, new = ([(r, line) for c, _, r, t in sorted(rows) if c == conv for line in t.split("\n")] for conv in (pair, pair + 1))
+        out = []
+        for kind, a, b, c, d in difflib.SequenceMatcher(None, [f"{p}\t{t}" for p, t in old], [f"{p}\t{t}" for p, t in new], autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            free = list(range(c, d))
+            for p, t in old[a:b]:
+                k = next((k for k in free if new[k][0] == p), None) if kind == "replace" else None
+                out.append(("removed", p, t, None) if k is None else ("changed", p, t, new[k][1]))
+                if k is not None:
+                    free.remove(k)
+            out += [("added", new[k][0], None, new[k][1]) for k in free]
+        want += [(pair, i, *x) for i, x in enumerate(out)]
+    got = [(r.pair, r.pos, r.kind, r.path, r.before, r.after) for r in seq_diff(spark, str(tmp_path)).collect()]
+    assert len(want) > 60 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_update_search(spark):
+    df = spark.createDataFrame([(1, "Ａspirin", "x"), (2, "aspirin", None), (3, "b", "ASPIRIN 錠")], "i int, t string, c string")
+    found = lambda *w: [(r.i, r.total) for r in search.search_updates(df, ["t", "c"], list(w), [F.desc("i")], 2).collect()]
+    assert found("ａspirin") == [(3, 3), (2, 3)] and found("aspirin", "錠") == [(3, 1)] and found() == [(3, 3), (2, 3)]
+
+
 def test_stale_and_due(spark):
     targets = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")], "u string, t string")
     state = spark.createDataFrame([("a", "1", 2, None), ("b", "1", 2, None), ("c", "3", 1, None), ("e", "4", 2, "5")], "u string, t string, v int, err_t string")
