@@ -1,17 +1,14 @@
-"""Planning of capped reads: split a class by year, then date ranges by halves."""
+"""Planning of capped reads: a class by its children, by years, then date ranges by halves."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from datetime import date, timedelta
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.keys import middle_day
 
-def halves(low: date, high: date) -> list[tuple[date, date]]:
-    middle = low + timedelta(days=(high - low).days // 2)
-    return [(low, middle), (middle + timedelta(days=1), high)]
+#: Halvings after which a year is cut into single days.
+HALVINGS = 9
 
 
 def with_children(rows: DataFrame, kind: str, child: str, cap: int, into: str = "class") -> DataFrame:
@@ -20,35 +17,33 @@ def with_children(rows: DataFrame, kind: str, child: str, cap: int, into: str =
     return rows.join(full, kind).withColumn(into, F.when(F.col("__n") > cap, F.col(child)).otherwise(F.col(kind))).drop("__n")
 
 
+def part(days: Column, low: Column, high: Column) -> Column:
+    """The days with rows of a date range, and the range."""
+    inside = F.filter(days, lambda d: (d.getField("day") >= low) & (d.getField("day") <= high))
+    return F.struct(inside.alias("days"), low.alias("low"), high.alias("high"))
+
+
+def rows_in(days: Column) -> Column:
+    return F.aggregate(days, F.lit(0).cast("long"), lambda n, d: n + d.getField("n"))
+
+
 def capped_partitions(rows: DataFrame, kind: str, day: str, first_year: int, last_year: int, cap: int) -> DataFrame:
     """(class, low, high, n): date ranges of at most cap rows, single days aside that have more.
 
     Years before and after the given ones are added where a class has rows there, so that every row of a
-    date is in a part. Rows are counted once per class and day; splitting works on running sums of
-    those counts, so its cost follows classes and days, not rows. One class's days are planned in one task.
+    date is in a part. Rows are counted once per class and day; a class's days go down the halvings as an
+    array that shrinks with its range, so the cost follows classes and days, not rows.
     """
-    counts = rows.groupBy(kind, day).agg(F.count("*").alias("n"))
-
-    def plan(pdf):
-        import pandas as pd
-
-        pdf = pdf.dropna(subset=[day]).sort_values(day)
-        if not len(pdf):
-            return pd.DataFrame(columns=["class", "low", "high", "n"])
-        days, sums = pdf[day].tolist(), [0, *pdf["n"].cumsum().tolist()]
-        size = lambda low, high: sums[bisect_right(days, high)] - sums[bisect_left(days, low)]
-        first, last = min(first_year, days[0].year), max(last_year, days[-1].year)
-        whole = date(first, 1, 1), date(last, 12, 31)
-        todo, out = [whole], []
-        while todo:
-            low, high = todo.pop()
-            n = size(low, high)
-            if n <= cap or low == high:
-                out.append((pdf[kind].iloc[0], low, high, n))
-            elif (low, high) == whole:
-                todo += [(date(y, 1, 1), date(y, 12, 31)) for y in range(first, last + 1)]
-            else:
-                todo += halves(low, high)
-        return pd.DataFrame(out, columns=["class", "low", "high", "n"])
-
-    return counts.groupBy(kind).applyInPandas(plan, "class string, low date, high date, n long")
+    counts = rows.where(F.col(day).isNotNull()).groupBy(F.col(kind).alias("class"), F.col(day).alias("day")).agg(F.count("*").alias("n"))
+    whole = counts.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("days"), F.min(F.year("day")).alias("first"), F.max(F.year("day")).alias("last"))
+    start, end = (lambda y: F.make_date(y, F.lit(1), F.lit(1))), (lambda y: F.make_date(y, F.lit(12), F.lit(31)))
+    own = F.struct("days", start(F.least("first", F.lit(first_year))).alias("low"), end(F.greatest("last", F.lit(last_year))).alias("high"))
+    parts = whole.select("class", own.alias("p"))
+    days, low, high = F.col("p.days"), F.col("p.low"), F.col("p.high")
+    over = (rows_in(days) > cap) & (low < high)
+    years = F.transform(F.sequence(F.year(low), F.year(high)), lambda y: part(days, start(y), end(y)))
+    middle = middle_day(low, high)
+    halves = F.array(part(days, low, middle), part(days, F.date_add(middle, 1), high))
+    for step in (years, *[halves] * HALVINGS):
+        parts = parts.select("class", F.explode(F.when(over, step).otherwise(F.array("p"))).alias("p"))
+    return parts.select("class", low.alias("low"), high.alias("high"), rows_in(days).alias("n"))

@@ -206,6 +206,18 @@ def test_seq_diff_against_a_plain_pass(spark, tmp_path):
     assert len(want) > 60 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_every_row_is_in_a_part(spark):
+    from docweave.operators.partitions import capped_partitions
+
+    rows = spark.sql("SELECT 'a' AS c, date_add(DATE '1999-11-30', CAST(pow(id, 2) % 1500 AS int)) AS d FROM range(400) UNION ALL SELECT 'b', DATE '2001-05-05' FROM range(30) UNION ALL SELECT 'b', NULL")
+    got = capped_partitions(rows, "c", "d", 2000, 2002, 10).collect()
+    assert {k: sum(r.n for r in got if r["class"] == k) for k in "ab"} == {"a": 400, "b": 30}
+    assert all(r.n <= 10 or r.low == r.high for r in got) and min(r.low.year for r in got) == 1999
+    for k in "ab":
+        own = sorted((r.low, r.high) for r in got if r["class"] == k)
+        assert all((b[0] - a[1]).days == 1 for a, b in zip(own, own[1:], strict=False))
+
+
 def test_update_search(spark):
     df = spark.createDataFrame([(1, "Ａspirin", "x"), (2, "aspirin", None), (3, "b", "ASPIRIN 錠")], "i int, t string, c string")
     found = lambda *w: [(r.i, r.total) for r in search.search_updates(df, ["t", "c"], list(w), [F.desc("i")], 2).collect()]
