@@ -34,9 +34,9 @@ def code_score(codes: Column, word: str) -> Column:
 
 def ranked(hits: DataFrame, order: list[Column], cap: int | None) -> DataFrame:
     """The first cap hits, and in total how many there were before the cap."""
-    total = hits.agg(F.count("*").alias("total"))
+    total = hits.agg(F.count("*")).scalar()
     top = hits.orderBy(*order)
-    return (top.limit(cap) if cap else top).crossJoin(F.broadcast(total))
+    return (top.limit(cap) if cap else top).withColumn("total", total)
 
 
 def search_names(df: DataFrame, fields: list[str], words: list[str], order: list[str], cap: int | None = 200) -> DataFrame:
