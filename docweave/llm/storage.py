@@ -91,3 +91,15 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: Co
     hits = joined.where(F.col(mark)).select(*rows.columns, *[F.col(own[c]).alias(c) for c in names])
     rest = joined.where(F.col(mark).isNull()).select(*rows.columns)
     return hits.unionByName(rest.join(groups.where(~heavy), keys).select(*rows.columns, *names))
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, size: Column, total: int) -> DataFrame:
+    """The same for many rows: heavy groups' keys go to the driver first, at most HEAVY times the keys a row has, so that rows are told apart without a join.
+
+    groups is read twice and should be a written table.
+    """
+    keys = sorted(r[0] for r in groups.where(size > F.lit(max(1000, total // HEAVY))).select(F.xxhash64(key)).collect())
+    if not keys:
+        return rows.join(groups, key)
+    heavy = F.xxhash64(key).isin(keys)
+    return rows.where(heavy).join(F.broadcast(groups.where(heavy)), key).unionByName(rows.where(~heavy).join(groups.where(~heavy), key))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.columnar import blocks, hashes, mix, prefix_sums, range_hash, windows, words
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.storage import materialise, materialise_counted, skew_join
+from docweave.llm.storage import materialise, materialise_counted, skew_join, split_join
 
 WINDOW, ANCHOR = 50, 24
 
@@ -175,12 +175,12 @@ def indexed_blocks(texts: DataFrame, profile: DataFrame, total: int) -> tuple[Da
     leading = whole.join(copies, ["id", "words_sha"], "left_anti")
     anchors = leading.select("id", "words_sha", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared, seen = materialise_counted(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "anchors", F.sum("n").alias("rows"))
-    mine = skew_join(anchors, shared, "anchor", F.col("n"), seen.rows or 1).groupBy("id", "words_sha").agg(F.collect_set("anchor").alias("anchors"))
+    mine = split_join(anchors, shared, "anchor", F.col("n"), seen.rows or 1).groupBy("id", "words_sha").agg(F.collect_set("anchor").alias("anchors"))
     mine = mine.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     candidates, met = materialise_counted(reference_blocks(texts.join(mine, "id").select("id", "text", "anchors")), "blocks")
     index = candidates.groupBy("block").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"), F.max("id").alias("last")).where("first.id < last")
     index = index.select("block", F.col("first.id").alias("ref"), F.col("first.at").cast("long").alias("ref_at"), "n")
-    later = skew_join(candidates, index, "block", F.col("n"), max(met.n, 1)).where("id > ref")
+    later = split_join(candidates, materialise(index, "index"), "block", F.col("n"), max(met.n, 1)).where("id > ref")
     return later.groupBy("id", "mark").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), "ref", "ref_at")).alias("found")), copies
 
 
