@@ -52,7 +52,7 @@ def generic_groups(catalog: DataFrame, store: DataFrame, hits: DataFrame) -> Dat
     documents = opened.join(store, "u").join(hits.select("u").distinct(), "u", "left_semi")
     documents = documents.withColumn("name", generic_name(F.col("g"), F.col("n"), F.col("u"))).withColumn("at", F.struct("pos", "nth"))
     coded = F.substring(product_code(F.col("u")), 1, 4)
-    codes = documents.groupBy("name").agg(F.min(F.when(coded == "", NO_CLASS).otherwise(coded)).alias("y"))
+    codes = documents.groupBy("name").agg(F.min(F.coalesce(F.nullif(coded, F.lit("")), F.lit(NO_CLASS))).alias("y"))
     classes = mode_first_seen(documents.where("cls <> ''").withColumn("seen", F.col("pos") * 1000 + F.col("nth")), ["name"], "cls", "seen").drop("n")
     classes = classes.withColumn("cls", F.regexp_replace(F.element_at(F.split("cls", r"\n| / "), 1), "^[ \\-－‐]+|[ \\-－‐]+$", ""))
     brand = first_per_key(documents.select("name", F.coalesce("n", F.lit("")).alias("n"), "u", "at"), ["name", "n"], "at")
