@@ -43,6 +43,8 @@ SIMILARITY = 75
 FARTHEST = 34
 #: Members and shingles of a tile (about, and a single text may have more), members of a lump, pairs of one tile that are dealt as one.
 TILE, TILE_SHINGLES, LUMP, DEALT = 512, 1 << 20, 128, 64
+#: Members up to which a bucket is joined in one part, whatever its share.
+HOT = 1000
 
 
 def profiles(texts: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def members_of(leading: DataFrame) -> DataFrame | None:
     full, seen = materialise_counted(keyed(leading).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", F.sum("n").alias("members"))
     if not seen.n:
         return None
-    cut = full.withColumn("parts", F.ceil(F.col("n") / max(1000, seen.members // HEAVY)).cast("int"))
+    cut = full.withColumn("parts", F.ceil(F.col("n") / max(HOT, seen.members // HEAVY)).cast("int"))
     hot = cut.where("parts > 1").select("bucket", "parts").toArrow().sort_by("bucket")  # at most HEAVY for each key of a text
     found = keyed(leading, (np.asarray(hot.column("bucket")), np.asarray(hot.column("parts")))).join(in_parts(cut), ["bucket", "part"])
     return materialise(found.select("bucket", "part", "parts", "n", "id", "size"), "members")

@@ -93,6 +93,7 @@ def test_near_group_of_all_similarities(spark, monkeypatch):
     """A group of copies with 0 to 9 words changed, of which many are just not similar enough, against brute force: full recall."""
     monkeypatch.setattr(near_dedup, "TILE", 16)
     monkeypatch.setattr(near_dedup, "LUMP", 4)
+    monkeypatch.setattr(near_dedup, "HOT", 7)
     rng = random.Random(8)
     base = [rng.choice("kmstr") + str(rng.randrange(900)) for _ in range(100)]
     rows = []
