@@ -6,6 +6,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
+from docweave.llm import components as components_module
 from docweave.llm import exact_dedup, near_dedup, substring_dedup
 from docweave.llm.components import components
 
@@ -132,7 +135,9 @@ def test_near_drop(docs):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in near_dedup.near_duplicates(unique).where("kept").collect()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (2, 1)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100}
