@@ -8,8 +8,12 @@ Latin-1, so binary layers are scanned like others; in a run of percent escapes t
 aren't UTF-8 stay escapes. Percent signs that are escaped several times are unwrapped at once. A base64 run may
 go over line ends, and may begin anywhere in a longer run of its letters, as in a URL's path: it is
 read from each of its first four characters, and compressed bytes are looked for at every place
-of what that gives. Runs under 16 characters hold no secret, as the shortest has 12 bytes. All members of compressed bytes are unwrapped, and of a cut or damaged
-stream what it gives. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
+of what that gives. Runs under 16 characters hold no secret, as the shortest has 12 bytes. Members of
+compressed bytes that follow one another are one layer; what looks like a header inside a whole member is
+that member's content and isn't tried. Of a cut or damaged stream a layer has what it gives. Many places of
+ordinary bytes look like headers, so what such streams read and give is counted: once it is over BROKEN times
+the bytes of the sound layers (and FREE), a place that a broken stream of its kind of mark (zlib's, or another) has already gone over is passed by, and that is
+counted in n_refused. So the time follows the bytes. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
 counted in n_refused, since what is encoded across the end of a piece can be missed there; text
 itself is scanned whole at any length.
 
@@ -28,7 +32,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +44,10 @@ KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
 #: Bytes that two pieces of a larger layer share, that a decompressor gives at once, and that it is fed.
 OVERLAP, STEP, FEED = 1 << 20, 1 << 20, 1 << 10
+#: What broken streams may read and give for each byte of sound layers, and besides, before places that they went over are passed by.
+BROKEN, FREE = 8, 1 << 20
+#: The shortest secret of any kind.
+SHORTEST = 12
 REDACTED = "[REDACTED]"
 
 
@@ -55,12 +63,14 @@ _HINTS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-#: Escapes of percent signs, twice or more.
+#: Escapes of percent signs, twice or more; of backslashes and ampersands likewise.
 _NESTED = re.compile(r"%25(?:25)+")
-#: The two alphabets: runs on one line or on several, and a line of them.
-_BASE64 = tuple((re.compile(f"{c}{{16,}}={{0,2}}(?:\\r?\\n[ \\t]*{c}+={{0,2}})*"), re.compile(f"{c}+={{0,2}}")) for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+_NESTED_ESCAPES = ((re.compile(r"\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC]){2,}"), "\\"), (re.compile(r"&(?:#0{0,5}38;|#[xX]0{0,4}26;){2,}"), "&"))
+#: The two alphabets: the first line of a run, and a line that goes on.
+_BASE64 = tuple((re.compile(f"{c}{{16,}}={{0,2}}"), re.compile(f"\\r?\\n[ \\t]*({c}+={{0,2}})")) for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
 _LINE_ENDS = re.compile(r"\s+")
-_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+#: Marks that ordinary bytes hardly have (gzip, bzip2, xz), and those of zlib, one of which is "x^".
+_MARKS = (re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00"), re.compile(rb"\x78[\x01\x5e\x9c\xda]"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -172,18 +182,19 @@ def base64_decoded(run: str) -> Iterator[bytes]:
 
 def base64_runs(text: str) -> Iterator[tuple[int, int]]:
     """Runs of base64 letters. A run goes on over a line end while lines have the width of its second; a shorter one, of whole groups, ends it."""
-    for pattern, letters in _BASE64:
+    for number, (first, more) in enumerate(_BASE64):
         at = 0
-        while m := pattern.search(text, at):
-            lines = [(m.start() + x.start(), m.start() + x.end()) for x in letters.finditer(m.group())]
-            end, width = lines[0][1], lines[1][1] - lines[1][0] if len(lines) > 1 else 0
-            for a, b in lines[1:]:
-                if text[end - 1] == "=" or b - a > width or (b - a < width or width < 16) and (b - a) % 4:
+        while m := first.search(text, at):
+            end, width = m.end(), 0
+            while text[end - 1] != "=" and (line := more.match(text, end)):
+                size = line.end() - line.start(1)
+                width = width or size
+                if size > width or (size < width or width < 16) and size % 4:
                     break
-                end = b
-                if b - a < width:
+                end = line.end()
+                if size < width:
                     break
-            if letters is _BASE64[0][1] or "-" in m.group() or "_" in m.group():  # else it's in a run of the first alphabet
+            if not number or "-" in (run := text[m.start() : end]) or "_" in run:  # else it's in a run of the first alphabet
                 yield m.start(), end
             at = end
 
@@ -196,6 +207,9 @@ def percent_runs(text: str) -> list[tuple[int, int, str]]:
 
 
 def escaped_runs(text: str) -> list[tuple[int, int, str]]:
+    """The same for character escapes."""
+    if nested := sorted((m.start(), m.end(), to) for pattern, to in _NESTED_ESCAPES for m in pattern.finditer(text)):
+        return nested
     return [(m.start(), m.end(), got) for m in _ESCAPE.finditer(text) if (got := unescaped(m.group())) is not None]
 
 
@@ -212,46 +226,58 @@ def _opened(raw: bytes):
     return None
 
 
-def unpacked(raw: bytes) -> Iterator[bytes]:
-    """The content of all members, in parts of at most STEP bytes; ends where a stream is cut or damaged."""
-    at = 0
-    while (maker := _opened(raw[at : at + 6])) is not None:
-        while not maker.eof:
-            # small steps, since a stream that turns out damaged loses what the call had given
-            step = raw[at : at + FEED]
-            if not step:
-                return
-            at += len(step)
-            while True:
-                try:
-                    out = maker.decompress(step, STEP)
-                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+class Stream:
+    """The members that begin at a place of some bytes and follow one another, without a copy of the rest."""
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.at = raw, at
+        self.gave, self.whole = 0, at  # bytes given, and where the last whole member ends
+
+    def parts(self) -> Iterator[bytes]:
+        """The content in parts of at most STEP bytes; ends where a stream is cut or damaged."""
+        raw = self.raw
+        while (maker := _opened(raw[self.at : self.at + 6])) is not None:
+            while not maker.eof:
+                # small steps, since a stream that turns out damaged loses what the call had given
+                step = raw[self.at : self.at + FEED]
+                if not step:
                     return
-                if out:
-                    yield out
-                step = getattr(maker, "unconsumed_tail", b"")
-                if maker.eof or not (step or (len(out) == STEP if hasattr(maker, "unconsumed_tail") else not maker.needs_input)):
-                    break
-        at -= len(maker.unused_data)
-    if at < len(raw):
-        yield raw[at:]  # what follows the last member
-
-
-def pieces(raw: bytes) -> Iterator[bytes]:
-    """The content in pieces of about MAX_LAYER bytes at most, each beginning with the last OVERLAP of the one before; nothing for other bytes."""
-    if _opened(raw[:6]) is None:
-        return
-    held, fresh = bytearray(), False
-    for part in unpacked(raw):
-        for at in range(0, len(part), MAX_LAYER):
-            some = part[at : at + MAX_LAYER]
-            if fresh and len(held) + len(some) > MAX_LAYER:
-                yield bytes(held)
-                del held[: -min(OVERLAP, MAX_LAYER // 2)]
-            held += some
-            fresh = True
-    if fresh:
-        yield bytes(held)
+                self.at += len(step)
+                while True:
+                    try:
+                        out = maker.decompress(step, STEP)
+                    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                        return
+                    if out:
+                        self.gave += len(out)
+                        yield out
+                    step = getattr(maker, "unconsumed_tail", b"")
+                    if maker.eof or not (step or (len(out) == STEP if hasattr(maker, "unconsumed_tail") else not maker.needs_input)):
+                        break
+            self.at -= len(maker.unused_data)
+            self.whole = self.at
+
+    def pieces(self) -> Iterator[bytes]:
+        """The content in pieces of about MAX_LAYER bytes at most, each beginning with the last OVERLAP of the one before."""
+        held, fresh = bytearray(), False
+        for part in self.parts():
+            for at in range(0, len(part), MAX_LAYER):
+                some = part[at : at + MAX_LAYER]
+                if fresh and len(held) + len(some) > MAX_LAYER:
+                    yield bytes(held)
+                    del held[: -min(OVERLAP, MAX_LAYER // 2)]
+                held += some
+                fresh = True
+        if fresh:
+            yield bytes(held)
+
+
+def places(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(kind of mark, place) where compressed bytes may begin: the start, if anything there opens, then the plain marks, then those of zlib."""
+    if _opened(raw[:6]) is not None:
+        yield 0, 0
+    for kind, marks in enumerate(_MARKS):
+        yield from ((kind, m.start()) for m in marks.finditer(raw) if m.start())
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -259,28 +285,46 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     text = text or ""
     base = base_spans(text)
     every = set(base)
-    work: list[Layer | tuple[bytes, tuple[int, int]]] = [Layer(text)]
+    # bytes come with their span and whether they are sound: not out of a broken stream
+    work: list[Layer | tuple[bytes, tuple[int, int], bool]] = [Layer(text)]
     seen: set[tuple] = set()
     layers = refused = 0
+    allowed, spent = FREE, [0, 0]
     while work:
         layer = work.pop()
         if isinstance(layer, tuple):
-            raw, whole = layer
+            raw, whole, sound = layer
             key = hashlib.blake2b(raw, digest_size=16).digest(), whole, "bytes"
             if key in seen:
                 continue
             seen.add(key)
-            amount = 0
-            for inner in pieces(raw):
-                amount += 1
-                if amount > 1:  # a large layer: nothing of it is held but the piece at hand
-                    _, found, more, less = scan(inner.decode("latin-1"))
-                    every |= {(whole[0], kind, whole[1]) for _, kind, _ in found}
-                    layers, refused = layers + more, refused + less
-                else:
-                    work.append((inner, whole))
-            refused += amount > 1
-            work += [(raw[m.start() :], whole) for m in _MAGIC.finditer(raw) if m.start()]
+            allowed += BROKEN * len(raw) * sound
+            members: list[tuple[int, int]] = []  # whole ones
+            reached = [0, 0]  # the end of what broken streams of a kind of mark went over
+            left_out = False
+            for kind, place in places(raw):
+                before = bisect_right(members, (place, len(raw)))
+                if before and place < members[before - 1][1]:
+                    continue
+                if place < reached[kind] and spent[kind] > allowed:
+                    left_out = True
+                    continue
+                stream, amount = Stream(raw, place), 0
+                for inner in stream.pieces():
+                    amount += 1
+                    if amount > 1:  # a large layer: nothing of it is held but the piece at hand
+                        _, found, more, less = scan(inner.decode("latin-1"))
+                        every |= {(whole[0], kind, whole[1]) for _, kind, _ in found}
+                        layers, refused = layers + more, refused + less
+                    elif len(inner) >= SHORTEST:
+                        work.append((inner, whole, sound and stream.whole > place))
+                refused += amount > 1
+                if stream.whole > place:
+                    insort(members, (place, stream.whole))
+                if stream.at > stream.whole:
+                    spent[kind] += stream.at - stream.whole + stream.gave
+                    reached[kind] = max(reached[kind], stream.at)
+            refused += left_out
             try:
                 plain = raw.decode()
             except UnicodeDecodeError:
@@ -300,7 +344,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             work.append(layer.rewritten(runs))
         for start, end in base64_runs(layer.text):
             whole = layer.origin(start, end)
-            work += [(raw, whole) for raw in base64_decoded(layer.text[start:end])]
+            work += [(raw, whole, True) for raw in base64_decoded(layer.text[start:end])]
     return base, sorted(every), layers, refused
 
 
