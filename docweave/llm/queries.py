@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm.archives import archive_round_trip
 from docweave.llm.bpe import encode_documents
 from docweave.llm.exact_dedup import exact_duplicates
+from docweave.llm.fill_middle import fill_in_middle_report
 from docweave.llm.near_dedup import near_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.quality import quality_report
@@ -67,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_report(documents(spark, sf_dir))
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -133,6 +138,26 @@ SELECT doc_id, len(w) AS n_words, n AS n_removed,
 FROM j
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents),
+r AS (
+  SELECT *, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, CAST(1 + 8 * i AS BIGINT), 8) AS BIGINT)) AS k FROM d),
+c AS (
+  SELECT *, least(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS a, greatest(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 100 THEN 'plain'
+              WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM r),
+p AS (
+  SELECT doc_id, t, len(u) AS n, form, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -144,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -151,4 +177,5 @@ ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
