@@ -18,6 +18,7 @@ from docweave.llm.secrets import scan_secrets
 from docweave.llm.substring_dedup import remove_repeats
 from docweave.llm.token_counts import count_tokens
 from docweave.llm.toxicity import toxicity
+from docweave.llm.vector_codes import vector_code_report
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_report(documents(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -158,6 +163,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 FROM p
 """
 
+#: A round: all parts against all entries of their codebook, then the floors of the means.
+_OP12_ROUND = """
+a{k} AS MATERIALIZED (
+  SELECT part, vec_id, any_value(label) AS label, any_value(x) AS x, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), e := e)) AS b
+  FROM p JOIN c{k} USING (part) GROUP BY part, vec_id)"""
+_OP12_MEANS = """,
+m{k} AS (
+  SELECT part, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT part, b.e AS e, i, CAST(sum(x[i]) AS DOUBLE) AS s, count(*) AS n FROM a{k}, range(1, 1 + (SELECT max(len(x)) FROM p)) t(i) GROUP BY part, b.e, i) GROUP BY part, e),
+c{next} AS (
+  SELECT part, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, e)),"""
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, part, q[1 + part * (len(q) // 16):(part + 1) * (len(q) // 16)] AS x FROM v, range(16) t(part)),
+c0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+{_OP12_ROUND.format(k=0)}{_OP12_MEANS.format(k=0, next=1)}
+{_OP12_ROUND.format(k=1)}{_OP12_MEANS.format(k=1, next=2)}
+{_OP12_ROUND.format(k=2)},
+o AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', CAST(b.e AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256
+FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -170,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -178,4 +214,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }

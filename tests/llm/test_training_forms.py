@@ -1,13 +1,16 @@
 """Fill-in-the-middle, vector codes and chat windows."""
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import fill_middle
+from docweave.llm import fill_middle, vector_codes
 
 
 def sha(text):
@@ -67,3 +70,91 @@ def test_no_unit_is_kept():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (n, places) == (2_000_000, (1_500_000, 4_500_000)) and most < 100_000
+
+
+def plain_codes(rows, parts=16, entries=64, rounds=2):
+    """The contract by Python integers: rows of (vec_id, vector, label)."""
+    kept = [(i, [math.floor(256 * Fraction(x)) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = -(-max((len(q) for _, q, _ in kept), default=0) // parts)
+    kept = [(i, q + [0] * (parts * width - len(q)), label) for i, q, label in kept]
+    first = {}
+    for i, q, _ in kept:
+        key = (i is None, i or 0)
+        first[key] = min(first.get(key, q), q)
+    opening = [first[k] for k in sorted(first)[:entries]]
+    books = [[q[p * width : (p + 1) * width] for q in opening] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            met = {}
+            for _, q, _ in kept:
+                x = q[p * width : (p + 1) * width]
+                met.setdefault(nearest(x, book)[1], []).append(x)
+            books[p] = [[sum(c) // len(met[e]) for c in zip(*met[e], strict=True)] if e in met else old for e, old in enumerate(book)]
+    out, by_label = [], {}
+    for i, q, label in kept:
+        got = [nearest(q[p * width : (p + 1) * width], books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{e:02x}" for _, e in got), sum(d for d, _ in got), label))
+        by_label.setdefault(label, []).append(out[-1][2])
+    fits = lambda x: x if x < 1 << 63 else None
+    digest = sha(",".join(str(x) for b in books for c in b for x in c))
+    return [(i, code, fits(e), None if any(fits(x) is None for x in by_label[label]) else fits(sum(by_label[label])), digest) for i, code, e, label in out]
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, code string, q int, of_label int"
+
+
+@pytest.mark.parametrize("case", ["many", "few", "ragged", "large", "ties", "no ids"])
+def test_vector_codes(spark, case):
+    rng = random.Random(case)
+    vector = lambda n=32: [rng.gauss(0, 1) for _ in range(n)]
+    if case == "many":
+        centres = [vector() for _ in range(7)]
+        rows = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(centres)], rng.choice([None, 1, 2])) for i in range(300)]
+        rows += [(3, vector(), 1), (3, vector(), 1), (None, vector(), None), (900, None, 1), (901, [None] + vector(31), 1), (902, [math.nan] + vector(31), 1), (903, [-math.inf] + vector(31), 1)]
+        rows += rows[:5]
+    elif case == "few":
+        rows = [(i, vector(16), i) for i in range(5)]
+    elif case == "ragged":
+        rows = [(i, vector(rng.choice([0, 3, 16, 33])), 0) for i in range(90)]
+    elif case == "large":
+        rows = [(i, [x * 10.0 ** rng.choice([0, 5, 9, 15]) for x in vector(16)], i % 3) for i in range(80)]
+    elif case == "ties":
+        rows = [(i, [rng.choice([-0.5, 0.0, 0.5, -1 / 512]) for _ in range(32)], 1) for i in range(200)]
+    else:
+        rows = [(None, vector(16), 1) for _ in range(9)]
+    frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], VECTORS).repartition(4)
+    report = vector_codes.vector_code_report(frame)
+    assert report.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert by_id(tuple(r) for r in report.collect()) == by_id(plain_codes(rows))
+
+
+def test_vector_codes_of_nothing(spark):
+    for rows in ([], [(1, None, 1, "x", 1, 2), (2, [math.nan], 1, "x", 1, 2)]):
+        assert vector_codes.vector_code_report(spark.createDataFrame(rows, VECTORS)).count() == 0
+    with pytest.raises(Exception, match="too large"):
+        vector_codes.vector_code_report(spark.createDataFrame([(1, [1e300], 1, "x", 1, 2)], VECTORS))
+
+
+def test_decoded_vectors(spark):
+    rng = random.Random(1)
+    frame = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)], 0, "", 0, 0) for i in range(50)], VECTORS)
+    coded, books = vector_codes.encode_vectors(frame, parts=4, entries=8)
+    given = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in frame.collect()}
+    error = {r.vec_id: r.error for r in coded.collect()}
+    for r in vector_codes.decode_codes(coded, books).collect():
+        assert sum((a - b) ** 2 for a, b in zip(r.q, given[r.vec_id], strict=True)) == error[r.vec_id]
+
+
+def test_exponion_scans_a_part_and_misses_nothing():
+    rng = np.random.default_rng(3)
+    entries = rng.integers(-300, 300, (64, 4))
+    book = vector_codes.Codebook(entries, 64)
+    x = entries[rng.integers(0, 64, 5000)] + rng.integers(-20, 20, (5000, 4))
+    far = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
+    for start, most in ((np.zeros(5000, np.int64), 64), (far.argmin(axis=1), 16)):
+        found, best, taken = book.nearest(x, start)
+        assert (found == far.argmin(axis=1)).all() and (best == far.min(axis=1)).all() and taken < most * 5000
