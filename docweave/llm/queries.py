@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.archives import archive_round_trip
 from docweave.llm.bpe import encode_documents
+from docweave.llm.chat_windows import chat_report
 from docweave.llm.exact_dedup import exact_duplicates
 from docweave.llm.fill_middle import fill_in_middle_report
 from docweave.llm.near_dedup import near_duplicates
@@ -77,6 +78,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: A conversation whose texts look like a template's marks.
+MARKED = " SELECT -1 AS conv_id, k AS turn, if(k = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2) AS t(k)"
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(spark.sql(MARKED))
+    return chat_report(turns, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -206,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_chat_windows": op13_chat_windows,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,10 +7,11 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import fill_middle, vector_codes
+from docweave.llm import chat_windows, fill_middle, vector_codes
 
 
 def sha(text):
@@ -158,3 +159,84 @@ def test_exponion_scans_a_part_and_misses_nothing():
     for start, most in ((np.zeros(5000, np.int64), 64), (far.argmin(axis=1), 16)):
         found, best, taken = book.nearest(x, start)
         assert (found == far.argmin(axis=1)).all() and (best == far.min(axis=1)).all() and taken < most * 5000
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+TURNS = "conv_id long, turn long, role string, text string, at long, window long, part int, h string"
+CONTROL = ["[INST]", "[/INST]", "</s>", "<s>", "[SYS]", "[/SYS] ", "[ROLE]", "[NAME]", "[/ROLE]", "[", "<", "\\", " ", "/", "s>", "INST]", "ok", "\n", "é"]
+
+
+def told_turns(rows):
+    """n_turns, turns_sha256, loss_chars, loss_sha256 by conversation, from the rows alone."""
+    out = {}
+    by_conv = {}
+    for conv, turn, role, text in rows:
+        by_conv.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    for conv, turns in by_conv.items():
+        turns.sort()
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
+        out[conv] = len(turns), sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns)), len(loss), sha(loss)
+    return out
+
+
+@pytest.fixture(scope="module")
+def chats():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice(CONTROL) if rng.random() < 0.4 else rng.choice(["word ", "more "]) for _ in range(n))
+    rows = [(i, k, rng.choice(["user", "assistant", "assistant", "tool", "system", "[NAME] x", ""]), text(rng.choice([0, 3, 40, 200, 900]))) for i in range(25) for k in range(rng.randint(1, 12))]
+    rows += [(30, k, "system" if k == 0 else "user" if k % 2 else "assistant", text(30)) for k in range(400)]
+    rows += [(31, None, None, None), (31, 1, "assistant", None), (32, 0, "system", text(2000)), (33, 0, "system", text(5000)), (33, 1, "assistant", text(4000)), (33, 2, "user", ""), (34, 0, "assistant", "x" * 3_000_000), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
+    rows += [(35, 5, "assistant", "same")] * 60 + [(36, k % 3, "user" if k % 2 else "assistant", "t") for k in range(30)]
+    rng.shuffle(rows)
+    return rows
+
+
+def chat_frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], TURNS).repartition(5)
+
+
+def test_escapes_are_reversible():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice(CONTROL) for _ in range(rng.randint(0, 8)))
+        out = chat_windows.escaped(text)
+        assert chat_windows.unescaped(out) == text and not any(m in out for m in CONTROL[:9] if m != "[/SYS] ") and "[/SYS]" not in out
+        turns = [(rng.choice(["system", "user", "assistant", "tool", "", text]), "".join(rng.choice(CONTROL) for _ in range(rng.randint(0, 5)))) for _ in range(3)]
+        assert list(chat_windows.turns_of(chat_windows.BEGIN + "".join(chat_windows.formatted(r, t)[0] for r, t in turns))) == turns
+
+
+def test_chat_report(spark, chats):
+    frame = chat_frame(spark, chats)
+    want = told_turns(chats)
+    for options in ({}, {"budget": 300, "history": 50}, {"budget": 300, "history": 0, "hot_turns": 20}):
+        got = {r.conv_id: r for r in chat_windows.chat_report(frame, *TOKENIZER, **options).collect()}
+        assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == want
+
+
+def test_windows_keep_the_budget_and_hot_ones_are_the_same(spark, chats, monkeypatch):
+    monkeypatch.setattr(chat_windows, "HEAVY", 1 << 40)
+    frame = chat_frame(spark, chats)
+    cold, hot = ({(r.conv_id, r.window): r.asDict(True) for r in chat_windows.format_conversations(frame, *TOKENIZER, budget=300, history=60, hot_turns=n).collect()} for n in (10_000, 1))
+    assert cold == hot and len(cold) > 150
+    for r in cold.values():
+        turns = list(chat_windows.turns_of(r["formatted"]))
+        led = turns[0][0] == "system" and len(turns) > 1
+        assert r["n_own"] >= 1 and r["over"] == (r["n_tokens"] > 300)
+        assert not r["over"] or r["n_own"] - (led and r["n_repeated"] == 0) <= 1 or led and len(turns[0][1]) > 300
+        own = turns[r["n_repeated"] :]
+        assert [chat_windows.unescaped(r["formatted"][m["start"] : m["end"]]) for m in r["loss"]] == [t for role, t in own if role == "assistant"]
+    long = [r for (c, _), r in sorted(cold.items(), key=lambda x: (x[0][0] is not None, x[0])) if c == 30]
+    assert all(r["formatted"].startswith("<s>[SYS]") for r in long) and all(r["n_repeated"] > 1 for r in long[1:]) and not any(r["over"] for r in long)
+
+
+def test_chats_of_nothing(spark):
+    assert chat_windows.chat_report(chat_frame(spark, []), *TOKENIZER).count() == 0
+
+
+def test_chat_query_against_plain_turns(spark):
+    from docweave.llm.queries import op13_chat_windows
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op13_chat_windows(spark, "/root/testdata/sf0.001").collect()}
+    assert got == told_turns(rows)
