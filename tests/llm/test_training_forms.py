@@ -226,7 +226,7 @@ def test_windows_keep_the_budget_and_hot_ones_are_the_same(spark, chats, monkeyp
         own = turns[r["n_repeated"] :]
         assert [chat_windows.unescaped(r["formatted"][m["start"] : m["end"]]) for m in r["loss"]] == [t for role, t in own if role == "assistant"]
     long = [r for (c, _), r in sorted(cold.items(), key=lambda x: (x[0][0] is not None, x[0])) if c == 30]
-    assert all(r["formatted"].startswith("<s>[SYS]") for r in long) and all(r["n_repeated"] > 1 for r in long[1:]) and not any(r["over"] for r in long)
+    assert all(r["formatted"].startswith("<s>[SYS]") for r in long) and all(r["n_repeated"] for r in long[1:]) and sum(r["n_repeated"] > 1 for r in long) > len(long) // 4 and not any(r["over"] for r in long)
 
 
 def test_chats_of_nothing(spark):
