@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from docweave.functions import bands
 from docweave.functions.keys import product_code
-from docweave.operators.keyed import first_per_key, mode_first_seen
 
 #: The category that comes first in a band, code cells that only name a place, the class of no code, a long text.
 SERIOUS = "重大な副作用"
@@ -50,19 +49,27 @@ def generic_groups(catalog: DataFrame, store: DataFrame, hits: DataFrame) -> Dat
     """
     opened = catalog.select("pos", "g", "n", F.posexplode("f").alias("nth", "u"))
     documents = opened.join(store, "u").join(hits.select("u").distinct(), "u", "left_semi")
-    documents = documents.withColumn("name", generic_name(F.col("g"), F.col("n"), F.col("u"))).withColumn("at", F.struct("pos", "nth"))
+    documents = documents.withColumn("name", generic_name(F.col("g"), F.col("n"), F.col("u"))).withColumn("at", F.struct("pos", "nth")).repartition("name")
     coded = F.substring(product_code(F.col("u")), 1, 4)
-    codes = documents.groupBy("name").agg(F.min(F.coalesce(F.nullif(coded, F.lit("")), F.lit(NO_CLASS))).alias("y"))
-    classes = mode_first_seen(documents.where("cls <> ''").withColumn("seen", F.col("pos") * 1000 + F.col("nth")), ["name"], "cls", "seen").drop("n")
-    classes = classes.withColumn("cls", F.regexp_replace(F.element_at(F.split("cls", r"\n| / "), 1), "^[ \\-－‐]+|[ \\-－‐]+$", ""))
-    brand = first_per_key(documents.select("name", F.coalesce("n", F.lit("")).alias("n"), "u", "at"), ["name", "n"], "at")
-    brands = brand.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "u"))).alias("brands"))
+    # one aggregate of a generic's documents: its class codes, and for each class and brand how often and where it is met first
+    one = documents.groupBy("name", F.coalesce("cls", F.lit("")).alias("cls"), F.coalesce("n", F.lit("")).alias("n")).agg(
+        F.min(F.coalesce(F.nullif(coded, F.lit("")), F.lit(NO_CLASS))).alias("y"), F.count("*").alias("times"), F.min(F.struct("at", "u")).alias("first")
+    )
+    item = F.struct("cls", "n", "times", "first")
+    of = one.groupBy("name").agg(F.min("y").alias("y"), F.collect_list(item).alias("items"))
+    classes = F.array_distinct(F.transform(F.filter("items", lambda i: i.getField("cls") != ""), lambda i: i.getField("cls")))
+    same = lambda c: F.filter("items", lambda i: i.getField("cls") == c)
+    counted = F.transform(classes, lambda c: F.struct((-F.aggregate(same(c), F.lit(0).cast("long"), lambda s, i: s + i.getField("times"))).alias("n"), F.array_min(F.transform(same(c), lambda i: i.getField("first").getField("at"))).alias("at"), c.alias("cls")))
+    cls = F.regexp_replace(F.element_at(F.split(F.array_min(counted).getField("cls"), r"\n| / "), 1), "^[ \\-－‐]+|[ \\-－‐]+$", "")
+    brand = F.array_sort(F.transform("items", lambda i: F.struct(i.getField("n").alias("n"), i.getField("first").alias("first"))))
+    firsts = F.filter(brand, lambda b, k: (k == 0) | (F.get(brand, k - 1).getField("n") != b.getField("n")))
+    brands = F.transform(firsts, lambda b: F.struct(b.getField("n").alias("n"), b.getField("first").getField("u").alias("u")))
+    heads = of.select("name", F.coalesce(cls, F.lit("")).alias("cls"), "y", brands.alias("brands"))
     met = documents.select("name", "u", "at", "n").join(hits, "u")
     entry = F.struct("k", "ch", "at", "hit", "u", "n", "t")
     listed = met.groupBy("name").agg(F.min("k").alias("k"), F.array_sort(F.collect_list(entry)).alias("hits"), F.count("*").alias("n_hits"))
     shown = F.transform("hits", lambda h: F.struct(*[h.getField(c).alias(c) for c in ("k", "ch", "u", "n", "t")]))
-    out = listed.join(codes, "name").join(brands, "name").join(classes, "name", "left")
-    return out.select("name", F.coalesce("cls", F.lit("")).alias("cls"), "y", "k", "brands", shown.alias("hits"), "n_hits")
+    return listed.join(heads, "name").select("name", "cls", "y", "k", "brands", shown.alias("hits"), "n_hits")
 
 
 def first_of_pattern(left: DataFrame, left_key: str, right: DataFrame, right_key: str, pattern: str, order: str, value: str, into: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -67,20 +68,53 @@ STALE_LOCK = 6 * 3600
 
 @contextmanager
 def locked(spark: SparkSession, path: str, stale: float = STALE_LOCK) -> Iterator[bool]:
-    """Whether this run has the lock, a file that only one can create; one that is too old is taken over."""
+    """Whether this run has the lock, a file that only one can create and that holds its owner's token.
+
+    A lock that is too old is taken over by renaming it, of which only one of several runs can rename the lock that it has
+    seen, as the new name is made of the old token. At the end a run takes away a lock of its own token only.
+    """
     jvm = spark._jvm
     lock = jvm.org.apache.hadoop.fs.Path(path)
     fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
-        fs.delete(lock, False)
+    token = uuid.uuid4().hex
+
+    def owner() -> str | None:
+        if not fs.exists(lock):
+            return None
+        stream = fs.open(lock)
+        try:
+            return bytes(stream.readAllBytes()).decode("ascii", "replace")
+        finally:
+            stream.close()
+
+    def renamed_away(seen: str) -> bool:
+        """Whether the lock of that token is out of the way; a lock that another run has put there meanwhile goes back."""
+        aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{seen}.{token}")
+        if not fs.rename(lock, aside):
+            return False
+        stream = fs.open(aside)
+        got = bytes(stream.readAllBytes()).decode("ascii", "replace")
+        stream.close()
+        if got != seen:
+            fs.rename(aside, lock)
+            return False
+        fs.delete(aside, False)
+        return True
+
+    seen = owner()
+    if seen is not None and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
+        renamed_away(seen)
     try:
-        fs.create(lock, False).close()
+        out = fs.create(lock, False)
     except Exception as e:  # the JVM's error of a file that is there
         if not fs.exists(lock) or isinstance(e, PySparkException):
             raise
         yield False
         return
+    out.write(bytearray(token.encode()))
+    out.close()
     try:
         yield True
     finally:
-        fs.delete(lock, False)
+        if owner() == token:
+            renamed_away(token)

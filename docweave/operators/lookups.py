@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def first_match(items: DataFrame, nested: str, key: str, store: DataFrame, store_key: str, item_id: str) -> DataFrame:
-    """Each item with the first element of its array whose key is in the store; items without one go."""
-    opened = items.select(item_id, F.posexplode(nested).alias("pos", "__e")).select(item_id, "pos", F.col(f"__e.{key}").alias(store_key))
+    """Each item with the first element of its array whose key is in the store: its place, fields and the store's; items without one go."""
+    fields = [f for f in items.schema[nested].dataType.elementType.names if f != key]
+    opened = items.select(item_id, F.posexplode(nested).alias("pos", "__e")).select(item_id, "pos", F.col(f"__e.{key}").alias(store_key), *[F.col(f"__e.{f}").alias(f) for f in fields])
     hits = opened.join(store, store_key)
     rest = [c for c in hits.columns if c != item_id]
     best = hits.groupBy(item_id).agg(F.min_by(F.struct(*rest), F.struct("pos")).alias("__r"))
@@ -58,10 +59,11 @@ def stale(targets: DataFrame, state: DataFrame, key: str, date: str, version: st
 
 
 def referenced(store: DataFrame, targets: DataFrame, key: str, guard: int = 3000) -> DataFrame:
-    """The stored rows that targets still name; all of them if targets are suspiciously few."""
-    if targets.count() <= guard:
+    """The stored rows that targets still name; all of them if targets name suspiciously few different keys."""
+    keys = targets.select(key).where(F.col(key).isNotNull()).distinct()
+    if keys.limit(guard + 1).count() <= guard:
         return store
-    return store.join(targets.select(key).distinct(), key, "left_semi")
+    return store.join(keys, key, "left_semi")
 
 
 def attach_rows(items: DataFrame, item_id: str, rows: DataFrame, pos: str, columns: list[str], into: str) -> DataFrame:

@@ -55,8 +55,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_part
 def first_match_join(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("p_partkey")))).alias("f"))
     store = table(spark, sf_dir, "part").where("p_size <= 10").select("p_partkey", "p_name")
-    hits = lookups.first_match(lines, "f", "p_partkey", store, "p_partkey", "l_orderkey").join(lines, "l_orderkey")
-    return hits.select("l_orderkey", F.element_at("f", F.col("pos") + 1).getField("l_linenumber").alias("l_linenumber"), "p_partkey", "p_name")
+    return lookups.first_match(lines, "f", "p_partkey", store, "p_partkey", "l_orderkey").select("l_orderkey", "l_linenumber", "p_partkey", "p_name")
 
 
 @query("doc_body_outer", """

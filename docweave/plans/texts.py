@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import bands, keys, text
-from docweave.operators import classify, diffs
+from docweave.operators import classify, clusters, diffs
 from docweave.registry import query, table
 
 
@@ -136,11 +136,37 @@ def document_keys(spark, sf_dir):
     return l.select("l_orderkey", "l_linenumber", "l_partkey", keys.document_key(full).alias("key"), keys.product_code(F.concat(F.lit("000001_"), "l_partkey", F.lit("_1"))).alias("code"))
 
 
-@query("fuzzy_cluster")
+#: Runs of sixteen characters, the n-th of equal ones told apart, as the cluster measure counts them; keys in the order seen.
+_RUNS = """
+k AS (SELECT source, lang, key, min(doc_id) AS first, count(*) AS times FROM d GROUP BY ALL),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY first) AS i FROM k),
+z AS (SELECT source, lang, i, length(key) AS size, unnest(string_split(key, '')) AS c, unnest(range(1, length(key) + 1)) AS p FROM n WHERE key <> ''),
+y AS (SELECT source, lang, i, p, size, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w, lead(c, 6) OVER w, lead(c, 7) OVER w, lead(c, 8) OVER w, lead(c, 9) OVER w, lead(c, 10) OVER w, lead(c, 11) OVER w, lead(c, 12) OVER w, lead(c, 13) OVER w, lead(c, 14) OVER w, lead(c, 15) OVER w) AS gram FROM z WINDOW w AS (PARTITION BY source, lang, i ORDER BY p)),
+x AS (SELECT source, lang, i, gram FROM y WHERE p <= greatest(size - 15, 1)),
+g AS (SELECT *, row_number() OVER (PARTITION BY source, lang, i, gram) AS nth FROM x),
+s AS MATERIALIZED (SELECT source, lang, i, list(nth || ':' || gram) AS l FROM g GROUP BY ALL),
+e AS MATERIALIZED (SELECT a.source, a.lang, a.i AS late, list(b.i) AS near FROM s a JOIN s b ON a.source = b.source AND a.lang = b.lang AND b.i < a.i AND 2 * least(len(a.l), len(b.l)) >= 0.8 * (len(a.l) + len(b.l)) - 1e-9
+  WHERE 2 * len(list_intersect(a.l, b.l)) >= 0.8 * (len(a.l) + len(b.l)) - 1e-9 GROUP BY ALL),
+m AS MATERIALIZED (SELECT n.source, n.lang, n.i, coalesce(near, []) AS near FROM n LEFT JOIN e ON e.source = n.source AND e.lang = n.lang AND e.late = n.i)"""
+
+
+@query("fuzzy_cluster", f"""
+WITH RECURSIVE d AS (SELECT source, lang, doc_id, coalesce(text, '') AS key FROM documents),{_RUNS},
+r(source, lang, i, opened) AS (
+  SELECT DISTINCT source, lang, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM n
+  UNION ALL
+  SELECT r.source, r.lang, m.i, CASE WHEN list_has_any(r.opened, m.near) THEN r.opened ELSE list_append(r.opened, m.i) END
+  FROM r JOIN m ON m.source = r.source AND m.lang = r.lang AND m.i = r.i + 1),
+o AS (SELECT source, lang, arg_max(opened, i) AS opened FROM r GROUP BY ALL),
+c AS (SELECT n.source, n.lang, n.key, n.first, n.times, CASE WHEN list_contains(opened, n.i) THEN n.i ELSE list_min(list_intersect(opened, m.near)) END AS top
+  FROM n JOIN o ON o.source = n.source AND o.lang = n.lang JOIN m ON m.source = n.source AND m.lang = n.lang AND m.i = n.i),
+b AS (SELECT source, lang, top, min(first) AS cluster, min(struct_pack(t := -times, f := first)).f AS lead, sum(times) AS size FROM c GROUP BY ALL)
+SELECT d.source, doc_id, cluster, doc_id = lead AS representative, CAST(size AS BIGINT) AS size
+FROM d JOIN c ON c.source = d.source AND c.lang = d.lang AND c.key = d.key JOIN b ON b.source = c.source AND b.lang = c.lang AND b.top = c.top""")
 def fuzzy_cluster(spark, sf_dir):
-    """Near copies within a source by their whole texts."""
+    """Near copies within a source and language by their whole texts; a cluster is named by the document that opened it."""
     d = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.coalesce("text", F.lit("")).alias("key"))
-    return diffs.clustered(d, ["source"], ["lang"], "key", ["doc_id"]).select("source", "doc_id", "cluster", "representative", "size")
+    return clusters.clustered(d, ["source"], ["lang"], "key", ["doc_id"], clusters.Grams()).select("source", "doc_id", "cluster", "representative", "size")
 
 
 @query("seq_diff")
@@ -154,11 +180,9 @@ def seq_diff(spark, sf_dir):
 
 @query("char_diff")
 def char_diff(spark, sf_dir):
-    """Marked differences of near copies: each different text of a cluster against the one with the smallest id."""
-    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("source", "lang", "doc_id", F.coalesce("text", F.lit("")).alias("key"))
-    members = diffs.clustered(d, ["source"], ["lang"], "key", ["doc_id"])
-    texts = members.groupBy("source", "cluster", F.col("key").alias("b")).agg(F.min("doc_id").alias("last"))
-    # clusters of one source have as many rows as the source has near copies, so the leading text is found by combinable aggregates
-    leads = texts.groupBy("source", "cluster").agg(F.min("last").alias("first"), F.min_by("b", "last").alias("a"))
-    pairs = texts.join(leads, ["source", "cluster"]).where("first <> last")
-    return pairs.select("first", "last", diffs.mark_changes("a", "b").alias("m")).select("first", "last", "m.*")
+    """Marked differences of near copies: each different text of a cluster, over all sources, against the text that opened it."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("key"))
+    members = clusters.clustered(d, [], [], "key", ["doc_id"], clusters.Grams())
+    texts = members.groupBy("cluster", F.sha2("key", 256).alias("h")).agg(F.min("doc_id").alias("last"), F.any_value("key").alias("b"))
+    pairs = texts.where("last <> cluster").join(d.select(F.col("doc_id").alias("cluster"), F.col("key").alias("a")), "cluster")
+    return pairs.select(F.col("cluster").alias("first"), "last", diffs.mark_changes("a", "b").alias("m")).select("first", "last", "m.*")

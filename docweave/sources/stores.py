@@ -51,10 +51,18 @@ def renamed(spark: SparkSession, source: str, target: str) -> str:
 
 
 def newest_first(spark: SparkSession, pattern: str, schema: StructType | str, most: int | None = None) -> DataFrame:
-    """The JSON files of a folder as rows with their file's name, the greatest names first."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    ordered = rows.orderBy(F.desc("file"))
-    return ordered.limit(most) if most is not None else ordered
+    """The rows of the JSON files that a pattern names, with their file's name, the greatest names first; with most, of so many files.
+
+    The folder is listed and only the files that are wanted are read.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    files = sorted(((s.getPath().getName(), s.getPath().toString()) for s in found if s.isFile()), reverse=True)[:most]
+    if not files:
+        own = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        return spark.createDataFrame([], StructType([*own.fields, StructField("file", StringType())]))
+    rows = spark.read.schema(schema).option("multiLine", True).json([f for _, f in files])
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).orderBy(F.desc("file"))
 
 
 def split_corrupt(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -131,9 +139,9 @@ def write_index(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
-def read_bucket(spark: SparkSession, path: str, hash_: str) -> DataFrame:
-    """Reads the one partition that may hold a hash."""
-    return spark.read.parquet(path).where(F.col("bucket") == hash_bucket(F.lit(hash_))).where(F.col("h") == hash_)
+def read_bucket(spark: SparkSession, path: str, hash_: str, column: str = "h", buckets: int = BUCKETS) -> DataFrame:
+    """Reads the one partition that may hold a hash, of a store that was written by that column into so many buckets."""
+    return spark.read.parquet(path).where(F.col("bucket") == hash_bucket(F.lit(hash_), buckets)).where(F.col(column) == hash_)
 
 
 def slim_files(files: Column) -> Column:

@@ -32,18 +32,6 @@ def test_marked_changes():
     assert "<del>" not in diffs.marked_changes("x" * 4000, "y" * 4000)[0]
 
 
-def test_greedy_clusters_compare_with_first_key():
-    rows = [((1,), "abcdefghij"), ((1,), "abcdefghiX"), ((2,), "abcdefghij"), ((1,), "abcdefgXYX"), ((1,), "abcdefghiX")]
-    assert diffs.greedy_clusters(rows) == [0, 0, 1, 2, 0]
-    assert diffs.ratio("tide", "diet") == difflib.SequenceMatcher(None, "tide", "diet").ratio()
-
-
-def test_clustered(spark):
-    df = spark.createDataFrame([("g", 1, i, k) for i, k in enumerate(["abcdefghij", "abcdefghiX", "abcdefghiX", "zzz"])], "g string, k int, i int, key string")
-    got = {r.i: (r.cluster, r.representative, r.size) for r in diffs.clustered(df, ["g"], ["k"], "key", ["i"]).collect()}
-    assert got == {0: (0, False, 3), 1: (0, True, 3), 2: (0, False, 3), 3: (1, True, 1)}
-
-
 def test_first_and_last_rows(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "z")], "k string, i int, v string")
     assert {(r.k, r.v) for r in keyed.first_per_key(df, ["k"], "i").collect()} == {("a", "x"), (None, "z")}
@@ -75,109 +63,6 @@ def test_first_match_and_attach(spark):
     assert {r.id: r.p and [x.v for x in r.p] for r in lookups.attach_rows(items.select("id"), "id", rows, "pos", ["v"], "p").collect()} == {1: ["x", "y"], 2: None}
 
 
-def test_fuzzy_cluster_compares_whole_texts(spark, tmp_path):
-    """The registered query against the plain greedy pass."""
-    import difflib
-    import random
-
-    from docweave.plans.texts import fuzzy_cluster
-
-    rng = random.Random(1)
-    words = [a + b + c for a in "kmst" for b in "aeio" for c in "nrlx"]
-    head = " ".join(rng.choices(words, k=60))
-    rows = []
-    for _ in range(90):
-        if rows and rng.random() < 0.6:
-            text = list(rng.choice(rows)[3])
-            for _ in range(rng.randint(0, len(text) // 4)):
-                text[rng.randrange(len(text))] = rng.choice("abxyzé\n")
-            text = "".join(text)
-        else:
-            text = rng.choice(["", head + "\n", "a\n"]) + " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 40, 80])))
-        rows.append((len(rows), rng.choice(["s", "t"]), rng.choice(["en", "de"]), text))
-    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    want = {}
-    for source in ("s", "t"):
-        clusters = []  # (lang, first key, rows)
-        for i, _, lang, t in (r for r in rows if r[1] == source):
-            for c in clusters:
-                if c[0] == lang and (t in [k for _, k in c[2]] or difflib.SequenceMatcher(None, t, c[1]).ratio() >= 0.8):
-                    c[2].append((i, t))
-                    break
-            else:
-                clusters.append((lang, t, [(i, t)]))
-        for n, (_, _, own) in enumerate(clusters):
-            keys = [k for _, k in own]
-            top = max(dict.fromkeys(keys), key=keys.count)
-            lead = next(i for i, k in own if k == top)
-            want |= {i: (source, n, i == lead, len(own)) for i, _ in own}
-    assert {r.doc_id: (r.source, r.cluster, r.representative, r["size"]) for r in fuzzy_cluster(spark, str(tmp_path)).collect()} == want
-
-
-def test_first_keys_that_cant_match_are_passed_over():
-    """The bound on shared runs against the plain pass, on long keys around the threshold."""
-    import random
-
-    rng = random.Random(12)
-    words = [a + b + c for a in "kmstbdfg" for b in "aeiou" for c in "nrlxpz"]
-    bases = [" ".join(rng.choices(words, k=rng.randint(45, 220))) for _ in range(6)]
-    keys = []
-    for _ in range(140):
-        text = list(rng.choice(bases))
-        for _ in range(rng.randint(0, len(text) // 18)):
-            at = rng.randrange(len(text))
-            text[at : at + rng.choice([0, 1, 6])] = rng.choice(["", "q", "Z9", " new"])
-        keys.append("".join(text))
-    clusters = []
-    for k in keys:
-        for c in clusters:
-            if k in c or difflib.SequenceMatcher(None, k, c[0]).ratio() >= 0.8:
-                c.append(k)
-                break
-        else:
-            clusters.append([k])
-    want = [next(i for i, c in enumerate(clusters) if k in c) for k in keys]
-    assert diffs.greedy_clusters([((), k) for k in keys]) == want and 6 < len(clusters) < 140
-
-
-def test_char_diff_meets_all_texts(spark, tmp_path):
-    """The registered query against the plain greedy pass: every different text of a cluster meets its first one."""
-    import random
-
-    from docweave.plans.texts import char_diff
-
-    rng = random.Random(6)
-    words = [a + b + c for a in "kmst" for b in "aeio" for c in "nrlx"]
-    texts = [None, "", "short", "short"]
-    for k in range(6):
-        base = rng.choices(words, k=120)
-        texts += [" ".join(base)] * 2
-        for at in ((0, 1), (100,), (60, 110), (3,)):
-            copy = list(base)
-            for i in at:
-                copy[i] = f"x{k}{i}"
-            texts.append(" ".join(copy))
-        texts.append(" ".join(base[:20] + rng.choices(words, k=100)))
-    rows = [(i, rng.choice("st"), "en", t) for i, t in enumerate(texts, 1)]
-    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    want = {}
-    for source in "st":
-        clusters = []
-        for i, _, _, t in (r for r in rows if r[1] == source):
-            t = t or ""
-            for c in clusters:
-                if t in [k for _, k in c] or difflib.SequenceMatcher(None, t, c[0][1]).ratio() >= 0.8:
-                    c.append((i, t))
-                    break
-            else:
-                clusters.append([(i, t)])
-        for c in clusters:
-            for t in {k for _, k in c} - {c[0][1]}:
-                want[c[0][0], min(i for i, k in c if k == t)] = diffs.marked_changes(c[0][1], t)
-    got = {(r["first"], r["last"]): (r.before, r.after) for r in char_diff(spark, str(tmp_path)).collect()}
-    assert len(want) > 12 and got == want
-
-
 def test_seq_diff_against_a_plain_pass(spark, tmp_path):
     """The registered query on odd and even conversations, against blocks found by difflib and lines paired one by one."""
     import random

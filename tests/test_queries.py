@@ -1,6 +1,10 @@
 """Every registered query of the core against its SQL, on the smallest driver tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -49,6 +53,16 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_entry_without_training_data_parts(tmp_path):
+    """The driver takes those folders and the pipeline away, or the folders alone; the rest must still import."""
+    top = Path(__file__).resolve().parent.parent
+    for gone in (("llm", "corpus_pipeline.py"), ("llm",)):
+        copy = tmp_path / "-".join(gone)
+        shutil.copytree(top, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+        code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'weekly_feed' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op1_')]"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, check=True, timeout=120)
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

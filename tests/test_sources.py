@@ -93,6 +93,8 @@ def test_stores(spark, tmp_path):
     stores.write_buckets(hashed, f"{tmp_path}/b", "h")
     assert len(list((tmp_path / "b").glob("bucket=*"))) == 64 and spark.read.parquet(f"{tmp_path}/b").count() == 2
     assert stores.read_bucket(spark, f"{tmp_path}/b", "a9f").first().v == 1
+    stores.write_buckets(spark.createDataFrame([("a9f", 1)], "sha string, v int"), f"{tmp_path}/named", "sha")
+    assert stores.read_bucket(spark, f"{tmp_path}/named", "a9f", "sha").first().v == 1
     docs = spark.createDataFrame([("123456_1110000A1011_1_02", "<a/>"), ("../evil", "x")], "u string, xml string")
     stores.put_cache(docs, f"{tmp_path}/c")
     cache = spark.read.parquet(f"{tmp_path}/c")
@@ -144,6 +146,8 @@ def test_broken_and_newest_files(spark, tmp_path):
     for day, a in (("2026-01-01", 1), ("2026-01-03", 3), ("2026-01-02", 2)):
         (tmp_path / f"{day}.json").write_text(json.dumps({"a": a}))
     assert [(r.a, r.file) for r in stores.newest_first(spark, f"{tmp_path}/2026*.json", schema, 2).collect()] == [(3, "2026-01-03.json"), (2, "2026-01-02.json")]
+    assert {f.rsplit("/", 1)[1] for f in stores.newest_first(spark, f"{tmp_path}/2026*.json", schema, 2).inputFiles()} == {"2026-01-03.json", "2026-01-02.json"}
+    assert stores.newest_first(spark, f"{tmp_path}/none*.json", schema, 2).count() == 0
     stores.write_index(spark.createDataFrame([(2,), (1,)], "a int"), f"{tmp_path}/index", "a")
     assert "".join(p.read_text() for p in (tmp_path / "index").glob("part-*")) == '{"a":1}\n{"a":2}\n'
 
@@ -155,6 +159,7 @@ def test_labels_part_by_part(spark):
         "｢甲｣乙［外］［注］": "「甲」乙 ［外］ ［注］",
         "甲[長い長い長い長い長い注]": "甲[長い長い長い長い長い注]",
         "甲、 乙?": "甲、乙",
+        "[◎内]甲[内 ･ 外] [ 注　意 ]": "［内］甲 ［内・外］ ［注 意］",
         "": "",
     }
     df = spark.createDataFrame([(x,) for x in labels], "x string")
