@@ -14,7 +14,8 @@ CHUNKS rows of about CHUNK bytes. They are read back by the declared lengths.
 
 Defined results: null html is an empty payload; a null url is an empty target; a page without id
 is always a response; rows that repeat an id and a payload all are what the first is; payloads
-are equal when their SHA-256 and lengths are; pages have no time, so all get the given date; an
+are equal when their SHA-256 and lengths are; a revisit names its original's record, address and date; rows that are equal in
+all fields are one record, written for each; pages have no time, so all get the given date; an
 empty table gives an empty archive; other columns, whatever their names, are not looked at. Lines
 that aren't record lines are passed over; a record that the file ends in is kept and marked
 as truncated.
@@ -27,6 +28,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.exact_dedup import tree_merge
-from docweave.llm.storage import fresh_path, materialise_counted, skew_join
+from docweave.llm.storage import fresh_path, materialise, materialise_counted, skew_join
 
 #: Fixed field names of the two versions' record lines, as files declare them.
 ARC_FIELDS = {
@@ -52,6 +54,8 @@ EOL = "\r\n"
 END = EOL * 2
 #: Compressed bytes of a row, and rows of a file: files are read in one piece, so their size is bounded.
 CHUNK, CHUNKS = 16 << 20, 8
+#: Bytes and records after which an ARC file is converted and the next one begins.
+ARC_BYTES, ARC_RECORDS = 4 << 20, 256
 _EMPTY = gzip.compress(b"", mtime=0)
 _KEPT = "".join(map(chr, range(33, 127)))
 
@@ -150,8 +154,8 @@ def iso_date(digits: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(record: ArcRecord, original: str | None = None) -> WarcRecord:
-    """The equivalent WARC record; with original, the page whose payload it repeats, a revisit."""
+def to_warc(record: ArcRecord, original: tuple[str, str, bytes] | None = None) -> WarcRecord:
+    """The equivalent WARC record; with original, the id, address and block of the page whose payload it repeats, a revisit of that page's record."""
     url, date = record.fields["URL"], iso_date(record.fields["Archive-date"])
     headers = {"WARC-Type": "", "WARC-Record-ID": "", "WARC-Date": date}
     if record.cut:
@@ -169,15 +173,25 @@ def to_warc(record: ArcRecord, original: str | None = None) -> WarcRecord:
     headers["Content-Type"] = "application/http; msgtype=response"
     block = record.block
     if original is not None:
-        headers |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, REFERS: original}
+        page, address, first = original
+        headers |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(address, date, sha1_base32(first)), "WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": date, REFERS: page}
         block = block[: len(block) - len(payload)]
     else:
         headers["WARC-Type"] = "response"
     return WarcRecord(headers | {"WARC-Block-Digest": f"sha1:{sha1_base32(block)}"}, block, http[0], payload)
 
 
-def parse_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
-    """The records of a WARC file, taken by their declared lengths."""
+def parse_warc(stream: BinaryIO, mark_damage: bool = False) -> Iterator[WarcRecord]:
+    """The records of a WARC file, taken by their declared lengths. Where it is damaged, an error or, if asked for, a last record of type damaged."""
+    try:
+        yield from _records(stream)
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        if not mark_damage:
+            raise
+        yield WarcRecord({"WARC-Type": "damaged", "X-Error": str(e)})
+
+
+def _records(stream: BinaryIO) -> Iterator[WarcRecord]:
     while line := stream.readline():
         if not line.strip():
             continue
@@ -197,8 +211,7 @@ def parse_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
         yield WarcRecord(headers, block, http, payload)
 
 
-def http_block(page: str, html: str) -> bytes:
-    body = html.encode()
+def http_block(page: str, body: bytes) -> bytes:
     return f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: {len(body)}{EOL}{PAGE}: {page}{END}".encode() + body
 
 
@@ -221,39 +234,64 @@ def save(rows: DataFrame, path: str) -> None:
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", CHUNKS).text(path)
 
 
-def pages_as_warc(batches: Iterator[pa.RecordBatch], date: str, chunk: int = 256) -> Iterator[bytes]:
-    """(id, url, html, original) to WARC records, through ARC files of both versions in turn."""
+def address_of(url: str | None) -> str:
+    """A page's address as it comes out of an ARC record line."""
+    return record_line(arc_record(1, url or "", "0", b""), 1)[0]["URL"]
+
+
+def pages_as_warc(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[bytes]:
+    """(id, url, html, original, original_url) to WARC records, through ARC files of both versions in turn.
+
+    At most one ARC file, of ARC_BYTES and a page, and one page's records are held.
+    """
     files = 0
+    arc, name, waiting = io.BytesIO(), "", []
+
+    def converted() -> Iterator[bytes]:
+        arc.seek(0)
+        records = parse_arc(arc)
+        opening = next(records)
+        if not files:
+            yield to_warc(opening).raw()
+        for record, (original, address) in zip(records, waiting, strict=True):
+            if original is None:
+                yield to_warc(record).raw()
+            else:
+                payload = (split_http(record.block) or ({}, b""))[1]
+                yield to_warc(record, (str(original), address_of(address), http_block(str(original), payload))).raw()
+
     for batch in batches:
-        for at in range(0, batch.num_rows, chunk):
-            rows = batch.slice(at, chunk).to_pylist()
-            version, name = 1 + files % 2, f"pages-{files}.arc"
-            arc = io.BytesIO(arc_header(version, name, date))
-            arc.seek(0, io.SEEK_END)
-            for r in rows:
-                arc.write(arc_record(version, r["url"] or "", date, http_block("" if r["id"] is None else str(r["id"]), r["html"] or ""), arc.tell(), name))
-            arc.seek(0)
-            records = parse_arc(arc)
-            opening = next(records)
-            if not files:
-                yield to_warc(opening).raw()
-            for record, r in zip(records, rows, strict=True):
-                yield to_warc(record, None if r["original"] is None else str(r["original"])).raw()
-            files += 1
+        for i in range(batch.num_rows):
+            page, url, html, original, address = (batch.column(c)[i].as_py() for c in ("id", "url", "html", "original", "original_url"))
+            version = 1 + files % 2
+            if not waiting:
+                name = f"pages-{files}.arc"
+                arc = io.BytesIO(arc_header(version, name, date))
+                arc.seek(0, io.SEEK_END)
+            arc.write(arc_record(version, url or "", date, http_block("" if page is None else str(page), (html or "").encode()), arc.tell(), name))
+            waiting.append((original, address))
+            if arc.tell() >= ARC_BYTES or len(waiting) == ARC_RECORDS:
+                yield from converted()
+                files, waiting = files + 1, []
+    if waiting:
+        yield from converted()
 
 
 def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """(id, key, original) of pages whose payload, of at_least bytes, a smaller id has too."""
-    keyed, seen = materialise_counted(pages.where(F.octet_length("html") >= at_least).where("id IS NOT NULL").select("id", "key"), "payloads")
-    groups = tree_merge(keyed, "min", name="payload-runs").where("group_size > n_keep").select("key", "keep_id", "group_size")
-    return skew_join(keyed, groups, "key", F.col("group_size"), max(seen.n, 1)).where("id > keep_id").select("id", "key", F.col("keep_id").alias("original")).distinct()
+    """(id, key, original, original_url) of pages whose payload, of at_least bytes, a smaller id has too; of the original's rows the least url counts."""
+    keyed, seen = materialise_counted(pages.where(F.octet_length("html") >= at_least).where("id IS NOT NULL").select("id", "key", "url"), "payloads")
+    groups = materialise(tree_merge(keyed.select("id", "key"), "min", name="payload-runs").where("group_size > n_keep").select("key", "keep_id", "group_size"), "payload-groups")
+    urls = keyed.join(groups.select("key", F.col("keep_id").alias("id")), ["key", "id"]).groupBy("key").agg(F.min(F.coalesce("url", F.lit(""))).alias("original_url"))
+    named = materialise(groups.join(urls, "key"), "payload-originals")
+    found = skew_join(keyed.select("id", "key"), named, "key", F.col("group_size"), max(seen.n, 1)).where("id > keep_id")
+    return found.select("id", "key", F.col("keep_id").alias("original"), "original_url").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = 0, date: str = "20240101000000") -> str:
     """Write gzip WARC files under path, a response or revisit for each page."""
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("key", F.concat(F.unhex(F.sha2("html", 256)), F.unhex(F.lpad(F.hex(F.octet_length("html").cast("long")), 16, "0"))))
-    rows = own.join(revisits(own, at_least), ["id", "key"], "left").select("id", "url", "html", "original")
+    rows = own.join(revisits(own, at_least), ["id", "key"], "left").select("id", "url", "html", "original", "original_url")
     save(rows.mapInArrow(lambda batches: chunked(pages_as_warc(batches, date)), "value binary"), path)
     return path
 
@@ -278,14 +316,17 @@ def convert_arc(spark: SparkSession, source: str, path: str) -> str:
 READ = "type string, record_id string, date string, target string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record, with its payload's bytes where asked for. A response's digest is computed from its payload and must be the declared one."""
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False, mark_damage: bool = False) -> DataFrame:
+    """A row for each record, with its payload's bytes where asked for. A response's digest is computed from its payload and must be the declared one.
+
+    A damaged file ends the job or, with mark_damage, gives the records before the damage and one of type damaged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for r in parse_warc(opened(raw.as_py())):
+                for r in parse_warc(opened(raw.as_py()), mark_damage):
                     kind = (r.header("WARC-Type") or "").lower()
                     declared = (r.header("WARC-Payload-Digest") or "").removeprefix("sha1:")
                     if kind in ("response", "resource") and declared and declared != sha1_base32(r.payload):

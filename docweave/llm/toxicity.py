@@ -125,10 +125,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for a, b, data, offsets in blocks(batch.column(1)):
                 text, slot = distinct(*features(data, offsets))
                 slots = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(b - a + 1)), pa.int32()), pa.array(slot, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), slots], names=["id", "label", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), slots], names=["id", "label", "digest", "slots"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "text", "label")
-    rows, n = materialise_counted(chosen.mapInArrow(run, "id long, label int, slots array<int>"), "labelled-slots")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "text", "label", F.xxhash64("text").alias("digest"))
+    # an id counts once, by its text of the least hash, so that what comes to the driver is bounded by ids, not by rows
+    mapped = chosen.mapInArrow(run, "id long, label int, digest long, slots array<int>")
+    one = mapped.groupBy("id", "label").agg(F.min_by("slots", F.struct("digest", F.size("slots"))).alias("slots"))
+    rows, n = materialise_counted(one, "labelled-slots")
     if not n.n:
         return None
     least = int(Ftrl.l1 / epochs) + 1
@@ -144,7 +147,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, slots)), pa.int64()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "label", "n", "slots"])
 
     lean = materialise(rows.mapInArrow(pruned, "id long, label int, n long, slots array<int>").withColumn("turn", F.xxhash64("id")), "lean-slots")
-    sizes = lean.select("turn", "n").toArrow().sort_by("turn")  # at most 2 * SAMPLE rows, unless ids repeat
+    sizes = lean.select("turn", "n").toArrow().sort_by("turn")  # at most 2 * SAMPLE rows
     turns, total = np.asarray(sizes.column("turn")), np.cumsum(np.asarray(sizes.column("n")))
     last = int(turns[max(int(np.searchsorted(total, SLOTS, "right")) - 1, 0)])
     table = lean.where(F.col("turn") <= last).select("id", "label", "slots").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])

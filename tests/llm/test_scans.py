@@ -353,7 +353,7 @@ def test_arc_versions():
     for version in (1, 2):
         out = io.BytesIO(archives.arc_header(version, "f.arc", "20240102030405"))
         out.seek(0, 2)
-        out.write(archives.arc_record(version, "http://a b/é", "2024", archives.http_block("7", html)))
+        out.write(archives.arc_record(version, "http://a b/é", "2024", archives.http_block("7", html.encode())))
         out.write(archives.arc_record(version, "dns:x", "20240102030405", b"plain", kind="text/dns"))
         out.seek(0)
         info, page, plain = map(archives.to_warc, archives.parse_arc(out))
@@ -400,6 +400,51 @@ def test_archives(spark, tmp_path):
     assert archives.archive_round_trip(pages.where("false")).count() == 0
     path = archives.write_warc(pages, str(tmp_path / "w"), at_least=1)
     assert {r.type for r in archives.read_warc(spark, path).where("payload_bytes = 0 AND page_id IS NOT NULL").collect()} == {"response"}
-    (tmp_path / "a.arc.gz").write_bytes(gzip.compress(archives.arc_header(1, "a", "2024") + archives.arc_record(1, "http://x/", "2024", archives.http_block("1", "hi"))))
+    (tmp_path / "a.arc.gz").write_bytes(gzip.compress(archives.arc_header(1, "a", "2024") + archives.arc_record(1, "http://x/", "2024", archives.http_block("1", b"hi"))))
     archives.convert_arc(spark, str(tmp_path / "a.arc.gz"), str(tmp_path / "c"))
     assert [r.payload for r in archives.read_warc(spark, str(tmp_path / "c"), True).where("type = 'response'").collect()] == [b"hi"]
+    broken = gzip.compress(archives.to_warc(next(archives.parse_arc(io.BytesIO(b"u 1 2024 t 3\nabc\n")))).raw()) + b"\x1f\x8b damaged"
+    (tmp_path / "broken.warc.gz").write_bytes(broken)
+    assert [r.type for r in archives.read_warc(spark, str(tmp_path / "broken.warc.gz"), mark_damage=True).collect()] == ["resource", "damaged"]
+
+
+def test_revisits_name_the_record_that_they_repeat(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i} \u00e9", "same" if i % 2 else f"own {i}") for i in range(20)], "page_id long, url string, html string").repartition(4)
+    path = archives.write_warc(pages, str(tmp_path / "w"))
+    raw = b"".join(archives.opened(p.read_bytes()).read() for p in sorted((tmp_path / "w").glob("part-*")))
+    records = [r for r in archives.parse_warc(io.BytesIO(raw)) if r.header("WARC-Type") != "warcinfo"]
+    by_id = {r.header("WARC-Record-ID"): r for r in records}
+    again = [r for r in records if r.header("WARC-Type") == "revisit"]
+    assert len(by_id) == 20 and len(again) == 9
+    for r in again:
+        first = by_id[r.header("WARC-Refers-To")]
+        assert first.header("WARC-Type") == "response" and first.http["x-page-id"] == "1"
+        assert (r.header("WARC-Refers-To-Target-URI"), r.header("WARC-Refers-To-Date")) == (first.header("WARC-Target-URI"), first.header("WARC-Date"))
+
+
+def test_large_pages_are_held_one_file_at_a_time():
+    import tracemalloc
+
+    page = "x" * (4 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(48)), pa.array(["u"] * 48), pa.array([page] * 48), pa.array([None] * 48, pa.int64()), pa.nulls(48, pa.string())], names=["id", "url", "html", "original", "original_url"])
+    tracemalloc.start()
+    n = sum(1 for _ in archives.pages_as_warc(iter([batch]), "2024"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 49 and most < 64 << 20
+
+
+def test_labelled_ids_that_repeat_come_to_the_driver_once(spark, monkeypatch):
+    """A million rows of one labelled id: models are learnt from one row an id."""
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.pmod("id", F.lit(90)).cast("string")) for k in range(78)])
+    many = spark.range(0, 1_000_000, numPartitions=8).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") < 999_000, "few words").otherwise(words).alias("text"))
+    others = spark.range(100, 160).select(F.col("id").alias("doc_id"), words.alias("text"))
+    docs = many.unionByName(others)
+    labels = spark.range(100, 160).union(spark.range(7, 8)).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    frames = []
+    plain = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: frames.append(plain(self)) or frames[-1])
+    assert quality.fit_forest(docs, labels) is not None and toxicity.learn_toxicity(docs, labels) is not None
+    assert frames and max(f.num_rows for f in frames if "slot" not in f.column_names) <= 61
