@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docweave.functions.keys import content_hash, hash_bucket
 from docweave.operators import keyed, lookups, ordering
-from docweave.operators.incremental import merge_feed
 from docweave.registry import query, table
+from docweave.sources.deltas import Store, Stores
+from docweave.sources.tables import fresh_path
 
 EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
 
@@ -145,17 +146,38 @@ def snapshot_except(spark, sf_dir):
     return keyed.multiset_changes(lines, F.col("doc_id") % 2 == 0, "line").select("kind", "line", "n")
 
 
-@query("feed_merge_idempotent", """
-SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error' OR value >= 5""")
+#: What three overlapping batches say of an event: which could not be fetched, which failed.
+_ATTEMPTS = """
+SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, 0 AS batch, CASE WHEN event_id % 7 = 0 THEN 'GET failed: 503' WHEN event_id % 5 = 0 THEN 'timeout' END AS error FROM events WHERE ts < TIMESTAMP '2024-01-20'
+UNION ALL SELECT event_id, user_id, event_type, CAST(ts AS DATE), 1, CASE WHEN event_id % 11 = 0 THEN 'parse' END FROM events WHERE ts >= TIMESTAMP '2024-01-13'
+UNION ALL SELECT event_id, user_id, event_type, CAST(ts AS DATE), 2, CASE WHEN event_id % 2 = 1 THEN 'late' END FROM events WHERE ts < TIMESTAMP '2024-01-20'"""
+
+
+@query("feed_merge_idempotent", f"""
+WITH a AS ({_ATTEMPTS}),
+u AS (SELECT * FROM a WHERE event_type <> 'error' AND (error IS NULL OR error NOT LIKE 'GET failed%')),
+b AS (SELECT *, min(batch) OVER (PARTITION BY event_id) AS first_batch FROM u
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY error IS NOT NULL, CASE WHEN error IS NULL THEN batch ELSE -batch END) = 1),
+d AS (SELECT user_id, CAST(day AS VARCHAR) AS day, min(batch) AS first_batch FROM a WHERE event_type = 'error' GROUP BY ALL)
+SELECT 'update' AS kind, CAST(day AS VARCHAR) AS day, CAST(event_id AS VARCHAR) AS key, error, CAST(first_batch AS BIGINT) AS first_batch, CAST(row_number() OVER (PARTITION BY day ORDER BY first_batch, event_id) AS BIGINT) AS place FROM b
+UNION ALL SELECT 'delete', day, CAST(user_id AS VARCHAR), NULL, CAST(first_batch AS BIGINT), CAST(row_number() OVER (PARTITION BY day ORDER BY first_batch, user_id) AS BIGINT) FROM d""")
 def feed_merge_idempotent(spark, sf_dir):
-    """Two overlapping batches, each merged twice: as if each row had come once."""
-    e = table(spark, sf_dir, "events").where("event_type <> 'error' OR value >= 5").select("event_id", "user_id", "event_type", F.lit(None).cast("string").alias("error"), F.to_date("ts").alias("day"))
-    first, second = e.where("day < DATE '2024-01-20'"), e.where("day >= DATE '2024-01-13'")
-    failed = first.withColumn("error", F.when(F.col("event_id") % 5 == 0, "timeout"))
-    state = merge_feed(None, failed, ["event_id"])
-    for batch in (failed, second, first, second):
-        state = merge_feed(state, batch, ["event_id"])
-    return state.where("error IS NULL").select("event_id", "user_id", "event_type")
+    """All events in three overlapping batches, each merged twice, into a store of updates and one of deletes.
+
+    A good row stays, a failed one is replaced in its place, what couldn't be fetched is left out; a user is deleted once a day.
+    """
+    attempts = spark.sql(_ATTEMPTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    stores = Stores(spark, fresh_path(spark, "feed"), [Store("updates", ("day", "event_id"), "day date, event_id long, error string"), Store("deletes", ("day", "user_id"), "day date, user_id long, error string")], fan=3)
+    for number in (0, 1, 2):
+        batch = attempts.where(F.col("batch") == number)
+        both = {"updates": (batch.where("event_type <> 'error'").select("day", "event_id", "error"), "event_id"), "deletes": (batch.where("event_type = 'error'").select("day", "user_id", F.lit(None).cast("string").alias("error")), "user_id")}
+        stores.merge(number, both)
+        stores.merge(number, both)
+    stores.compact()
+    place = F.row_number().over(Window.partitionBy("day").orderBy("first_batch", "first_pos")).cast("long").alias("place")  # one day's rows
+    updates, deletes = stores.read("updates").withColumn("key", F.col("event_id").cast("string")), stores.read("deletes").withColumn("key", F.col("user_id").cast("string"))
+    shown = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("day").cast("string").alias("day"), "key", "error", "first_batch", place)
+    return shown(updates, "update").unionByName(shown(deletes, "delete"))
 
 
 @query("dedupe_overlap_window", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")

@@ -1,5 +1,6 @@
 from docweave import streaming
 from docweave.operators.keyed import fingerprint
+from docweave.sources.deltas import Store, Stores, merge_sink
 
 
 def test_snapshots(spark, tmp_path):
@@ -20,13 +21,14 @@ def test_merge_sink_and_dedupe(spark, tmp_path):
     for part in ("error IS NOT NULL", "error IS NULL"):
         rows.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    sink = streaming.merge_sink(spark, f"{tmp_path}/out", ["k"], schema)
+    stores = Stores(spark, f"{tmp_path}/out", [Store("rows", ("k",), schema)])
+    sink = merge_sink(stores, rows=lambda batch: (batch, "k"))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/out/v1")
-    assert last.count() == 7 and last.where("error IS NOT NULL").count() == 0
+    last = stores.read("rows")
+    assert stores.manifest()["number"] == 2 and last.count() == 7 and last.where("error IS NOT NULL").count() == 0
     before = fingerprint(last)
     sink(rows.where("error IS NULL"), 1)  # the batch again
-    assert fingerprint(spark.read.parquet(f"{tmp_path}/out/v1")) == before
+    assert stores.manifest()["number"] == 2 and fingerprint(stores.read("rows")) == before
     q = streaming.deduplicated(stream.select("k", "ts"), ["k"], "ts").writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 7
