@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import keyed, lookups, runs, search
+from docweave.operators import history, keyed, lookups, runs, search
 from docweave.operators.partitions import capped_partitions
 from docweave.registry import query, table
 
@@ -84,6 +84,38 @@ def snapshot_previous(spark, sf_dir):
     return runs.previous(e, ["user_id"], ["ts", "event_id"], "after", "before").select("event_id", "user_id", "before", "after")
 
 
+@query("state_as_of", """
+WITH v AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2)
+SELECT e.event_id, coalesce(a.event_id, -1) AS version, coalesce(b.value, -1) AS value_before FROM events e
+ASOF LEFT JOIN v a ON a.user_id = e.user_id AND a.ts <= e.ts ASOF LEFT JOIN v b ON b.user_id = e.user_id AND b.ts < e.ts""")
+def state_as_of(spark, sf_dir):
+    """What a user's last version was when, and right before, each event came."""
+    e = table(spark, sf_dir, "events")
+    versions = e.where("event_type IN ('signup', 'purchase')").select("user_id", "ts", "event_id", "value")
+    at = history.as_of(e.select("event_id", "user_id", "ts"), versions, "user_id", "ts", "ts", ["event_id"])
+    before = history.as_of(at.withColumn("version", F.col("version.event_id")), versions, "user_id", "ts", "ts", ["event_id"], "earlier", strict=True)
+    return before.select("event_id", F.coalesce("version", F.lit(-1)).alias("version"), F.coalesce("earlier.value", F.lit(-1.0)).alias("value_before"))
+
+
+@query("version_intervals", """
+WITH v AS (SELECT user_id, date_trunc('hour', ts) AS t, max(event_id) AS event_id FROM events GROUP BY 1, 2)
+SELECT user_id, event_id, CAST(t AS VARCHAR) AS valid_from, CAST(lead(t) OVER (PARTITION BY user_id ORDER BY t) AS VARCHAR) AS valid_to FROM v""")
+def version_intervals(spark, sf_dir):
+    """A user's versions of each hour with the time in which they hold; of one hour the last event counts."""
+    e = table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("t"), "event_id")
+    said = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return history.intervals(e, "user_id", "t", ["event_id"]).select("user_id", "event_id", said("valid_from"), said("valid_to"))
+
+
+@query("state_at_moment", """
+SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(ts) <= TIMESTAMP '2024-01-10' AS old FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY user_id""")
+def state_at_moment(spark, sf_dir):
+    """Every user's last event at a moment."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    state = history.state_at(e, "user_id", "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), ["event_id"])
+    return state.select("user_id", "event_type", (F.col("ts") <= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).alias("old"))
+
+
 @query("greedy_pair_replace", """
 WITH o AS (SELECT conv_id AS pair, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE conv_id % 2 = 0),
 n AS (SELECT conv_id - 1 AS pair, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE conv_id % 2 = 1)
