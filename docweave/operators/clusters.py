@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.diffs import ratio
+from docweave.operators.numbering import numbered_rows
 from docweave.sources.tables import written
 
 #: The first stretch of keys and how much longer the next ones are; edges that one task orders; classes of grams and keys that the order of grams is taken from.
@@ -157,14 +158,8 @@ def ranked_keys(df: DataFrame, group: list[str], key: str, order: list[str]) ->
     """(g, digest, key, first, times, rank) of the different keys of each group, ranked by where they come first; and their number."""
     rows = df.select(group_name(group).alias("g"), F.sha2(key, 256).alias("digest"), F.col(key).alias("key"), F.struct(*order).alias("o"))
     firsts = rows.groupBy("g", "digest").agg(F.any_value("key").alias("key"), F.min("o").alias("first"), F.count(F.lit(1)).alias("times"))
-    ordered = written(firsts.orderBy("first", "g", "digest").withColumn("at", F.monotonically_increasing_id()), "keys")
-    sizes = sorted(ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a line for each partition
-    before = np.cumsum([0, *(r.n for r in sizes)])
-    spark = df.sparkSession
-    offsets = spark.createDataFrame([(r.part, int(b)) for r, b in zip(sizes, before, strict=False)], "part long, before long")
-    low = F.col("at").bitwiseAND((1 << 33) - 1)
-    ranked = ordered.join(F.broadcast(offsets), F.shiftright("at", 33) == F.col("part")).select("g", "digest", "key", "first", "times", (F.col("before") + low).alias("rank"))
-    return written(ranked, "ranked-keys"), int(before[-1])
+    ranked, n = numbered_rows(firsts, ["first", "g", "digest"], "rank")
+    return written(ranked, "ranked-keys"), n
 
 
 def gram_table(keys: DataFrame, measure: Measure, order: np.ndarray) -> DataFrame:

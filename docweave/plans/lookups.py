@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import history, keyed, lookups, runs, search
+from docweave.operators import history, keyed, lookups, runs, search, substring_index
 from docweave.operators.partitions import capped_partitions
 from docweave.registry import query, table
+from docweave.sources.tables import fresh_path
 
 
 @query("exact_then_prefix", """
@@ -193,6 +194,19 @@ def search_grouped(spark, sf_dir):
     return search.search_grouped(d, ["n", "g"], ["src1"], "h", "n")
 
 
+@query("search_indexed", """
+WITH d AS (SELECT doc_id, lower(lang) AS g, lower(source) AS n, lower(coalesce(text, '')) AS t FROM documents),
+h AS (SELECT doc_id, CASE WHEN n LIKE 'src1%' OR g LIKE 'src1%' THEN 0 WHEN n LIKE '%src1%' OR g LIKE '%src1%' THEN 1 ELSE 2 END AS score
+  FROM d WHERE contains(n || ' ' || g || ' ' || t, 'src1') AND contains(n || ' ' || g || ' ' || t, 'tion') AND contains(n || ' ' || g || ' ' || t, 'th'))
+SELECT doc_id, score, count(*) OVER () AS total FROM h ORDER BY score, doc_id LIMIT 500""")
+def search_indexed(spark, sf_dir):
+    """Whole texts by an index of their trigrams; one word is shorter than a trigram."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("source").alias("n"), F.lower("lang").alias("g"), F.lower("text").alias("t"))
+    path = fresh_path(spark, "search")
+    substring_index.build(d, path, ["n", "g", "t"], ["doc_id"])
+    return substring_index.search(spark, path, ["src1", "tion", "th"], ["n", "g", "t"], ["n", "g"], 500).select("doc_id", "score", "total")
+
+
 @query("search_updates", """
 SELECT event_id, event_type, count(*) OVER () AS total FROM events WHERE event_type || ' ' || props LIKE '%error%' AND event_type || ' ' || props LIKE '%1%'
 ORDER BY ts DESC, event_id LIMIT 300""")
