@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEW_ENTRY, FIRST_EDITION = "新規", "第1版"
@@ -28,6 +28,12 @@ def budgeted(rows: DataFrame, turn: Column, pos: list[str], most: int) -> DataFr
     return rows.withColumn("turn", turn).orderBy("turn", *pos).limit(most)
 
 
+def first_of_group(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """Of each group the first rows in an order, at most so many; a task gives on no more of a group before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
 def newest(df: DataFrame, day: str, most: int) -> DataFrame:
     """The latest distinct days, newest first."""
     return df.select(day).distinct().orderBy(F.desc(day)).limit(most)

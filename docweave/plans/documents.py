@@ -103,31 +103,40 @@ def body_store(spark, sf_dir):
 
 
 def orders_as_feed(spark, sf_dir) -> DataFrame:
-    """A page for each status and month: a block for each day, posted rows of urgent orders and deleted rows of low ones."""
-    o = table(spark, sf_dir, "orders")
-    first = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit('<a HREF="/go/pack/'), "o_orderkey", F.lit('_1_01/">order<BR>'), "o_orderkey", F.lit("</a>"))).otherwise(F.concat(F.lit("order &amp; "), "o_orderkey", F.lit("<!-- K"), "o_custkey", F.lit(" -->")))
+    """A page for each status and month: a block for each day, posted rows of orders of the three upper priorities, deleted rows of the others."""
+    o = table(spark, sf_dir, "orders").withColumn("posted", F.col("o_orderpriority") < "4")
+    first = F.when(F.col("posted"), F.concat(F.lit('<a HREF="/go/pack/'), "o_orderkey", F.lit('_1_01/">order<BR>'), "o_orderkey", F.lit("</a>"))).otherwise(F.concat(F.lit("order &amp; "), "o_orderkey", F.lit("<!-- K"), "o_custkey", F.lit(" -->")))
     row = F.concat(F.lit("<TR><TD>"), first, F.lit("</TD><TD>"), "o_custkey", F.lit("</TD>\n<TD>"), "o_orderstatus", F.lit("</TD></TR>"))
-    of = lambda p: joined(F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderpriority") == p, F.struct("o_orderkey", row.alias("x"))))), lambda s: s.getField("x")))
-    days = o.groupBy("o_orderstatus", F.to_date("o_orderdate").alias("d")).agg(of("1-URGENT").alias("posted"), of("5-LOW").alias("deleted"))
+    of = lambda p: joined(F.transform(F.array_sort(F.collect_list(F.when(p, F.struct("o_orderkey", row.alias("x"))))), lambda s: s.getField("x")))
+    days = o.groupBy("o_orderstatus", F.to_date("o_orderdate").alias("d")).agg(of(F.col("posted")).alias("posted"), of(~F.col("posted")).alias("deleted"))
     block = F.concat(F.lit('<td class="title">'), F.date_format("d", "yyyy年MM月dd日"), F.lit("</td><h2>掲載分</h2><TABLE>"), "posted", F.lit("</TABLE><h2>削除分</h2><TABLE>"), "deleted", F.lit("</TABLE>"))
     return days.groupBy("o_orderstatus", F.date_trunc("month", "d").alias("month")).agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("d", block.alias("x")))), lambda s: s.getField("x"))).alias("html"))
 
 
 @query("weekly_feed", """
-SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderpriority = '1-URGENT' THEN 'posted' ELSE 'deleted' END AS kind,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'order / ' || o_orderkey ELSE 'order & ' || o_orderkey END AS brand, CAST(o_custkey AS VARCHAR) AS company, o_orderstatus AS reason,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey || '_1_01' END AS packins_no, CASE WHEN o_orderpriority = '5-LOW' THEN 'K' || o_custkey END AS yj_hint
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderpriority < '4' THEN 'posted' ELSE 'deleted' END AS kind,
+  CASE WHEN o_orderpriority < '4' THEN 'order / ' || o_orderkey ELSE 'order & ' || o_orderkey END AS brand, CAST(o_custkey AS VARCHAR) AS company, o_orderstatus AS reason,
+  CASE WHEN o_orderpriority < '4' THEN o_orderkey || '_1_01' END AS packins_no, CASE WHEN o_orderpriority >= '4' THEN 'K' || o_custkey END AS yj_hint
+FROM orders""")
 def weekly_feed(spark, sf_dir):
     return feeds.feed_rows(orders_as_feed(spark, sf_dir)).drop("pos")
 
 
 @query("feed_day_records", """
-SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) FILTER (o_orderpriority = '1-URGENT') AS updates, count(*) FILTER (o_orderpriority = '5-LOW') AS deletes
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""")
+WITH r AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority < '4' AS posted, o_orderkey, o_custkey, o_orderstatus,
+  row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE), o_orderstatus, o_orderpriority < '4' ORDER BY o_orderkey) AS pos FROM orders),
+t AS (SELECT date, posted, pos, CASE WHEN posted THEN 'order / ' || o_orderkey ELSE 'order & ' || o_orderkey END AS brand, CAST(o_custkey AS VARCHAR) AS company, o_orderstatus AS reason,
+  CASE WHEN posted THEN o_orderkey || '_1_01' ELSE 'K' || o_custkey END AS code FROM r)
+SELECT date, count(*) FILTER (posted) AS updates, count(*) FILTER (NOT posted) AS deletes,
+  sha1(coalesce(string_agg(concat_ws(':', brand, company, reason, code), '|' ORDER BY pos, brand, company, reason, code) FILTER (posted), '')) AS updates_sha1,
+  sha1(coalesce(string_agg(concat_ws(':', brand, company, reason, code), '|' ORDER BY pos, brand, company, reason, code) FILTER (NOT posted), '')) AS deletes_sha1
+FROM t GROUP BY date""")
 def feed_day_records(spark, sf_dir):
+    """Content and order of each day's updates and deletes."""
     days = feeds.day_records(feeds.feed_rows(orders_as_feed(spark, sf_dir)))
-    return days.select("date", F.size("updates").cast("long").alias("updates"), F.size("deletes").cast("long").alias("deletes"))
+    told = lambda c, code: F.sha1(F.array_join(F.transform(c, lambda r: F.concat_ws(":", *[r.getField(f) for f in ("brand", "company", "reason", code)])), "|"))
+    n = lambda c: F.size(c).cast("long").alias(c)
+    return days.select("date", n("updates"), n("deletes"), told("updates", "packins_no").alias("updates_sha1"), told("deletes", "yj_hint").alias("deletes_sha1"))
 
 
 @query("catalog_scan", """
@@ -158,12 +167,22 @@ def version_fallback(spark, sf_dir):
 
 
 @query("theme_tiers", """
-SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS k, CASE p_partkey % 4 WHEN 0 THEN '2. 禁忌' ELSE '8. 重要な基本的注意' END AS chapter FROM part WHERE p_partkey % 4 <> 3 AND (p_partkey % 4 <> 2 OR p_size % 2 = 0)""")
+WITH p AS (SELECT p_partkey AS doc, p_partkey % 7 AS kind, p_size, p_size % 2 = 1 AS user FROM part),
+k AS (SELECT doc, kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN NOT user THEN 2 END WHEN 4 THEN CASE WHEN p_size % 3 <> 0 THEN 3 END
+  WHEN 5 THEN CASE WHEN NOT user THEN 1 END WHEN 6 THEN 1 END AS k FROM p)
+SELECT doc, k, CASE kind WHEN 0 THEN '2. 禁忌' WHEN 6 THEN '10. 相互作用' ELSE '8. 重要な基本的注意' END AS chapter,
+  CASE kind WHEN 0 THEN '手術を受ける患者' WHEN 1 THEN '手術前は投与を中止すること。' WHEN 2 THEN '手術では観察する。' WHEN 4 THEN '' WHEN 5 THEN '詳細。' ELSE '手術の日。|手術では観察する。' END AS said
+FROM k WHERE k IS NOT NULL""")
 def theme_tiers(spark, sf_dir):
+    """Forbidden, stop and other tiers, sentences that are ignored, the document's own lines, table rows and bodies that tell what to do."""
     p = table(spark, sf_dir, "part")
-    kind = F.col("p_partkey") % 4
-    said = F.when(kind == 0, "手術を受ける患者").when(kind == 1, "手術前は投与を中止すること。").when(kind == 2, "手術では観察する。").otherwise("手術不能の患者。")
+    kind = F.col("p_partkey") % 7
+    by_kind = lambda *values: F.element_at(F.array(*map(F.lit, values)), (kind + 1).cast("int"))
+    own = F.when((kind == 4) & (F.col("p_size") % 3 == 0), "")
+    said = F.coalesce(own, by_kind("手術を受ける患者", "手術前は投与を中止すること。", "手術では観察する。", "手術不能の患者。", "自身の記載", "詳細。", "手術の日。関係のない文。手術では観察する。"))
+    body = F.when(kind == 5, F.when(F.col("p_size") % 2 == 0, "投与を中止する。").otherwise("観察する。")).when(kind == 6, "3日以内に観察する。")
+    path = F.when(kind == 5, "手術中の注意").otherwise("p")
     group = F.when(F.col("p_size") % 2 == 0, "999").otherwise("111")
-    none = F.lit(None).cast("string")
-    rows = p.select("p_partkey", F.concat(F.lit("123456_"), group, F.lit("0000A1011_1_01")).alias("u"), F.lit("").alias("cls"), F.when(kind == 0, "ContraIndications").otherwise("ImportantPrecautions").alias("ch"), F.lit("p").alias("p"), said.alias("t"), none.alias("b"), F.lit(0).alias("own"), F.lit(0).alias("row"))
-    return classified(rows, THEMES["shujutsu"]).select(F.col("p_partkey").alias("doc"), "k", "chapter")
+    chapter = F.when(kind == 0, "ContraIndications").when(kind == 6, "Interactions").otherwise("ImportantPrecautions")
+    rows = p.select("p_partkey", F.concat(F.lit("123456_"), group, F.lit("0000A1011_1_01")).alias("u"), F.lit("").alias("cls"), chapter.alias("ch"), path.alias("p"), said.alias("t"), body.alias("b"), (kind == 4).cast("int").alias("own"), (kind == 5).cast("int").alias("row"))
+    return classified(rows, THEMES["shujutsu"]).select(F.col("p_partkey").alias("doc"), "k", "chapter", F.array_join("s", "|").alias("said"))

@@ -135,6 +135,18 @@ def theme_order(spark, sf_dir):
     return p.orderBy(*ordering.theme_order(by_name=False), "p_partkey").limit(200).select("p_partkey", F.col("y").alias("p_brand"), F.col("name").alias("p_name"))
 
 
+#: Letters as kana in the order of Japanese, every other one in hiragana, whose code points all come first; and all as katakana.
+_LETTERS, _MIXED, _KATAKANA = "abcdeghilmnoprstuvwz", "アいウえオかキくケこサしスせソたチつテと", "アイウエオカキクケコサシスセソタチツテト"
+
+
+@query("theme_order_by_name", f"""
+SELECT p_partkey, translate(p_name, '{_LETTERS}', '{_MIXED}') AS name FROM part ORDER BY translate(p_name, '{_LETTERS}', '{_KATAKANA}'), p_partkey LIMIT 300""")
+def theme_order_by_name(spark, sf_dir):
+    """By name alone, in Japanese order, which isn't that of code points."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", _LETTERS, _MIXED).alias("name"))
+    return p.orderBy(*ordering.theme_order(by_name=True), "p_partkey").limit(300).select("p_partkey", "name")
+
+
 @query("important_order", "SELECT event_id, event_type = 'error' AS important FROM events ORDER BY event_type = 'error' DESC, event_id LIMIT 300")
 def important_order(spark, sf_dir):
     """O03, O06."""

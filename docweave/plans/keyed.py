@@ -125,12 +125,11 @@ def conditional_store_stats(spark, sf_dir):
 
 
 @query("union_overwrite", """
-WITH u AS (SELECT p_partkey, p_name, p_size, 0 AS s FROM part WHERE p_partkey % 3 <> 0
-  UNION ALL SELECT p_partkey, upper(p_name), p_size + 1, 1 FROM part WHERE p_partkey % 2 = 0)
-SELECT p_partkey, p_name, p_size FROM u QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC) = 1""")
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part""")
 def union_overwrite(spark, sf_dir):
+    """A sheet of all parts but some of the even ones, and a later one of the even parts, which wins."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    first = p.where("p_partkey % 3 <> 0").withColumn("sheet", F.lit(0))
+    first = p.where("p_partkey % 6 <> 0").withColumn("sheet", F.lit(0))
     second = p.where("p_partkey % 2 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"), F.lit(1).alias("sheet"))
     return keyed.last_per_key(first.unionByName(second), ["p_partkey"], "sheet").drop("sheet")
 
@@ -201,8 +200,9 @@ def priority_cap(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) <= 2""")
 def budget_first_n(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", F.row_number().over(w).alias("r")).where("r <= 2").drop("r", "l_partkey")
+    """The two lines of each order that matter most."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    return ordering.first_of_group(lines, ["l_orderkey"], [F.desc("l_quantity"), F.col("l_linenumber"), F.col("l_partkey")], 2).drop("l_partkey")
 
 
 @query("recent_days", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events ORDER BY day DESC LIMIT 14")

@@ -121,13 +121,13 @@ def state_at_moment(spark, sf_dir):
 WITH o AS (SELECT conv_id AS pair, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE conv_id % 2 = 0),
 n AS (SELECT conv_id - 1 AS pair, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE conv_id % 2 = 1)
 SELECT coalesce(o.pair, n.pair) AS pair, coalesce(o.role, n.role) AS role, coalesce(o.nth, n.nth) AS nth,
-       CASE WHEN n.text IS NULL THEN 'removed' WHEN o.text IS NULL THEN 'added' ELSE 'changed' END AS kind
+       CASE WHEN n.text IS NULL THEN 'removed' WHEN o.text IS NULL THEN 'added' ELSE 'changed' END AS kind, coalesce(sha1(o.text), '') AS before, coalesce(sha1(n.text), '') AS after
 FROM o FULL JOIN n ON o.pair = n.pair AND o.role = n.role AND o.nth = n.nth""")
 def greedy_pair_replace(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     old = c.where("conv_id % 2 = 0").withColumnRenamed("conv_id", "pair")
     new = c.where("conv_id % 2 = 1").withColumn("pair", F.col("conv_id") - 1)
-    return runs.replaced_pairs(old, new, ["pair"], "role", "turn", "text").select("pair", "role", F.col("nth").cast("long").alias("nth"), "kind")
+    return runs.replaced_pairs(old, new, ["pair"], "role", "turn", "text").select("pair", "role", F.col("nth").cast("long").alias("nth"), "kind", *[F.coalesce(F.sha1(c), F.lit("")).alias(c) for c in ("before", "after")])
 
 
 @query("mru_top_n", """

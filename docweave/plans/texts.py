@@ -74,14 +74,19 @@ def normalize_text(spark, sf_dir):
     return d.select("doc_id", F.sha1("t").alias("h"), F.length("t").cast("long").alias("n"))
 
 
-_KANA = "(VALUES (1, 'ひらがな カタカナ', 'ヒラガナカタカナ', 'ヒ'), (2, 'がっこう', 'ガッコウ', 'カ'), (3, 'ＡＢＣ　ｱｲｳ', 'abcアイウ', 'a'), (4, 'ゖゎァ', 'ヶヮァ', 'ケ'))"
+#: Letters of part names as kana in several forms, how they are folded, and the row each is listed under.
+_LETTERS, _RAW = "rdalgtuoiwsnbvmezpch", "がｱあざばぱうおいゎｻなべゔまえずｐＣほ"
+_FOLDED, _ROWS = "ガアアザバパウオイヮサナベヴマエズpcホ", "カアアサハハウオイワサナヘウマエスpcホ"
 
 
-@query("kana_fold", f"SELECT id, folded, row FROM {_KANA} t(id, raw, folded, row)")
+@query("kana_fold", f"""
+WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS n FROM part)
+SELECT p_partkey, translate(n, '{_LETTERS}', '{_FOLDED}') AS folded, translate(substr(n, 1, 1), '{_LETTERS}', '{_ROWS}') AS row FROM p""")
 def kana_fold(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "ひらがな カタカナ"), (2, "がっこう"), (3, "ＡＢＣ　ｱｲｳ"), (4, "ゖゎァ")], "id int, raw string")
-    folded = rows.select("id", text.search_form(text.nfkc("raw")).alias("folded"))
-    return folded.select("id", "folded", text.index_kana(F.col("folded")).alias("row"))
+    """Part names in hiragana, half-width and full-width characters."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", _LETTERS, _RAW).alias("raw"))
+    folded = rows.select("p_partkey", text.search_form(text.nfkc("raw")).alias("folded"))
+    return folded.select("p_partkey", "folded", text.index_kana(F.col("folded")).alias("row"))
 
 
 @query("html_cells", r"""
