@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: how an error begins that leaves a row out, so that it is tried again.
@@ -44,6 +44,19 @@ def due(targets: DataFrame, state: DataFrame, key: str, date: str, version: int,
     return joined.withColumn("turn", turn).where(F.col("turn").isNotNull() & ~known_bad).drop("__t", "__v", "__err_t")
 
 
+def admitted(due_rows: DataFrame, cached: DataFrame, key: str, order: list[str | Column], most: int, every: int) -> DataFrame:
+    """What a run reads: every due row whose document is cached, and of the others the first most in an order.
+
+    Adds is_cached and step: rows that are fetched come every to a step, in order; cached ones cost nothing and are in step 0.
+    """
+    there = cached.select(key).distinct().withColumn("is_cached", F.lit(True))
+    known = due_rows.join(there, key, "left").withColumn("is_cached", F.coalesce("is_cached", F.lit(False)))
+    first = known.where("NOT is_cached").orderBy(*order, key).limit(most)
+    place = F.row_number().over(Window.orderBy(*order, key)) - 1  # at most most rows
+    fetched = first.withColumn("step", F.floor(place / every).cast("int"))
+    return fetched.unionByName(known.where("is_cached").withColumn("step", F.lit(0)))
+
+
 def guarded(df: DataFrame, enough: Column, message: str) -> DataFrame:
     """The rows, if a condition on all of them holds; else the job fails before anything is written."""
     check = df.agg(F.assert_true(enough, F.lit(message)).alias("__ok"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions.keys import content_hash, hash_bucket
-from docweave.operators import keyed, lookups, ordering
+from docweave.operators import keyed, lookups, ordering, views
 from docweave.registry import query, table
 from docweave.sources.deltas import Store, Stores
 from docweave.sources.tables import fresh_path
@@ -179,6 +179,34 @@ def feed_merge_idempotent(spark, sf_dir):
     return shown(updates, "update").unionByName(shown(deletes, "delete"))
 
 
+#: Orders after their changes: paid ones went, prices of open ones rose, a day was added to them.
+_CHANGED = """
+SELECT o_orderpriority AS p, o_custkey AS c, CASE WHEN o_orderstatus = 'O' THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS d, o_orderstatus AS s,
+  CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderstatus = 'O' THEN 100 ELSE 0 END AS cents FROM orders WHERE o_orderstatus <> 'P'"""
+
+
+@query("maintained_statistics", f"""
+WITH r AS ({_CHANGED}),
+m AS (SELECT p, c FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, c) = 1)
+SELECT r.p, count(*) AS n, CAST(count(*) FILTER (s = 'O') AS BIGINT) AS n_open, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT r.c) AS customers, CAST(any_value(m.c) AS BIGINT) AS most, CAST(max(d) AS VARCHAR) AS latest
+FROM r JOIN m ON m.p = r.p GROUP BY r.p""")
+def maintained_statistics(spark, sf_dir):
+    """Counts, sums, distinct and most frequent customers and the latest day, kept through deletions and replacements of all orders."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_custkey").cast("long").alias("c"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("d"), F.col("o_orderstatus").alias("s"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    gone, open_ = o.where("s = 'P'"), o.where("s = 'O'")
+    later = open_.withColumn("d", F.date_format(F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss")).withColumn("cents", F.col("cents") + 100)
+    none = o.where("false")
+    stores = Stores(spark, fresh_path(spark, "views"), [Store("counts", ("p",), "p string, n long, n_open long, cents long", "sum"), Store("customers", ("p", "c"), "p string, c long, n long", "sum"), Store("days", ("p", "d"), "p string, d string, n long", "sum")], fan=3)
+    for number, (old, new) in enumerate([(none, o), (gone, none), (open_, later)]):
+        changes = views.change_set(old, new)
+        at = F.lit(0)
+        stores.merge(number, {"counts": (views.count_changes(changes, ["p"], {"n_open": F.col("s") == "O"}, {"cents": F.col("cents")}), at), "customers": (views.value_changes(changes, ["p"], "c"), at), "days": (views.value_changes(changes, ["p"], "d"), at)})
+    stores.compact()
+    customers = views.value_statistics(stores.read("customers"), ["p"], "c").select("p", F.col("distinct").alias("customers"), F.col("mode").alias("most"))
+    days = views.value_statistics(stores.read("days"), ["p"], "d").select("p", F.col("greatest").alias("latest"))
+    return stores.read("counts").select("p", "n", "n_open", "cents").join(customers, "p").join(days, "p")
+
+
 @query("dedupe_overlap_window", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def dedupe_overlap_window(spark, sf_dir):
     """Weekly batches that overlap by their whole length, keyed dedup over them."""

@@ -22,12 +22,15 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docweave.operators.incremental import NOT_FETCHED
+from docweave.sources.tables import written
 
 #: Folders of a level that are merged into one of the next.
 FAN = 8
@@ -54,10 +57,11 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Store:
-    """A store's name, keys, columns, and its rule: feed or latest.
+    """A store's name, keys, columns, and its rule: feed, latest or sum.
 
     feed: a good row stays, the first one of them; one with an error is replaced by what comes later; a key keeps the place at
     which it came first, and rows that couldn't be fetched are left out. latest: the last row counts; a true column gone takes the key away.
+    sum: the columns beside the keys are numbers that are added up; a key whose numbers are all 0 isn't there.
     """
 
     name: str
@@ -83,6 +87,11 @@ class Store:
     def merged(self, rows: DataFrame) -> DataFrame:
         """One row for each key, by a combinable aggregate; merging merged rows gives the same."""
         rest = [c for c in self.columns if c not in self.keys] + ["batch", "pos"]
+        if self.rule == "sum":
+            kinds = dict(rows.dtypes)
+            ends = [F.max("batch").alias("batch"), F.max("pos").alias("pos"), F.min(F.struct("first_batch", "first_pos")).alias("__f")]
+            one = rows.groupBy(*self.keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in rest[:-2]], *ends)
+            return one.select(*self.columns, "batch", "pos", "__f.first_batch", "__f.first_pos")
         if self.rule == "feed":
             good = F.col("error").isNull()
             when = F.struct(~good, F.when(good, F.col("batch")).otherwise(-F.col("batch")), F.when(good, F.col("pos")).otherwise(-F.col("pos")))
@@ -198,6 +207,8 @@ class Stores:
         out = store.merged(rows if where is None else rows.where(where))
         if store.rule == "latest" and "gone" in store.columns:
             out = out.where(~F.coalesce(F.col("gone"), F.lit(False)))
+        if store.rule == "sum":
+            out = out.where(reduce(or_, [F.col(c) != 0 for c in store.columns if c not in store.keys]))
         return out.select(*store.columns, "first_batch", "first_pos")
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -222,6 +233,25 @@ class Stores:
         return gone
 
 
+def read_in_steps(stores: Stores, name: str, rows: DataFrame, read: Callable[[DataFrame], DataFrame], order: str, steps: int) -> int:
+    """Read a run's rows step by step (a column, as operators.incremental.admitted gives it), each merged into a store before the next is begun.
+
+    A run that is killed has lost what its present step had read and nothing else: the next one is given what is
+    still due, since what was merged isn't. The number of steps that were merged.
+    """
+    done = 0
+    rows = written(rows, "run")  # so that a step reads what it was given, whatever steps before it have merged
+    for step in range(steps):
+        own = rows.where(F.col("step") == step)
+        if own.isEmpty():
+            continue
+        number = max(stores.manifest()["batches"].get(name, [-1])) + 1
+        stores.merge(number, {name: (read(own), order)})
+        done += 1
+    stores.compact()
+    return done
+
+
 def merge_sink(stores: Stores, **batches: Callable[[DataFrame], tuple[DataFrame, str | Column]]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each store's part of the batch, by a function from its rows to (rows, place); full levels are merged after it."""
 

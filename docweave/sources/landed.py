@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import http.cookiejar
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -90,8 +93,6 @@ class ResultReader(DataSourceReader):
         return [One(c) for c in self.classes]
 
     def read(self, partition: One) -> Iterator[tuple]:
-        import re
-
         opener = session()
         _, opened, error = fetched(self.start, opener, None, self.tries, self.wait)
         if opened is None:
@@ -125,6 +126,100 @@ class Results(DataSource):
         return ResultReader(dict(self.options))
 
 
+#: What a result page says of its size, of a size over the cap, of no results.
+FOUND, OVER, NONE = r"検索結果(\d+)件／全(\d+)ページ", r"検索結果(?:\s|<[^>]+>)*(\d+)(?:\s|<[^>]+>)*件見つかりました", "条件に該当する添付文書はありませんでした"
+
+
+class Stretch(InputPartition):
+    """A class and a range of days that the source gives whole; or, with pages 0, a single day of which it gives nothing."""
+
+    def __init__(self, name: str, low: str, high: str, n: int, pages: int):
+        self.name, self.low, self.high, self.n, self.pages = name, low, high, n, pages
+
+
+class PlannedReader(DataSourceReader):
+    """Asks the source for counts and splits what is over its cap, until every part is under it; then parts are read."""
+
+    def __init__(self, options: dict):
+        self.start, self.search = options["start"], options["search"]
+        self.children: dict[str, list[str]] = json.loads(options["classes"])
+        self.form, self.first, self.last = json.loads(options.get("form", "{}")), options.get("first_day", "19000101"), options["last_day"]
+        self.field, self.page = options.get("class_field", "effect"), options.get("page_field", "page")
+        self.low, self.high = options.get("from_field", "updateFrom"), options.get("to_field", "updateTo")
+        self.tries, self.wait, self.pause = int(options.get("tries", TRIES)), float(options.get("wait", WAIT)), float(options.get("pause", 1.0))
+
+    def asked(self, opener: urllib.request.OpenerDirector, name: str, low: str, high: str, page: int) -> str:
+        dates = {self.low: low, self.high: high} if low else {}
+        _, raw, error = fetched(self.search, opener, {**self.form, **dates, self.field: name, self.page: str(page)}, self.tries, self.wait)
+        if raw is None:
+            raise OSError(f"{name} [{low}, {high}] page {page}: {error}")
+        return raw.decode("utf-8", "replace")
+
+    def split(self, name: str, low: str, high: str) -> list[tuple[str, str, str]]:
+        """A class by its children, else by years, a year and less by halves; a single day not at all."""
+        if not low:
+            if self.children.get(name):
+                return [(c, "", "") for c in self.children[name]]
+            return self.split(name, self.first, self.last)
+        a, b = (datetime.strptime(d, "%Y%m%d").date() for d in (low, high))
+        if a.year < b.year:
+            return [(name, max(low, f"{y}0101"), min(high, f"{y}1231")) for y in range(a.year, b.year + 1)]
+        if a == b:
+            return []
+        middle = a + (b - a) // 2
+        return [(name, low, f"{middle:%Y%m%d}"), (name, f"{middle + timedelta(days=1):%Y%m%d}", high)]
+
+    def partitions(self) -> list[InputPartition]:
+        """One session asks for counts, one thing at a time; what it holds are parts, not rows."""
+        opener = session()
+        fetched(self.start, opener, None, self.tries, self.wait)
+        frontier = deque((c, "", "") for c in self.children)
+        out: list[InputPartition] = []
+        while frontier:
+            name, low, high = frontier.popleft()
+            html = self.asked(opener, name, low, high, 1)
+            if over := re.search(OVER, html):
+                parts = self.split(name, low, high)
+                frontier.extend(parts)
+                if not parts:
+                    out.append(Stretch(name, low, high, int(over[1]), 0))
+            elif found := re.search(FOUND, html):
+                out.append(Stretch(name, low, high, int(found[1]), int(found[2])))
+            elif NONE not in html:
+                raise ValueError(f"{name} [{low}, {high}]: the page says no count")
+            time.sleep(self.pause if frontier else 0)
+        return out
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        p = partition
+        if not p.pages:
+            yield p.name, p.low, p.high, 0, None, f"{p.n} rows on one day, over what the source gives"
+            return
+        opener = session()
+        fetched(self.start, opener, None, self.tries, self.wait)
+        for page in range(1, p.pages + 1):
+            yield p.name, p.low, p.high, page, self.asked(opener, p.name, p.low, p.high, page), None
+            time.sleep(self.pause if page < p.pages else 0)
+
+
+class PlannedResults(DataSource):
+    """Rows (class, low, high, page, html, error) of all classes of a JSON object of classes and their children.
+
+    A day that is over the cap by itself is one row with page 0 and an error, so that nothing is lost unsaid.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "docweave_planned_results"
+
+    def schema(self) -> str:
+        return "class string, low string, high string, page int, html string, error string"
+
+    def reader(self, schema) -> PlannedReader:
+        return PlannedReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Addresses)
     spark.dataSource.register(Results)
+    spark.dataSource.register(PlannedResults)

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from docweave.sources import deltas
-from docweave.sources.deltas import Conflict, Store, Stores
+from docweave.operators import views
+from docweave.sources.deltas import Conflict, Store, Stores, merged_before, with_number
 
 FEED = Store("updates", ("day", "k"), "day string, k long, v string, error string")
 LATEST = Store("prices", ("k",), "k long, v string, gone boolean", "latest")
@@ -68,7 +69,7 @@ def test_what_is_written_follows_the_batch(spark, tmp_path):
     assert size() - large < large / 50
     assert stores.read("updates").count() == 60_001
     # keys go to the scan
-    some = stores.read("updates", where=deltas.F.col("k") == 60_001)
+    some = stores.read("updates", where=F.col("k") == 60_001)
     assert [r.v for r in some.collect()] == ["new"] and "PushedFilters: [IsNotNull(k), EqualTo(k,60001)]" in some._jdf.queryExecution().toString()
 
 
@@ -130,4 +131,31 @@ def test_stores_of_nothing(spark, tmp_path):
     stores = Stores(spark, str(tmp_path / "none"), [FEED])
     assert stores.read("updates").count() == 0 and stores.vacuum() == [] and stores.compact() == 0
     assert stores.merge(3, {"updates": frame(spark, FEED, [])}) and stores.read("updates").count() == 0
-    assert deltas.with_number([2, 4], 3) == [4] and deltas.merged_before([4, 7], 7) and not deltas.merged_before([], 0)
+    assert with_number([2, 4], 3) == [4] and merged_before([4, 7], 7) and not merged_before([], 0)
+
+
+def test_statistics_follow_random_changes(spark, tmp_path):
+    """Counts, sums, distinct values, mode and extremes after inserts, replacements and deletions equal a recount; unchanged days aren't read."""
+    rng = random.Random(4)
+    stores = Stores(spark, str(tmp_path), [Store("counts", ("day",), "day string, n long, n_x long, total long", "sum"), Store("values", ("day", "v"), "day string, v string, n long", "sum")], fan=3)
+    row = lambda: (rng.choice("abc"), rng.choice(["x", "y", "z", None]), rng.choice([None, *range(9)]))
+    schema = "day string, v string, w long"
+    state = []
+    for number in range(7):
+        old = rng.sample(state, min(len(state), rng.randint(0, 9)))
+        new = [row() for _ in range(rng.choice([0, 5, 12]))]
+        for r in old:
+            state.remove(r)
+        state += new
+        changes = views.change_set(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+        batch = {"counts": (views.count_changes(changes, ["day"], {"n_x": F.col("v") == "x"}, {"total": F.col("w")}), F.lit(0)), "values": (views.value_changes(changes, ["day"], "v"), F.lit(0))}
+        assert stores.merge(number, batch) and not stores.merge(number, batch)
+        stores.compact()
+        days = {d: [r for r in state if r[0] == d] for d in {r[0] for r in state}}
+        assert {r.day: (r.n, r.n_x, r.total) for r in stores.read("counts").collect()} == {d: (len(own), sum(v == "x" for _, v, _ in own), sum(w or 0 for _, _, w in own)) for d, own in days.items()}
+        want = {}
+        for d, own in days.items():
+            values = [v for _, v, _ in own if v is not None]
+            if values:
+                want[d] = (len(set(values)), min(values), max(values), min(set(values), key=lambda v: (-values.count(v), v)))
+        assert {r.day: tuple(r)[1:] for r in views.value_statistics(stores.read("values"), ["day"], "v").collect()} == want
