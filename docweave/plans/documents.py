@@ -9,7 +9,7 @@ from docweave.functions.text import escape_html
 from docweave.operators.classify import THEMES, classified
 from docweave.operators.keyed import first_per_key
 from docweave.registry import query, table
-from docweave.sources import feeds, package_xml
+from docweave.sources import feeds, package_nodes, package_xml
 
 _OPEN = f'<PackIns xmlns="{package_xml.NS[1:-1]}">'
 
@@ -43,13 +43,13 @@ def conversations_as_documents(spark, sf_dir) -> DataFrame:
 SELECT CAST(conv_id AS VARCHAR) AS u, 'chapter > ' || role AS path, sha1(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'))) AS h, count(*) AS n
 FROM conversations WHERE trim(text) <> '' GROUP BY ALL""")
 def package_lines(spark, sf_dir):
-    lines = package_xml.line_table(conversations_as_documents(spark, sf_dir)).where("NOT revised AND path[1] IS NOT NULL AND text <> path[1]")
+    lines = package_nodes.line_table(conversations_as_documents(spark, sf_dir)).where("NOT revised AND path[1] IS NOT NULL AND text <> path[1]")
     return lines.select("u", F.array_join("path", " > ").alias("path"), F.sha1("text").alias("h")).groupBy("u", "path", "h").agg(F.count("*").alias("n"))
 
 
 @query("package_revisions", "SELECT CAST(conv_id AS VARCHAR) AS u, count(*) AS n FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id")
 def package_revisions(spark, sf_dir):
-    return package_xml.line_table(conversations_as_documents(spark, sf_dir)).where("revised").groupBy("u").agg(F.count("*").alias("n"))
+    return package_nodes.line_table(conversations_as_documents(spark, sf_dir)).where("revised").groupBy("u").agg(F.count("*").alias("n"))
 
 
 def parts_as_documents(spark, sf_dir) -> DataFrame:
@@ -72,12 +72,12 @@ _U = "'123456_1110' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '_1_01'"
 @query("package_meta", f"""
 SELECT {_U} AS u, '1110' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '_1_01' AS packins_no, '123456' AS company_id, p_name AS brands, p_type AS generic_name FROM part""")
 def package_meta(spark, sf_dir):
-    return package_xml.meta_table(parts_as_documents(spark, sf_dir)).select("u", "packins_no", "company_id", F.array_join("brands", " / ").alias("brands"), "generic_name")
+    return package_nodes.meta_table(parts_as_documents(spark, sf_dir)).select("u", "packins_no", "company_id", F.array_join("brands", " / ").alias("brands"), "generic_name")
 
 
 @query("package_products", f"SELECT {_U} AS u, p_name AS brand, '1110' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code FROM part")
 def package_products(spark, sf_dir):
-    return package_xml.product_table(parts_as_documents(spark, sf_dir)).select("u", "brand", "code")
+    return package_nodes.product_table(parts_as_documents(spark, sf_dir)).select("u", "brand", "code")
 
 
 @query("package_adverse_events", f"""
