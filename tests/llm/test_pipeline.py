@@ -62,7 +62,7 @@ def test_stages_and_run(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for name_of in ("documents", "pages"):
+    for name_of in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{SF}/{name_of}.parquet'")
     got, want = QUERIES[name](spark, SF), con.execute(ORACLES[name])
     columns = sorted(c[0] for c in want.description)
@@ -72,5 +72,5 @@ def test_against_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "secret_scan", "packing"]
