@@ -23,7 +23,7 @@ def band_groups(rows: DataFrame, key: str, pos: str | Column, band: str = "band"
 
     Bands of one order stay as they were first seen, rows in order of pos.
     """
-    own = rows.withColumn("__pos", F.col(pos) if isinstance(pos, str) else pos)
+    own = rows.withColumn("__pos", F.col(pos) if isinstance(pos, str) else pos).repartition(key)  # once for both groupings
     line = F.struct((F.col(category) != first).alias("later"), F.col("__pos").alias("pos"), *columns)
     grouped = own.groupBy(key, band).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min("__pos").alias("seen"))
     bound = bands.bounds(F.col(band))

@@ -82,7 +82,7 @@ def snapshot_changes(snapshots: DataFrame, initial: DataFrame | None = None, kee
 
     A version that comes again changes nothing and is not compared with itself, so replays after a failure are
     harmless. initial has (key, version, paths, texts), one row for each key, of a store that the stream goes on from. State that isn't
-    written for keep_ms goes by itself; a key that brings nothing for idle_ms goes with a row of kind expired. The
+    written for keep_ms goes by itself; a key that brings nothing for idle_ms goes with a row of kind expired; with either, a query goes on until it is stopped, as time alone brings rows. The
     session's state store is set to the one that processors with state need.
     """
     snapshots.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)

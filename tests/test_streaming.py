@@ -18,9 +18,9 @@ def test_snapshots(spark, tmp_path):
 SNAPSHOTS = "key string, version string, seq long, paths array<string>, texts array<string>"
 
 
-def run_to_the_end(changes, name, checkpoint, trigger):
+def run_to_the_end(changes, name, checkpoint, trigger, seconds=60):
     q = changes.writeStream.format("parquet").option("path", f"{checkpoint}-{name}").option("checkpointLocation", str(checkpoint)).trigger(**trigger).start()
-    q.awaitTermination(60)
+    q.awaitTermination(seconds)
     q.stop()
 
 
@@ -41,15 +41,12 @@ def test_snapshots_go_on_from_a_store_and_a_checkpoint(spark, tmp_path):
 
 def test_idle_keys_expire(spark, tmp_path):
     """A key that brings nothing any more goes with a row that says so, and begins anew."""
-    import time
-
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(SNAPSHOTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     changes = streaming.snapshot_changes(stream, idle_ms=1)
     for rows in ([("k", "1", 1, ["p"], ["a"])], [("other", "1", 2, ["p"], ["a"])], [("k", "2", 3, ["p"], ["b"])]):
         spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        run_to_the_end(changes, "out", tmp_path / "cp", {"availableNow": True})
-        time.sleep(0.05)
+        run_to_the_end(changes, "out", tmp_path / "cp", {"processingTime": "100 milliseconds"}, 7)  # a query with timers goes on
     got = {(r.key, r.version, r.kind) for r in spark.read.parquet(f"{tmp_path}/cp-out").collect()}
     assert ("k", "1", "expired") in got and not [g for g in got if g[2] == "changed"]
 
