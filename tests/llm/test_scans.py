@@ -448,3 +448,25 @@ def test_labelled_ids_that_repeat_come_to_the_driver_once(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "toArrow", lambda self: frames.append(plain(self)) or frames[-1])
     assert quality.fit_forest(docs, labels) is not None and toxicity.learn_toxicity(docs, labels) is not None
     assert frames and max(f.num_rows for f in frames if "slot" not in f.column_names) <= 61
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts of several megabytes, whole: op1, op3, op4, op9 and op10 beside short ones."""
+    from docweave.llm import exact_dedup, near_dedup, substring_dedup
+
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(450_000))
+    texts = {1: long, 2: long.upper(), 3: long + " one more", 4: "short text", 5: None, 6: "x " + long[: 3 << 20] + f" {INNER}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    words = {i: (t or "").split(" ") if t else [] for i, t in texts.items()}
+    exact = {r.doc_id: (r.keep_id, r.text_sha256) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert exact[1] == exact[2] == (2, hashlib.sha256(long.encode()).hexdigest()) and exact[3][0] == 3
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near[1] == near[2] == (len({tuple(words[1][k : k + 5]) for k in range(len(words[1]) - 4)}), 1) and near[3][1] == 1 and near[5] == (0, 5)
+    gone = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert gone[1] == (450_000, 0) and gone[2] == (450_000, 0) and gone[3] == (450_002, 450_000) and gone[6][1] > 300_000
+    found = {r.doc_id: (r.n_assign, r.spans) for r in secrets.scan_secrets(docs).collect()}
+    at = texts[6].index("token")
+    assert found[6] == (1, f"assign:{at}:{len(texts[6]) - 1}") and found[1] == (0, "")
+    scored = toxicity.score_toxicity(docs, np.ones((1 << toxicity.BITS) + 1)).collect()
+    assert len(scored) == 6 and all(0 <= r.score <= 1 for r in scored)
