@@ -54,7 +54,8 @@ def package_revisions(spark, sf_dir):
 
 def parts_as_documents(spark, sf_dir) -> DataFrame:
     """A package insert for each part: its brand and code, an adverse-event table and a pharmacology section."""
-    p = table(spark, sf_dir, "part")
+    # a small file is one task, and its documents are a hundred times its size
+    p = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     code = F.concat(F.lit("1110"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
     brand = tagged("DetailBrandName", tagged("ApprovalBrandName", lang(F.col("p_name"))), tagged("BrandCode", tagged("YJCode", code)), id=F.lit("B1"))
     serious = tagged("SeriousAdverseEvents", tagged("Item", tagged("Header", lang(F.concat("p_type", F.lit("（頻度不明）、"), "p_brand")))))

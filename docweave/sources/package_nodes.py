@@ -1,9 +1,10 @@
 """Package documents as rows: elements and pieces of text, of which lines, revisions, meta data and products are made by joins.
 
-One pass of a document gives a row for each element, with its ancestors and what stands right before it,
-and a row for each piece of character data with the titled elements it is in. What is said of documents then is
-DataFrame work: texts are pieces put together, paths are titles joined to ancestors, revisions are the topmost marked
-elements. Groups are an element's pieces or ancestors, never more than a document.
+One pass of a document gives a row for each element, with its ancestors and their tags, what stands right before it and,
+of elements whose text is asked for, the character data in it. What is said of documents then is
+DataFrame work: paths are titles joined to ancestors, revisions are the topmost marked elements, and what an element is in is
+told by its tags, so that meta data and products are one shuffle by document of the few rows that they are made of.
+Groups are an element's ancestors or a document's rows, never more.
 
 Defined results: a document that can't be read is one row with its error; a null document likewise.
 """
@@ -11,7 +12,7 @@ Defined results: a document that can't be read is one row with its error; a null
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,52 +25,55 @@ from docweave.sources.tables import written
 TEXTS = ("Lang", "Header")
 NODES = (
     "u string, node int, parent int, depth int, tag string, id string, lang string, marked boolean, marked_above boolean, in_lang boolean, "
-    "comment string, item int, head string, above array<int>, of int, piece string, error string"
+    "comment string, item int, head string, above array<int>, tags array<string>, said string, error string"
 )
 #: Rows that leave together.
 ROWS = 10_000
 _NAMES = [c.strip().split()[0] for c in NODES.split(", ")]
 
 
-def rows_of(u: str, root: ET.Element) -> Iterator[tuple]:
-    """Element rows have a tag; rows of pieces have the element of TEXTS that they are of."""
+def rows_of(u: str, root: ET.Element, keep: Callable[[list[str]], bool]) -> list[tuple]:
+    """The root's row, and those of elements whose tags, from the outermost to its own, are to be kept."""
     count = 0
+    out: list[list] = [[u, 0, None, 0, tag(root), *[None] * 8, [], [], None, None]]
 
-    def visit(node: ET.Element, me: int, above: list[int], marked: bool, in_lang: bool, holders: list[int]) -> Iterator[tuple]:
+    def visit(node: ET.Element, me: int, above: list[int], tags: list[str], marked: bool, in_lang: bool, holders: list[list[str]]) -> None:
         nonlocal count
         comment, items = None, 0
         if node.text:
-            yield from piece(holders, node.text)
+            put(holders, node.text)
         for child in node:
             if child.tag is ET.Comment:
                 comment = (child.text or "").strip()
             elif child.tag is ET.PI:
                 if (child.text or "").strip().startswith("enter"):
-                    yield from piece(holders, "\n")
+                    put(holders, "\n")
             else:
                 count += 1
                 own, name = count, tag(child)
                 items += name == "Item"
                 new = child.get("modified") == NOW
-                yield (u, own, me, len(above) + 1, name, child.get("id"), child.get(LANG), new, marked, in_lang, comment, items if name == "Item" else None, child.text or "", [*above, own], None, None, None)
+                path, names, inner = [*above, own], [*tags, name], holders
+                if keep(names):
+                    said: list[str] | None = [] if name in TEXTS else None
+                    out.append([u, own, me, len(path), name, child.get("id"), child.get(LANG), new, marked, in_lang, comment, items if name == "Item" else None, child.text or "", path, names, said, None])
+                    inner = holders if said is None else [*holders, said]
                 comment = None
-                yield from visit(child, own, [*above, own], marked or new, in_lang or name == "Lang", [*holders, own] if name in TEXTS else holders)
+                visit(child, own, path, names, marked or new, in_lang or name == "Lang", inner)
             if child.tail:
-                yield from piece(holders, child.tail)
+                put(holders, child.tail)
 
-    def piece(holders: list[int], text: str) -> Iterator[tuple]:
-        nonlocal count
-        count += 1
-        at = count
+    def put(holders: list[list[str]], text: str) -> None:
         for h in holders:
-            yield (u, at, *[None] * 12, h, text, None)
+            h.append(text)
 
-    yield (u, 0, None, 0, tag(root), *[None] * 8, [], None, None, None)
-    yield from visit(root, 0, [], False, False, [])
+    visit(root, 0, [], [], False, False, [])
+    at = _NAMES.index("said")
+    return [(*r[:at], None if r[at] is None else "".join(r[at]), *r[at + 1 :]) for r in out]
 
 
-def node_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+def node_table(docs: DataFrame, key: str = "u", xml: str = "xml", keep: Callable[[list[str]], bool] = lambda tags: True) -> DataFrame:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     types = [kinds[c.strip().split()[1]] for c in NODES.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -80,7 +84,7 @@ def node_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
         for some in batches:
             for u, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 try:
-                    held += list(rows_of(u, parse(text)))
+                    held += rows_of(u, parse(text), keep)
                 except Exception as e:  # noqa: BLE001  errors are data
                     held.append((u, *[None] * (len(_NAMES) - 2), f"{type(e).__name__}: {e}"))
                 if len(held) >= ROWS:
@@ -89,20 +93,18 @@ def node_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
         if held:
             yield batch(held)
 
-    return written(docs.select(F.col(key).alias("u"), F.col(xml).alias("xml")).mapInArrow(run, NODES), "nodes")
+    return docs.select(F.col(key).alias("u"), F.col(xml).alias("xml")).mapInArrow(run, NODES)
 
 
-def ordered_text(pieces: Column) -> Column:
-    """Pieces in order, single spaces, no empty lines."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.array_join(pieces, ""), "[ \\t]+", " "), r"(?U)\n\s*\n+", "\n"), r"(?U)^\s+|\s+$", "")
+def ordered_text(said: Column) -> Column:
+    """Character data with single spaces and no empty lines."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(said, "[ \\t]+", " "), r"(?U)\n\s*\n+", "\n"), r"(?U)^\s+|\s+$", "")
 
 
 def texts(nodes: DataFrame) -> DataFrame:
     """(u, node, parent, tag, lang, above, in_lang, text) of every element of TEXTS."""
-    said = nodes.where("piece IS NOT NULL").groupBy("u", "of").agg(F.array_sort(F.collect_list(F.struct("node", "piece"))).alias("p"))
-    said = said.select("u", F.col("of").alias("node"), ordered_text(F.transform("p", lambda x: x.getField("piece"))).alias("text"))
-    own = nodes.where(F.col("tag").isin(*TEXTS) & (F.col("depth") > 0)).select("u", "node", "parent", "tag", "lang", "above", "in_lang")
-    return own.join(said, ["u", "node"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    own = nodes.where(F.col("tag").isin(*TEXTS) & (F.col("depth") > 0))
+    return own.select("u", "node", "parent", "tag", "lang", "above", "in_lang", ordered_text(F.col("said")).alias("text"))
 
 
 def titles(nodes: DataFrame, said: DataFrame) -> DataFrame:
@@ -125,8 +127,8 @@ def with_paths(rows: DataFrame, titled: DataFrame) -> DataFrame:
 
 def line_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
     """(u, revised, pos, path, text, error): texts under their headings, and what the present revision marks, once from the top."""
-    nodes = node_table(docs, key, xml)
-    said = written(texts(nodes), "texts")
+    nodes = written(node_table(docs, key, xml), "nodes")
+    said = texts(nodes)
     titled = written(titles(nodes, said), "titles")
     langs = said.where("tag = 'Lang'")
     marks = nodes.where("tag IS NOT NULL AND marked AND NOT marked_above AND NOT in_lang").select("u", "node", "tag", "above")
@@ -146,51 +148,89 @@ def failed(nodes: DataFrame, like: DataFrame) -> DataFrame:
     return nodes.where("error IS NOT NULL").select("u", *[F.lit(None).cast(kinds[c]).alias(c) for c in like.columns if c not in ("u", "error")], "error").select(*like.columns)
 
 
-def under(nodes: DataFrame, rows: DataFrame, outer: str) -> DataFrame:
-    """Rows (u, above, ...) that are in or are an element of a tag, once for each such element, which is o."""
-    outers = nodes.where(F.col("tag") == outer).select("u", F.col("node").alias("o"))
-    return rows.withColumn("o", F.explode("above")).join(outers, ["u", "o"])
+def in_tag(name: str) -> Column:
+    """The elements of a tag that a row's element is in or is, from the outermost on: (o, k), k its place among those above."""
+    at = F.transform("above", lambda o, k: F.struct(o.alias("o"), k.alias("k"), F.get("tags", k).alias("tag")))
+    return F.filter(at, lambda x: x.getField("tag") == name)
+
+
+def told_once(rows: DataFrame) -> DataFrame:
+    """One row of each document, as many as there are of one that couldn't be read; n is its rows."""
+    return rows.withColumn("n", F.explode(F.array_repeat(F.col("n"), F.when(F.col("error").isNotNull(), F.col("n")).otherwise(1).cast("int")))).drop("n")
+
+
+_META = ("PackageInsertNo", "CompanyIdentifier", "GenericName", "TherapeuticClassification")
+
+
+def of_meta(tags: list[str]) -> bool:
+    """Elements that meta data are made of."""
+    top, name = tags[0], tags[-1]
+    if len(tags) == 1:
+        return name in _META
+    if top == "ApprovalEtc":
+        return name == "Lang" and "ApprovalBrandName" in tags
+    if top == "DateOfPreparationOrRevision":
+        return tags[1] == "PreparationOrRevision" and (len(tags) == 2 or name in ("YearMonth", "Lang"))
+    return top in ("GenericName", "TherapeuticClassification") and name == "Lang"
 
 
 def meta_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
     """(u, packins_no, company_id, current, previous, brands, generic_name, therapeutic_class, error)."""
-    nodes = node_table(docs, key, xml)
-    said = written(texts(nodes), "texts")
-    langs = said.where("tag = 'Lang' AND text <> ''").select("u", "node", "text", "above")
+    nodes = node_table(docs, key, xml, of_meta).withColumn("text", ordered_text(F.col("said")))
     bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    top = nodes.where("depth = 1")
-    last = lambda name, value: F.max_by(F.when(F.col("tag") == name, value), F.when(F.col("tag") == name, F.col("node")))
-    heads = top.groupBy("u").agg(last("PackageInsertNo", bare("head")).alias("packins_no"), last("CompanyIdentifier", bare("head")).alias("company_id"))
-    joined = langs.withColumn("o", F.element_at("above", 1)).groupBy("u", "o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x.getField("text")), " / ").alias("all"))
-    parts = top.where("tag IN ('GenericName', 'TherapeuticClassification')").select("u", "tag", "node").join(joined.withColumnRenamed("o", "node"), ["u", "node"], "left").withColumn("all", F.coalesce("all", F.lit("")))
-    names = parts.groupBy("u").agg(last("GenericName", F.col("all")).alias("generic_name"), last("TherapeuticClassification", F.col("all")).alias("therapeutic_class"))
-    approval = langs.withColumn("o", F.element_at("above", 1)).join(top.where("tag = 'ApprovalEtc'").select("u", F.col("node").alias("o")), ["u", "o"]).drop("o")
-    brands = under(nodes, approval, "ApprovalBrandName").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("o", "node", "text"))).alias("b"))
-    brands = brands.select("u", F.transform("b", lambda x: x.getField("text")).alias("brands"))
-    dated = nodes.where("tag = 'PreparationOrRevision' AND depth = 2").select("u", F.col("node").alias("o"), "parent", F.when(F.col("id") == NOW, "current").when(F.col("id") == BEFORE, "previous").alias("which"))
-    dated = dated.where("which IS NOT NULL").join(top.where("tag = 'DateOfPreparationOrRevision'").select("u", F.col("node").alias("parent")), ["u", "parent"])
-    inner = nodes.where("tag IN ('YearMonth', 'Lang') AND depth > 2").select("u", "node", "tag", F.element_at("above", 2).alias("o"), bare("head").alias("head"))
-    spoken = inner.groupBy("u", "o").agg(last("YearMonth", F.col("head")).alias("ym"), F.min_by(F.when(F.col("tag") == "Lang", F.col("head")), F.when(F.col("tag") == "Lang", F.col("node"))).alias("ver"))
-    versions = dated.join(spoken, ["u", "o"], "left").groupBy("u").agg(*[F.max_by(F.when(F.col("which") == w, F.struct("ym", "ver")), F.when(F.col("which") == w, F.col("o"))).alias(w) for w in ("current", "previous")])
-    empty = F.array().cast("array<string>")
-    out = nodes.where("error IS NULL").select("u").distinct()
-    for other in (heads, names, brands, versions):
-        out = out.join(other, "u", "left")
-    out = out.select("u", "packins_no", "company_id", "current", "previous", F.coalesce("brands", empty).alias("brands"), "generic_name", "therapeutic_class", F.lit(None).cast("string").alias("error"))
-    return out.unionByName(failed(nodes, out))
+    tag, node, depth, top, outer = F.col("tag"), F.col("node"), F.col("depth"), F.get("tags", F.lit(0)), F.get("above", F.lit(0))
+    at = lambda of: F.max(F.when(of, node))
+    last = lambda of, value: F.max_by(F.when(of, value), F.when(of, node))
+    every = lambda of, *values: F.collect_list(F.when(of, F.struct(*values)))
+    own = lambda name: (depth == 1) & (tag == name)
+    spoken = (tag == "Lang") & (F.col("text") != "")
+    dated = lambda which: (depth == 2) & (top == "DateOfPreparationOrRevision") & (tag == "PreparationOrRevision") & (F.col("id") == which)
+    inner = lambda name: (depth > 2) & (top == "DateOfPreparationOrRevision") & (tag == name)
+    revision = F.get("above", F.lit(1))
+    brands = F.transform(in_tag("ApprovalBrandName"), lambda x: F.struct(x.getField("o").alias("o"), node.alias("node"), F.col("text").alias("text")))
+    parts = nodes.groupBy("u", "error").agg(
+        F.count(F.lit(1)).alias("n"),
+        last(own("PackageInsertNo"), bare(F.col("head"))).alias("packins_no"),
+        last(own("CompanyIdentifier"), bare(F.col("head"))).alias("company_id"),
+        *[at(own(name)).alias(f"{name}_at") for name in ("GenericName", "TherapeuticClassification")],
+        *[every(spoken & (top == name), node.alias("node"), "text", outer.alias("o")).alias(name) for name in ("GenericName", "TherapeuticClassification")],
+        F.array_sort(F.flatten(F.collect_list(F.when(spoken & (top == "ApprovalEtc"), brands)))).alias("b"),
+        at(dated(NOW)).alias("current_at"),
+        at(dated(BEFORE)).alias("previous_at"),
+        every(inner("YearMonth"), node.alias("node"), bare(F.col("head")).alias("head"), revision.alias("o")).alias("months"),
+        every(inner("Lang"), node.alias("node"), bare(F.col("head")).alias("head"), revision.alias("o")).alias("versions"),
+    )
+    of = lambda c, where: F.filter(c, lambda x: x.getField("o") == F.col(where))
+    said = lambda name: F.when(F.col(f"{name}_at").isNotNull(), F.array_join(F.transform(F.array_sort(of(name, f"{name}_at")), lambda x: x.getField("text")), " / "))
+    version = lambda where: F.when(F.col(where).isNotNull(), F.struct(F.array_max(of("months", where)).getField("head").alias("ym"), F.array_min(of("versions", where)).getField("head").alias("ver")))
+    read = F.col("error").isNull()
+    return told_once(parts).select(
+        "u", "packins_no", "company_id", version("current_at").alias("current"), version("previous_at").alias("previous"),
+        F.when(read, F.transform("b", lambda x: x.getField("text"))).alias("brands"), said("GenericName").alias("generic_name"), said("TherapeuticClassification").alias("therapeutic_class"), "error",
+    )
+
+
+def of_products(tags: list[str]) -> bool:
+    """Elements that products are made of."""
+    return tags[-1] == "DetailBrandName" or "DetailBrandName" in tags and (tags[-1] == "YJCode" or tags[-1] == "Lang" and "ApprovalBrandName" in tags)
 
 
 def product_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
     """(u, pos, brand, code, error): distinct pairs of a document in order, of brands that have an id."""
-    nodes = node_table(docs, key, xml)
-    japanese = texts(nodes).where("tag = 'Lang' AND text <> '' AND (lang IS NULL OR lang = 'ja')").select("u", "node", "text", "above")
-    details = nodes.where("tag = 'DetailBrandName' AND id <> ''").select("u", F.col("node").alias("o"))
-    of = lambda rows: rows.withColumn("o", F.explode("above")).join(details, ["u", "o"])
-    named = of(under(nodes, japanese, "ApprovalBrandName").drop("o")).groupBy("u", "o").agg(F.min_by("text", "node").alias("brand"))
-    codes = of(nodes.where("tag = 'YJCode'").select("u", "node", "head", "above")).groupBy("u", "o").agg(F.min_by("head", "node").alias("code"))
+    nodes = node_table(docs, key, xml, of_products).where("depth > 0 OR error IS NOT NULL").withColumn("text", ordered_text(F.col("said")))
+    tag, node = F.col("tag"), F.col("node")
+    japanese = (tag == "Lang") & (F.col("text") != "") & (F.col("lang").isNull() | (F.col("lang") == "ja"))
+    # the last element of that tag above is in the brand, if any is
+    inmost = F.element_at(in_tag("ApprovalBrandName"), -1).getField("k")
+    details = in_tag("DetailBrandName")
+    outers = F.when(japanese, F.filter(details, lambda x: x.getField("k") < inmost)).when(tag == "YJCode", details).when(F.col("id") != "", F.array(F.element_at(details, -1)))
+    # all that follows is by document, in the same partitions
+    rows = nodes.select("u", "error", "tag", "node", "text", "head", F.explode_outer(F.when(F.col("error").isNull(), F.transform(outers, lambda x: x.getField("o")))).alias("o")).where("o IS NOT NULL OR error IS NOT NULL").repartition("u")
+    first = lambda name, value: F.min_by(F.when(tag == name, F.col(value)), F.when(tag == name, node))
+    brands = rows.groupBy("u", "error", "o").agg(F.count(F.lit(1)).alias("n"), F.max(tag == "DetailBrandName").alias("is_brand"), first("Lang", "text").alias("brand"), first("YJCode", "head").alias("code"))
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    pairs = details.join(named, ["u", "o"], "left").join(codes, ["u", "o"], "left")
-    pairs = pairs.select("u", "o", bare(F.regexp_replace("brand", r"(?U)\s*\n\s*", " ")).alias("brand"), F.upper(bare(F.col("code"))).alias("code")).where("brand <> '' OR code <> ''")
-    first = pairs.groupBy("u", "brand", "code").agg(F.min("o").alias("o"))
-    out = first.select("u", (F.row_number().over(Window.partitionBy("u").orderBy("o")) - 1).cast("int").alias("pos"), "brand", "code", F.lit(None).cast("string").alias("error"))
-    return out.unionByName(failed(nodes, out))
+    read = F.col("error").isNull()
+    pairs = brands.where(~read | F.col("is_brand")).select("u", "error", "n", "o", F.when(read, bare(F.regexp_replace("brand", r"(?U)\s*\n\s*", " "))).alias("brand"), F.when(read, F.upper(bare(F.col("code")))).alias("code"))
+    kept = pairs.where("error IS NOT NULL OR brand <> '' OR code <> ''").groupBy("u", "error", "brand", "code").agg(F.min("o").alias("o"), F.first("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("u", "error").orderBy("o")) - 1
+    return told_once(kept.withColumn("pos", F.when(read, place.cast("int")))).select("u", "pos", "brand", "code", "error")
