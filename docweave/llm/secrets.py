@@ -12,8 +12,8 @@ of what that gives. Runs under 16 characters hold no secret, as the shortest has
 compressed bytes that follow one another are one layer; what looks like a header inside a whole member is
 that member's content and isn't tried. Of a cut or damaged stream a layer has what it gives. Many places of
 ordinary bytes look like headers, so what such streams read and give is counted: once it is over BROKEN times
-the bytes of the sound layers (and FREE), a place that a broken stream of its kind of mark (zlib's, or another) has already gone over is passed by, and that is
-counted in n_refused. So the time follows the bytes. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
+the bytes of the sound layers (and FREE), a place that a broken stream of its kind of mark (zlib's, or another) has already gone over waits until all
+else is done, and is tried then: nothing is passed by, and of a text without such places the time follows the bytes. Decompressed bytes beyond MAX_LAYER are scanned in overlapping pieces and
 counted in n_refused, since what is encoded across the end of a piece can be missed there; text
 itself is scanned whole at any length.
 
@@ -44,7 +44,7 @@ KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
 #: Bytes that two pieces of a larger layer share, that a decompressor gives at once, and that it is fed.
 OVERLAP, STEP, FEED = 1 << 20, 1 << 20, 1 << 10
-#: What broken streams may read and give for each byte of sound layers, and besides, before places that they went over are passed by.
+#: What broken streams may read and give for each byte of sound layers, and besides, before places that they went over wait.
 BROKEN, FREE = 8, 1 << 20
 #: The shortest secret of any kind.
 SHORTEST = 12
@@ -287,10 +287,41 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     every = set(base)
     # bytes come with their span and whether they are sound: not out of a broken stream
     work: list[Layer | tuple[bytes, tuple[int, int], bool]] = [Layer(text)]
+    # (bytes, span, sound, places) that wait: tried one by one when nothing else is left
+    waiting: list[tuple[bytes, tuple[int, int], bool, list[int], list[tuple[int, int]]]] = []
     seen: set[tuple] = set()
     layers = refused = 0
     allowed, spent = FREE, [0, 0]
-    while work:
+
+    def unpack(raw: bytes, whole: tuple[int, int], sound: bool, place: int, members: list[tuple[int, int]]) -> Stream:
+        nonlocal layers, refused, every
+        stream, amount = Stream(raw, place), 0
+        for inner in stream.pieces():
+            amount += 1
+            if amount > 1:  # a large layer: nothing of it is held but the piece at hand
+                _, found, more, less = scan(inner.decode("latin-1"))
+                every |= {(whole[0], kind, whole[1]) for _, kind, _ in found}
+                layers, refused = layers + more, refused + less
+            elif len(inner) >= SHORTEST:
+                work.append((inner, whole, sound and stream.whole > place))
+        refused += amount > 1
+        if stream.whole > place:
+            insort(members, (place, stream.whole))
+        return stream
+
+    def inside(members: list[tuple[int, int]], raw: bytes, place: int) -> bool:
+        before = bisect_right(members, (place, len(raw)))
+        return bool(before) and place < members[before - 1][1]
+
+    while work or waiting:
+        if not work:
+            raw, whole, sound, left, members = waiting[-1]
+            place = left.pop()
+            if not left:
+                waiting.pop()
+            if not inside(members, raw, place):
+                unpack(raw, whole, sound, place, members)
+            continue
         layer = work.pop()
         if isinstance(layer, tuple):
             raw, whole, sound = layer
@@ -301,30 +332,19 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             allowed += BROKEN * len(raw) * sound
             members: list[tuple[int, int]] = []  # whole ones
             reached = [0, 0]  # the end of what broken streams of a kind of mark went over
-            left_out = False
+            left = []
             for kind, place in places(raw):
-                before = bisect_right(members, (place, len(raw)))
-                if before and place < members[before - 1][1]:
+                if inside(members, raw, place):
                     continue
                 if place < reached[kind] and spent[kind] > allowed:
-                    left_out = True
+                    left.append(place)
                     continue
-                stream, amount = Stream(raw, place), 0
-                for inner in stream.pieces():
-                    amount += 1
-                    if amount > 1:  # a large layer: nothing of it is held but the piece at hand
-                        _, found, more, less = scan(inner.decode("latin-1"))
-                        every |= {(whole[0], kind, whole[1]) for _, kind, _ in found}
-                        layers, refused = layers + more, refused + less
-                    elif len(inner) >= SHORTEST:
-                        work.append((inner, whole, sound and stream.whole > place))
-                refused += amount > 1
-                if stream.whole > place:
-                    insort(members, (place, stream.whole))
+                stream = unpack(raw, whole, sound, place, members)
                 if stream.at > stream.whole:
                     spent[kind] += stream.at - stream.whole + stream.gave
                     reached[kind] = max(reached[kind], stream.at)
-            refused += left_out
+            if left:
+                waiting.append((raw, whole, sound, left[::-1], members))
             try:
                 plain = raw.decode()
             except UnicodeDecodeError:
