@@ -4,23 +4,40 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 #: Hiragana and the katakana that replace them, from the code points' fixed distance.
 HIRAGANA = "".join(chr(c) for c in range(0x3041, 0x3097))
 KATAKANA = "".join(chr(ord(c) + 0x60) for c in HIRAGANA)
+#: Bytes of texts that are Python's objects at once.
+SLICE = 1 << 20
 #: Fixed value: characters that name lists use as hyphens.
 HYPHENS = "-‐‑‒–—―−－"
 
 
-@pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def slices(s: pa.Array) -> Iterator[pa.Array]:
+    """An array in stretches of about SLICE bytes, or of one text: what Python holds of a batch at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(s), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(s):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield s.slice(at, end - at)
+        at = end
+
+
+@arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    out = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in some.to_pylist()], pa.string()) for some in slices(s)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 @pandas_udf(StringType())
