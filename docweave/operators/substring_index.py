@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from docweave.sources.tables import written
 
 #: Rows of a block, blocks of a folder of rows, folders of trigrams; what a text ends in.
 BLOCK, BLOCKS, FOLDERS = 4096, 16, 64
+#: Characters of the texts whose trigrams a task holds at once.
+CHARS = 1 << 20
 END = "\uffff\uffff"
 GRAMS = "gram string, block long, places array<int>, folder int"
 
@@ -43,18 +46,39 @@ def build(df: DataFrame, path: str, fields: list[str], order: list[str | Column]
     rows.repartitionByRange("part", "number").sortWithinPartitions("part", "number").write.partitionBy("part").parquet(f"{path}/rows")
     rows.limit(0).write.parquet(f"{path}/schema")  # a table of folders without rows has none of its own
 
+    def postings_of(numbers: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        """Of some rows, a line for each trigram and block, with the places of those that have it."""
+        units = [np.frombuffer((t + END).encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+        own = [np.unique(u[:-2] << 42 | u[1:-1] << 21 | u[2:]) for u in units]
+        which = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        gram, number = np.concatenate(own), numbers[which]
+        by = np.lexsort((number, gram))
+        gram, number = gram[by], number[by]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(gram), 1), bool), (gram[1:] != gram[:-1]) | (number[1:] // block != number[:-1] // block))))
+        codes = gram[first]
+        names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in codes.tolist()]
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)), pa.int32()), pa.array(number % block, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(number[first] // block, pa.int64()), places], names=["gram", "block", "some"])
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        numbers: list[int] = []
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                found = [sorted({t[i : i + 3] for i in range(len(t))}) for t in (x + END for x in some.column(1).to_pylist())]
-                which = [k for k, own in enumerate(found) for _ in own]
-                number = some.column(0).take(pa.array(which, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([g for own in found for g in own], pa.string()), number], names=["gram", "number"])
-
+            for number, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append(t.as_py())
+                numbers.append(number)
+                size += len(held[-1])
+                if size >= CHARS or len(held) >= block:
+                    yield postings_of(np.array(numbers, np.int64), held)
+                    held, numbers, size = [], [], 0
+        if held:
+            yield postings_of(np.array(numbers, np.int64), held)
+
+    # rows come in the order of their numbers, so those of a task are of few blocks and a trigram's lines are few
     text = rows.select("number", F.concat_ws(" ", *fields).alias("text"))
-    lines = text.mapInArrow(grams, "gram string, number long").select("gram", (F.col("number") / block).cast("long").alias("block"), (F.col("number") % block).cast("int").alias("place"))
-    posted = lines.groupBy("gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most block of them
+    lines = text.mapInArrow(grams, "gram string, block long, some array<int>")
+    posted = lines.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("places"))  # at most block of them
     filed = posted.withColumn("folder", folder(F.col("gram"))).repartitionByRange("folder", "gram", "block").sortWithinPartitions("folder", "gram", "block")
     filed.write.option("parquet.writer.version", "v2").partitionBy("folder").parquet(f"{path}/grams")
 
