@@ -269,6 +269,44 @@ def test_quality(spark, docs, empty):
     assert quality.quality_report(empty, labels).count() == 0 and quality.keep_good(empty, labels).count() == 0
 
 
+def test_threshold_and_draws_come_from_all_labelled_rows(spark):
+    """24,000 good and 12,000 other rows: the threshold is that of all scores of the one half, each tree's rows are the least of the other."""
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(90)).cast("string")) for k in range(52)])
+    docs = spark.range(0, 36_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.pmod(F.xxhash64("id"), F.lit(50)) < 48 * (F.col("id") % 3) + 1, words).otherwise(F.concat(words, F.lit(" # #"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    forest = quality.fit_forest(docs, labels)
+    report = {r.doc_id: r.score for r in quality.quality_report(docs, labels).collect()}
+    setting = [r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).select("doc_id").collect()]
+    good, bad = (np.array([report[i] for i in setting if (i % 3 != 0) == kind]) for kind in (True, False))
+    assert len(good) > 11_000 and len(bad) > 5_000
+    cuts = sorted({s for s in good if (good > s).sum() <= quality.MAX_LOSS * len(good)}, reverse=True)
+    cost = [int((good > s).sum()) * len(bad) + int((bad <= s).sum()) * len(good) for s in cuts]
+    assert forest.threshold == cuts[int(np.argmin(cost))] and forest.held_out_loss == np.mean(good > forest.threshold)
+
+    rows = spark.range(0, 30_000, numPartitions=5).select("id", (F.col("id") % 5 > 0).alias("good"), F.array(*[F.lit(0.0)] * len(quality.RATIOS)).alias("ratios"))
+    draws = quality.drawn(rows, 24_000, 30_000, trees=90).select("tree", "good", "turn", "id").toPandas()
+    sizes = draws.groupby(["tree", "good"]).size()
+    assert len(sizes) == 180 and sizes.min() >= quality.TREE_ROWS and sizes.max() < 2 * quality.TREE_ROWS
+    assert all(i % 5 for i in draws[draws.good].id) and draws[draws.good].id.nunique() > 15_000  # 90 draws of 384 of 24,000 see 76 % of them
+    again = quality.drawn(rows.repartition(2), 24_000, 30_000, trees=90).select("tree", "good", "turn", "id").toPandas()
+    order = ["tree", "good", "turn", "id"]
+    assert draws.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
+
+
+def test_threshold_over_a_table(spark):
+    """The same as over arrays, with many ties, few rows and none that may be lost."""
+    rng = np.random.default_rng(6)
+    forest = quality.IsolationForest.grow(rng.normal(0, 1, (50, 2)), rng.normal(0, 1, (50, 2)), trees=3)
+    for n, m, grain in ((3000, 700, 1e-6), (3000, 700, 0.02), (40, 900, 1e-3), (1, 1, 1.0)):
+        good, bad = rng.uniform(0, 0.7, n) // grain * grain, rng.uniform(0.5, 1, m) // grain * grain
+        forest.scores = lambda rows: rows
+        plain = quality.calibrated(forest, good, bad)
+        scored = spark.createDataFrame([(True, float(x)) for x in good] + [(False, float(x)) for x in bad], "good boolean, score double").repartition(3)
+        assert quality.best_threshold(scored, n, m) == (plain.threshold, plain.held_out_loss)
+
+
 def test_toxicity(spark, docs, corpus, empty):
     own, labels = labelled(spark)
     rows = toxicity.toxicity(own, labels).collect()
