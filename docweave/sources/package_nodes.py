@@ -36,38 +36,47 @@ def rows_of(u: str, root: ET.Element, keep: Callable[[list[str]], bool]) -> list
     """The root's row, and those of elements whose tags, from the outermost to its own, are to be kept."""
     count = 0
     out: list[list] = [[u, 0, None, 0, tag(root), *[None] * 8, [], [], None, None]]
+    above: list[int] = []
+    tags: list[str] = []
 
-    def visit(node: ET.Element, me: int, above: list[int], tags: list[str], marked: bool, in_lang: bool, holders: list[list[str]]) -> None:
+    def visit(node: ET.Element, me: int, marked: bool, in_lang: bool, holders: list[list[str]]) -> None:
         nonlocal count
         comment, items = None, 0
-        if node.text:
+        if holders and node.text:
             put(holders, node.text)
         for child in node:
             if child.tag is ET.Comment:
                 comment = (child.text or "").strip()
             elif child.tag is ET.PI:
-                if (child.text or "").strip().startswith("enter"):
+                if holders and (child.text or "").strip().startswith("enter"):
                     put(holders, "\n")
             else:
                 count += 1
                 own, name = count, tag(child)
                 items += name == "Item"
                 new = child.get("modified") == NOW
-                path, names, inner = [*above, own], [*tags, name], holders
-                if keep(names):
+                inner = holders
+                above.append(own)
+                tags.append(name)
+                if keep(tags):
                     said: list[str] | None = [] if name in TEXTS else None
-                    out.append([u, own, me, len(path), name, child.get("id"), child.get(LANG), new, marked, in_lang, comment, items if name == "Item" else None, child.text or "", path, names, said, None])
+                    out.append([u, own, me, len(above), name, child.get("id"), child.get(LANG), new, marked, in_lang, comment, items if name == "Item" else None, child.text or "", above.copy(), tags.copy(), said, None])
                     inner = holders if said is None else [*holders, said]
                 comment = None
-                visit(child, own, path, names, marked or new, in_lang or name == "Lang", inner)
-            if child.tail:
+                if len(child):
+                    visit(child, own, marked or new, in_lang or name == "Lang", inner)
+                elif inner and child.text:
+                    put(inner, child.text)
+                above.pop()
+                tags.pop()
+            if holders and child.tail:
                 put(holders, child.tail)
 
     def put(holders: list[list[str]], text: str) -> None:
         for h in holders:
             h.append(text)
 
-    visit(root, 0, [], [], False, False, [])
+    visit(root, 0, False, False, [])
     at = _NAMES.index("said")
     return [(*r[:at], None if r[at] is None else "".join(r[at]), *r[at + 1 :]) for r in out]
 
@@ -212,7 +221,10 @@ def meta_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
 
 def of_products(tags: list[str]) -> bool:
     """Elements that products are made of."""
-    return tags[-1] == "DetailBrandName" or "DetailBrandName" in tags and (tags[-1] == "YJCode" or tags[-1] == "Lang" and "ApprovalBrandName" in tags)
+    name = tags[-1]
+    if name == "Lang":
+        return "DetailBrandName" in tags and "ApprovalBrandName" in tags
+    return name == "DetailBrandName" or name == "YJCode" and "DetailBrandName" in tags
 
 
 def product_table(docs: DataFrame, key: str = "u", xml: str = "xml") -> DataFrame:
