@@ -1,8 +1,8 @@
 """Connected components of a graph of ids, by alternating large and small stars.
 
-Edges never leave the cluster. A node's least neighbour is combined before the shuffle; the join
-that brings it back to the node's edges is on narrow rows and doesn't put a hot node's edges in
-one task. Each round is written, so a lost executor repeats no earlier round.
+Edges never leave the cluster. A node's least neighbour comes beside its edges by a window
+where all edges fit one task, else by a join that doesn't put a hot node's edges in one. Each round is
+written, so a lost executor repeats no earlier round.
 """
 
 from __future__ import annotations
@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import discard, materialise_counted, skew_join
-
-
-#: Edges, of 16 bytes, that one task takes whatever their nodes; fewer need no split of hot nodes.
-ONE_TASK = 1_000_000
+from docweave.llm.storage import ONE_TASK, beside, discard, materialise_counted, tasks
 
 
 def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
@@ -22,8 +18,7 @@ def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
-    met = skew_join(near, least, "u", F.col("n"), 2 * total) if total > ONE_TASK else near.join(least.drop("n"), "u")
+    met = beside(near, ["u"], {"least": F.min("v")}, 2 * total, ONE_TASK).withColumn("m", F.least("least", "u"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -31,16 +26,22 @@ def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out.where("a > b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) of all nodes of links (a, b) but the roots themselves, where root is the least id that a node reaches."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def once(edges: DataFrame, most: int | None) -> DataFrame:
+    """Distinct edges, in as many tasks as they are worth where their number, at most, is known and fits one task."""
+    edges = edges.distinct()
+    return edges if most is None or most > ONE_TASK else edges.coalesce(tasks(most))
+
+
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, root) of all nodes of links (a, b) but the roots themselves, where root is the least id that a node reaches; most is the number of links, or more."""
+    edges = once(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), most)
     before = written = None
     while True:
-        edges, now = materialise_counted(edges.distinct(), "edges", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        edges, now = materialise_counted(edges, "edges", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
         if written is not None:
             discard(written)
         written = edges
         if now.n == 0 or now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
-        edges = star(star(edges, now.n, large=True), now.n, large=False)
+        edges = once(star(star(edges, now.n, large=True), now.n, large=False), now.n)  # stars give no more edges than they get

@@ -35,7 +35,7 @@ from docweave.llm.columnar import blocks, mix
 from docweave.llm.components import components
 from docweave.llm.exact_dedup import tree_merge
 from docweave.llm.shingles import SYMBOLS, bucket_keys, shingle_sets, signatures
-from docweave.llm.storage import HEAVY, free_name, materialise, materialise_counted, skew_join
+from docweave.llm.storage import HEAVY, beside, free_name, materialise, materialise_counted, skew_join
 
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
@@ -147,6 +147,7 @@ def linking(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], symbols:
 
 def compared(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Links (a, b) between members of the pairs (x, y) of tiles (tile, id, root), x <= y. A pair is one group of rows, of the size of two tiles."""
+    pairs = materialise(pairs, "pairs")  # it's read three times
     many = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("tile")).groupBy("tile").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
     copies = tiles.join(many, "tile").select("tile", "id", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     sides = pairs.select("x", "y", F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "tile"))
@@ -189,29 +190,29 @@ def compared(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, similarity: in
     return rows.mapInArrow(run, "a long, b long")
 
 
-def homes_of(members: DataFrame) -> DataFrame:
-    """(id, size, near, home) of members: the fullest bucket of each, and the fullest that is such for any member of its buckets.
+def homes_of(members: DataFrame) -> tuple[DataFrame, int]:
+    """(id, size, near, home) of members, and their number: the fullest bucket of each, and the fullest that is such for any member of its buckets.
 
     So the members of a large group, whatever buckets each is in, have one home, and few tiles.
     """
     near = materialise(members.groupBy("id").agg(F.max("size").alias("size"), F.max(F.struct("n", "bucket")).alias("near")), "homes")
     top = members.select("bucket", "parts", "id").join(near.select("id", "near"), "id").groupBy("bucket").agg(F.max("near").alias("top"), F.max("parts").alias("parts"))
     far = members.select("bucket", "part", "id").join(in_parts(top).drop("parts"), ["bucket", "part"]).groupBy("id").agg(F.max("top")["bucket"].alias("home"))
-    return materialise(near.select("id", "size", F.col("near")["bucket"].alias("near")).join(far, "id"), "homes")
+    homes, seen = materialise_counted(near.select("id", "size", F.col("near")["bucket"].alias("near")).join(far, "id"), "homes")
+    return homes, seen.n
 
 
-def tiled(homes: DataFrame, apart: list[str]) -> DataFrame:
-    """(id, root, tile) of homes (id, size, near, home, root): tiles of members of one home that agree in the columns apart.
+def tiled(homes: DataFrame, apart: list[str], total: int) -> DataFrame:
+    """(id, root, tile) of the total homes (id, size, near, home, root): tiles of members of one home that agree in the columns apart.
 
     Members of one fullest bucket stay together in lumps, of which a tile has some.
     """
-    parts = lambda rows, shingles: F.ceil(F.greatest(F.count("*") / rows, F.sum("size") / shingles)).cast("int")
-    lumps = homes.groupBy("near", *apart).agg(parts(LUMP, TILE_SHINGLES * LUMP / TILE).alias("lumps"), F.count("*").alias("n"))
-    full = homes.groupBy("home", *apart).agg(parts(TILE, TILE_SHINGLES).alias("parts"), F.count("*").alias("n"))
-    cut = skew_join(homes, lumps, ["near", *apart], F.col("n"), 0).drop("n")
-    cut = skew_join(cut, full, ["home", *apart], F.col("n"), 0)
-    lump = F.xxhash64("near", F.pmod(F.xxhash64("id"), F.col("lumps")))
-    return cut.select("id", "root", F.xxhash64("home", *apart, F.pmod(lump, F.col("parts"))).alias("tile"))
+    counts = lambda name: {f"{name}_rows": F.count("*"), f"{name}_shingles": F.sum("size")}
+    parts = lambda name, rows, shingles: F.ceil(F.greatest(F.col(f"{name}_rows") / rows, F.col(f"{name}_shingles") / shingles)).cast("int")
+    cut = beside(homes, ["near", *apart], counts("near"), total)
+    cut = beside(cut, ["home", *apart], counts("home"), total)
+    lump = F.xxhash64("near", F.pmod(F.xxhash64("id"), parts("near", LUMP, TILE_SHINGLES * LUMP / TILE)))
+    return cut.select("id", "root", F.xxhash64("home", *apart, F.pmod(lump, parts("home", TILE, TILE_SHINGLES))).alias("tile"))
 
 
 def ordered(x: str, y: str) -> list:
@@ -239,27 +240,27 @@ def linked_roots(texts: DataFrame, leading: DataFrame) -> DataFrame | None:
     members = members_of(leading)
     if members is None:
         return None
-    homes = homes_of(members)
+    homes, total = homes_of(members)
     # texts are never gathered by broadcast ids, whose number grows with the table
     sets = materialise(sets_of(texts.join(homes.select("id").hint("shuffle_merge"), "id").select("id", "text")), "sets")
 
-    tiles = materialise(tiled(homes.withColumn("root", F.col("id")), []), "tiles")
+    tiles = materialise(tiled(homes.withColumn("root", F.col("id")), [], total), "tiles")
     in_buckets = members.select("bucket", "id").join(tiles, "id").groupBy("bucket", "tile").agg(F.count("*").alias("n"))
     in_buckets = materialise(in_buckets, "tiles-in-buckets")
     links, found = materialise_counted(compared(star_pairs(in_buckets), tiles, sets), "links")
-    labels = components(links) if found.n else None
+    labels = components(links, found.n) if found.n else None
 
     rest, left = materialise_counted(in_buckets.groupBy("bucket").count().where("count > 2").select("bucket"), "open-buckets")
     if left.n:
         rooted = homes.withColumn("root", F.col("id")) if labels is None else homes.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        main = rooted.groupBy("home", "root").agg(F.count("*").alias("n")).groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"))
-        rooted = skew_join(rooted, main, "home", F.col("n"), 0).withColumn("outside", F.col("root") != F.col("main")).select("id", "size", "near", "home", "root", "outside")
-        tiles = materialise(tiled(rooted, ["outside"]), "tiles")
+        rooted = beside(rooted, ["home", "root"], {"n": F.count("*")}, total)
+        rooted = beside(rooted, ["home"], {"main": F.max(F.struct("n", "root"))}, total).withColumn("outside", F.col("root") != F.col("main")["root"])
+        tiles = materialise(tiled(rooted.select("id", "size", "near", "home", "root", "outside"), ["outside"], total), "tiles")
         rows = members.select("bucket", "id").join(rest, "bucket", "left_semi").join(tiles, "id")
         in_buckets = rows.groupBy("bucket", "tile").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
         more, also = materialise_counted(compared(open_pairs(in_buckets), tiles, sets), "links")
         if also.n:
-            labels = components(more if labels is None else more.unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+            labels = components(more if labels is None else more.unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b"))), also.n + total)
     return labels
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group with more than one part in HEAVY of all rows is heavy; there are at most HEAVY such groups per row key.
 HEAVY = 512
+#: Narrow rows that one task takes whatever their keys (fewer need no split of hot groups), and rows for which a task is worth starting.
+ONE_TASK, WORTH = 1_000_000, 4096
 
 _own: dict[str, str] = {}
 
@@ -93,6 +96,25 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: Co
     return hits.unionByName(rest.join(groups.where(~heavy), keys).select(*rows.columns, *names))
 
 
+def tasks(rows: int) -> int:
+    """Tasks that narrow rows are worth."""
+    return max(1, math.ceil(rows / WORTH))
+
+
+def beside(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], total: int, one_task: int = ONE_TASK) -> DataFrame:
+    """Narrow rows, of which there are about total and none has a null key, with aggregates over the rows of equal keys.
+
+    Up to one_task rows it's one shuffle and a window, in as many tasks as the rows are worth, so that the driver
+    doesn't keep hundreds of empty ones; more go by skew_join.
+    """
+    if total <= one_task:
+        own = Window.partitionBy(*keys)
+        return rows.select("*", *[c.over(own).alias(n) for n, c in aggregates.items()]).coalesce(tasks(total))
+    count = free_name(rows, "count")
+    groups = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()], F.count("*").alias(count))
+    return skew_join(rows, groups, keys, F.col(count), total).select(*rows.columns, *aggregates)
+
+
 def split_join(rows: DataFrame, groups: DataFrame, key: str, size: Column, total: int) -> DataFrame:
     """The same for many rows: heavy groups' keys go to the driver first, at most HEAVY times the keys a row has, so that rows are told apart without a join.
 
